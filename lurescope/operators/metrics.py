@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ranking import attach, ladder_quantiles, score_ladder, upper_bound
+from .ranking import attach, ladder_quantiles, score_ladder
 
 # Threshold candidates are these quantiles of the validation scores.
 CANDIDATE_PROBS = [round(i / 100, 2) for i in range(1, 100)]
@@ -102,47 +102,25 @@ def evaluate(df: DataFrame, score: str, target: str, threshold: Column | float,
 def threshold_table(ladder: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts and criteria at each of the 99 quantile candidates of a ladder.
 
-    The ladder is bucketed by candidate index with a binary search and summed to at most 100 rows
-    per group; the running totals over those rows replace 99 rescans.
+    The counts come from the running totals of the rungs that hold the candidates, so one pass
+    over the ladder replaces 99 rescans of the scores.
     """
-    by = list(by)
     grid = ladder_quantiles(ladder, CANDIDATE_PROBS, by)
-    lists = grid.groupBy(*by).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("q_index", "value"))), lambda c: c["value"]
-        ).alias("_grid")
-    )
-    slot = upper_bound(F.col("_grid"), len(CANDIDATE_PROBS), F.col("score"))
-    binned = (
-        attach(ladder, lists, by, ["_grid"])
-        .withColumn("_slot", slot)
-        .groupBy(*by, "_slot")
-        .agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
-    )
-    # Slot k holds scores at or above the first k candidates, so candidate i (from 0) flags the
-    # slots above i.
-    spread = binned.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("_slot", F.struct("_n", "_pos")))).alias("_m"),
-        F.sum("_n").alias("_total"),
-        F.sum("_pos").alias("_positives"),
-    )
-    every = attach(grid.select(*by, "q_index", F.col("value").alias("threshold")), spread, by,
-                   ["_m", "_total", "_positives"])
-
-    def above(field: str) -> Column:
-        return F.aggregate(
-            F.sequence(F.col("q_index") + 1, F.lit(len(CANDIDATE_PROBS))),
-            F.lit(0).cast("bigint"),
-            lambda acc, k: acc + F.coalesce(F.try_element_at("_m", k)[field], F.lit(0)),
-        )
-
-    counted = every.withColumn("_flagged", above("_n")).withColumn("tp", above("_pos"))
-    counted = counted.withColumns(
-        {
-            "fp": F.col("_flagged") - F.col("tp"),
-            "fn": F.col("_positives") - F.col("tp"),
-        }
-    ).withColumn("tn", F.col("_total") - F.col("_positives") - F.col("fp"))
+    rung = F.col("rung")
+    # No score lies strictly between a rung and the next, so a candidate flags everything above
+    # its lower rung, and that rung itself when it equals the candidate.
+    own = rung["score"] >= F.col("value")
+
+    def above(count: str) -> Column:
+        rest = rung[f"total_{count}"] - rung[f"cum_{count}"]
+        return rest + F.when(own, rung[count]).otherwise(0)
+
+    counted = grid.select(
+        *by, "q_index", F.col("value").alias("threshold"),
+        above("n").alias("_flagged"), above("pos").alias("tp"),
+        rung["total_pos"].alias("_pos"), rung["total_n"].alias("_n"),
+    ).withColumns({"fp": F.col("_flagged") - F.col("tp"), "fn": F.col("_pos") - F.col("tp")})
+    counted = counted.withColumn("tn", F.col("_n") - F.col("_pos") - F.col("fp"))
     rated = with_rates(counted, ["recall", "f1", "false_positive_rate"])
     return rated.select(
         *by, "q_index", "threshold", "tn", "fp", "fn", "tp",

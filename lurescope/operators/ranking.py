@@ -8,7 +8,7 @@ accumulates inside each bucket. Bucket edges only steer the work; every count is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,6 +16,11 @@ BUCKETS = 512
 _ACCURACY = 10_000
 
 
+def literals(values: Iterable[float]) -> str:
+    """SQL array of doubles (one parse instead of one call per element)."""
+    return "array(" + ", ".join(f"double('{float(v)!r}')" for v in values) + ")"
+
+
 def leading(sorted_values: Column, size: int, test: Callable[[Column], Column]) -> Column:
     """How many leading elements pass ``test``, which must hold for a prefix only.
 
@@ -27,7 +32,8 @@ def leading(sorted_values: Column, size: int, test: Callable[[Column], Column])
         there = F.get(sorted_values, found + jump - 1)
         return F.when(there.isNotNull() & test(there), found + jump).otherwise(found)
 
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), probe)
+    # Never null, so a join on it adds no null filter that would repeat the search at the scan.
+    return F.coalesce(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), probe), F.lit(0))
 
 
 def upper_bound(sorted_values: Column, size: int, value: Column) -> Column:
@@ -54,62 +60,65 @@ def score_ladder(
 ) -> DataFrame:
     """One row per (group, distinct score) with running counts, scores ascending.
 
-    Columns: ``by``, ``score``, ``n`` and ``pos`` at this score, ``cum_n`` and ``cum_pos`` up to and
-    including it, ``total_n`` and ``total_pos`` per group. Null and NaN scores are left out.
+    Columns: ``by``, ``score``, ``n`` rows and ``pos`` positives at this score, ``cum_n`` and
+    ``cum_pos`` up to and including it, ``total_n`` and ``total_pos`` per group; the three ``pos``
+    columns only with a ``positive`` condition. Null and NaN scores are left out.
     """
     by = list(by)
-    flag = (F.lit(0) if positive is None else positive).cast("bigint")
     # Adding zero folds -0.0 into 0.0.
     value = F.col(score).cast("double") + F.lit(0.0)
+    counts = [F.count(F.lit(1)).alias("n")]
+    tallies = {"n": "total_n"}
+    columns = [*by, value.alias("score")]
+    if positive is not None:
+        columns.append(positive.cast("bigint").alias("_pos"))
+        counts.append(F.sum("_pos").alias("pos"))
+        tallies["pos"] = "total_pos"
     distinct = (
-        df.select(*by, value.alias("score"), flag.alias("_pos"))
+        df.select(*columns)
         .where(F.col("score").isNotNull() & ~F.isnan("score"))
         .groupBy(*by, "score")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("_pos").alias("pos"))
+        .agg(*counts)
     )
-    grid = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = distinct.groupBy(*by).agg(
-        F.percentile_approx("score", grid, _ACCURACY).alias("_edges")
+    grid = literals(i / BUCKETS for i in range(1, BUCKETS))
+    # The edges read the same columns as the branches below, so all share one shuffle.
+    overall = distinct.groupBy(*by).agg(
+        F.expr(f"percentile_approx(score, {grid}, {_ACCURACY})").alias("_edges"),
+        *(F.sum(c).alias(total) for c, total in tallies.items()),
     )
-    placed = attach(distinct, edges, by, ["_edges"])
-    placed = placed.withColumn(
-        "_bucket", upper_bound(F.col("_edges"), BUCKETS - 1, F.col("score"))
-    ).drop("_edges")
-    totals = placed.groupBy(*by, "_bucket").agg(
-        F.sum("n").alias("_bn"), F.sum("pos").alias("_bpos")
+    slot = upper_bound(F.col("_edges"), BUCKETS - 1, F.col("score"))
+    placed = (
+        attach(distinct, overall, by, ["_edges", *tallies.values()])
+        .withColumn("_bucket", slot)
+        .drop("_edges")
     )
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = whole.orderBy("_bucket")
+    totals = placed.groupBy(*by, "_bucket").agg(*(F.sum(c).alias(f"_{c}") for c in tallies))
+    upto = Window.partitionBy(*by or [F.lit(0)]).orderBy("_bucket")
     offsets = totals.select(
-        *by,
-        "_bucket",
-        (F.sum("_bn").over(upto) - F.col("_bn")).alias("_n0"),
-        (F.sum("_bpos").over(upto) - F.col("_bpos")).alias("_pos0"),
-        F.sum("_bn").over(whole).alias("total_n"),
-        F.sum("_bpos").over(whole).alias("total_pos"),
+        *by, "_bucket", *((F.sum(f"_{c}").over(upto) - F.col(f"_{c}")).alias(f"_{c}") for c in tallies)
+    )
+    inside = Window.partitionBy(*by, "_bucket").orderBy("score").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("score")
     return placed.join(F.broadcast(offsets), [*by, "_bucket"]).select(
         *by,
         "score",
-        "n",
-        "pos",
-        (F.col("_n0") + F.sum("n").over(inside)).alias("cum_n"),
-        (F.col("_pos0") + F.sum("pos").over(inside)).alias("cum_pos"),
-        "total_n",
-        "total_pos",
+        *tallies,
+        *((F.col(f"_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in tallies),
+        *tallies.values(),
     )
 
 
 def ladder_quantiles(ladder: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated quantiles of a ladder: one (group, q_index, q, value) row per prob.
 
-    Only the rungs that hold a wanted rank leave the scan, at most two per prob and group.
+    ``rung`` is the ladder row just at or below the value. Only the rungs that hold a wanted rank
+    leave the scan, at most two per prob and group.
     """
-    by = list(by)
+    by, columns = list(by), ladder.columns
     order = sorted(range(len(probs)), key=lambda i: probs[i])
-    ordered = F.array(*[F.lit(float(probs[i])) for i in order])
-    places = F.array(*[F.lit(i) for i in order])
+    ordered = F.expr(literals(probs[i] for i in order))
+    places = F.expr(f"array({', '.join(map(str, order))})")
     # A rung covers ranks [low, high]; prob p asks for the ranks around (total_n - 1) * p.
     span = F.col("total_n") - 1
     low, high = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
@@ -132,18 +141,23 @@ def ladder_quantiles(ladder: DataFrame, probs: Sequence[float], by: Sequence[str
         .withColumn("_h", span * F.col("_hit.p"))
     )
     floor_rank, ceil_rank = F.floor("_h"), F.ceil("_h")
+    carried = [c for c in ("n", "pos", "cum_n", "cum_pos", "total_n", "total_pos") if c in columns]
+    lower = F.when(floor_rank.between(low, high), F.struct("score", *carried))
     wanted = hit.groupBy(*by, F.col("_hit.i").alias("q_index"), F.col("_hit.p").alias("q")).agg(
-        F.max(F.when(floor_rank.between(low, high), F.col("score"))).alias("_a"),
+        F.max(lower).alias("_a"),
         F.max(F.when(ceil_rank.between(low, high), F.col("score"))).alias("_b"),
         F.max(F.col("_h") - floor_rank).alias("_f"),
     )
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
-    return wanted.select(*by, "q_index", "q", value.alias("value"))
+    low_score = F.col("_a.score")
+    value = low_score + (F.col("_b") - low_score) * F.col("_f")
+    return wanted.select(
+        *by, "q_index", "q", value.alias("value"), F.col("_a").alias("rung")
+    )
 
 
 def quantiles(df: DataFrame, score: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles of ``score``; see :func:`ladder_quantiles`."""
-    return ladder_quantiles(score_ladder(df, score, by=by), probs, by)
+    return ladder_quantiles(score_ladder(df, score, by=by), probs, by).drop("rung")
 
 
 def median(df: DataFrame, score: str, name: str = "median") -> DataFrame:
