@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .charclass import ALNUM, DIGIT, LETTER, SPACE
 from .url_enriched import count_of
-from .urls import split_url
+from .urls import split_url, stages
 
 # Feature names in their stable column order.
 FEATURES = (
@@ -20,17 +20,18 @@ _LEAD = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"
 
 def with_basic_features(df: DataFrame, url: str) -> DataFrame:
     """Append the basic features of column ``url`` as doubles, in their stable order."""
-    raw = F.col("_b_url")
-    staged = df.withColumn("_b_url", F.coalesce(F.col(url), F.lit("")))
-    stripped = F.regexp_replace(raw, f"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
-    staged = staged.withColumn("_b_trim", stripped).withColumn(
-        "_b_abs",
-        F.when(F.col("_b_trim").rlike(_LEAD), F.col("_b_trim")).otherwise(
-            F.concat(F.lit("http://"), F.col("_b_trim"))
-        ),
+    raw, trim, ok = F.col("_b_url"), F.col("_b_trim"), F.col("_b_ok")
+    body = F.col("_b_body")
+    staged = stages(
+        df,
+        {"_b_url": F.coalesce(F.col(url), F.lit(""))},
+        {
+            "_b_trim": F.regexp_replace(raw, f"(?U)^[{SPACE}]+|[{SPACE}]+$", ""),
+            "_b_cut": F.substring(raw, F.lit(1), F.length(raw) - 1),
+        },
+        {"_b_abs": F.when(trim.rlike(_LEAD), trim).otherwise(F.concat(F.lit("http://"), trim))},
     )
     staged = split_url(staged, F.col("_b_abs"), "_b_")
-    ok = F.col("_b_ok")
     # A malformed authority falls back to the text between scheme and the first / ? or #.
     netloc = F.when(ok, F.col("_b_netloc")).otherwise(
         F.regexp_extract("_b_abs", _LEAD + "([^/?#]*)", 1)
@@ -38,28 +39,24 @@ def with_basic_features(df: DataFrame, url: str) -> DataFrame:
     scheme = F.when(ok, F.col("_b_scheme")).otherwise(
         F.lower(F.substring_index("_b_abs", "://", 1))
     )
-    staged = (
-        staged.withColumn(
-            "_b_host", F.substring_index(F.substring_index(netloc, "@", -1), ":", 1)
-        )
-        .withColumn("_b_https", (scheme == "https").cast("int"))
-        .withColumn("_b_cut", F.substring(raw, F.lit(1), F.length(raw) - 1))
-        .withColumn("_b_len", F.length("_b_cut"))
-        .withColumn(
-            "_b_body",
-            F.regexp_replace(F.regexp_replace("_b_cut", _LEAD, ""), r"(?i)^www\.", ""),
-        )
-        .withColumn("_b_letters", F.regexp_count("_b_body", F.lit(f"[{LETTER}]")))
-        .withColumn("_b_digits", F.regexp_count("_b_body", F.lit(f"[{DIGIT}]")))
-        .withColumn("_b_special", F.regexp_count("_b_body", F.lit(f"[^{ALNUM}]")))
-        .withColumn(
-            "_b_obf",
-            F.regexp_count("_b_body", F.lit("%[0-9a-fA-F]{2}"))
-            + F.regexp_count("_b_body", F.lit(r"[^\x00-\x7F]")),
-        )
-        .withColumn("_b_eq", count_of(F.col("_b_body"), "="))
-        .withColumn("_b_qm", count_of(F.col("_b_body"), "?"))
-        .withColumn("_b_amp", count_of(F.col("_b_body"), "&"))
+    staged = stages(
+        staged,
+        {
+            "_b_host": F.substring_index(F.substring_index(netloc, "@", -1), ":", 1),
+            "_b_https": (scheme == "https").cast("int"),
+            "_b_len": F.length("_b_cut"),
+            "_b_body": F.regexp_replace(F.regexp_replace("_b_cut", _LEAD, ""), r"(?i)^www\.", ""),
+        },
+        {
+            "_b_letters": F.regexp_count(body, F.lit(f"[{LETTER}]")),
+            "_b_digits": F.regexp_count(body, F.lit(f"[{DIGIT}]")),
+            "_b_special": F.regexp_count(body, F.lit(f"[^{ALNUM}]")),
+            "_b_obf": F.regexp_count(body, F.lit("%[0-9a-fA-F]{2}"))
+            + F.regexp_count(body, F.lit(r"[^\x00-\x7F]")),
+            "_b_eq": count_of(body, "="),
+            "_b_qm": count_of(body, "?"),
+            "_b_amp": count_of(body, "&"),
+        },
     )
     host, size = F.col("_b_host"), F.col("_b_len")
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .charclass import CONSONANT_RUN, DIGIT, LETTER
-from .urls import split_url
+from .urls import split_url, stages
 
 # Default word lists of the enriched feature set.
 KEYWORDS = (
@@ -89,35 +89,27 @@ def with_enriched_features(
     df: DataFrame, url: str, exclude: Sequence[str] = (), lexicon: Lexicon = Lexicon()
 ) -> DataFrame:
     """Append the enriched features of column ``url`` as doubles, in their stable order."""
-    raw = F.col("_f_url")
-    staged = df.withColumn("_f_url", F.coalesce(F.col(url), F.lit("")))
+    raw, ok, dom = F.col("_f_url"), F.col("_f_ok"), F.col("_f_dom")
     absolute = F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("http://"), raw))
-    staged = split_url(staged, absolute, "_f_")
-    ok = F.col("_f_ok")
-    staged = (
-        staged.withColumn("_f_host", F.when(ok, F.lower("_f_netloc")).otherwise(""))
-        .withColumn("_f_lpath", F.when(ok, F.lower("_f_path")).otherwise(""))
-        .withColumn("_f_bare", F.substring_index("_f_host", ":", 1))
-        .withColumn("_f_dom", F.regexp_replace("_f_bare", r"^www\.", ""))
-        .withColumn("_f_low", F.lower(raw))
-        .withColumn("_f_n", F.length(raw))
-        .withColumn("_f_dn", F.length("_f_dom"))
-        .withColumn(
-            "_f_turns",
-            F.greatest(
-                F.regexp_count(
-                    "_f_dom", F.lit(f"[{LETTER}]+|[{DIGIT}]+|[^{LETTER}{DIGIT}]+")
-                ) - 1,
-                F.lit(0),
-            ),
-        )
-        .withColumn(
-            "_f_hits",
-            sum((count_of(F.col("_f_low"), k) for k in lexicon.keywords), F.lit(0)),
-        )
-        .withColumn("_f_pct", count_of(raw, "%"))
+    staged = split_url(df.withColumn("_f_url", F.coalesce(F.col(url), F.lit(""))), absolute, "_f_")
+    turns = F.regexp_count(dom, F.lit(f"[{LETTER}]+|[{DIGIT}]+|[^{LETTER}{DIGIT}]+")) - 1
+    staged = stages(
+        staged,
+        {
+            "_f_host": F.when(ok, F.lower("_f_netloc")).otherwise(""),
+            "_f_lpath": F.when(ok, F.lower("_f_path")).otherwise(""),
+            "_f_low": F.lower(raw),
+            "_f_n": F.length(raw),
+            "_f_pct": count_of(raw, "%"),
+        },
+        {
+            "_f_bare": F.substring_index("_f_host", ":", 1),
+            "_f_hits": sum((count_of(F.col("_f_low"), k) for k in lexicon.keywords), F.lit(0)),
+        },
+        {"_f_dom": F.regexp_replace("_f_bare", r"^www\.", "")},
+        {"_f_dn": F.length(dom), "_f_turns": F.greatest(turns, F.lit(0))},
     )
-    host, bare, dom = F.col("_f_host"), F.col("_f_bare"), F.col("_f_dom")
+    host, bare = F.col("_f_host"), F.col("_f_bare")
     path, turns, hits = F.col("_f_lpath"), F.col("_f_turns"), F.col("_f_hits")
     size = F.greatest(F.col("_f_n"), F.lit(1))
     dom_size = F.greatest(F.col("_f_dn"), F.lit(1))

@@ -58,19 +58,29 @@ def split_url(df: DataFrame, text: Column, prefix: str) -> DataFrame:
     """
     p = prefix
     tidy = F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    return (
-        df.withColumn(f"{p}tidy", tidy)
-        .withColumn(f"{p}scheme", F.lower(F.regexp_extract(f"{p}tidy", _SCHEME, 1)))
-        .withColumn(f"{p}rest", F.regexp_replace(f"{p}tidy", _SCHEME, ""))
-        .withColumn(f"{p}netloc", F.regexp_extract(f"{p}rest", r"^//([^/?#]*)", 1))
-        .withColumn(f"{p}ok", _brackets_ok(F.col(f"{p}netloc")))
-        .withColumn(f"{p}full", F.regexp_extract(f"{p}rest", r"^(?://[^/?#]*)?([^?#]*)", 1))
-        .withColumn(
-            f"{p}path",
-            F.when(
-                F.col(f"{p}scheme").isin(*_WITH_PARAMS) & F.col(f"{p}full").contains(";"),
-                F.regexp_replace(f"{p}full", r";[^/]*$", ""),
-            ).otherwise(F.col(f"{p}full")),
-        )
-        .drop(f"{p}tidy", f"{p}rest", f"{p}full")
+    scheme, full, netloc = F.col(f"{p}scheme"), F.col(f"{p}full"), F.col(f"{p}netloc")
+    return stages(
+        df,
+        {f"{p}tidy": tidy},
+        {
+            f"{p}scheme": F.lower(F.regexp_extract(f"{p}tidy", _SCHEME, 1)),
+            f"{p}rest": F.regexp_replace(f"{p}tidy", _SCHEME, ""),
+        },
+        {
+            f"{p}netloc": F.regexp_extract(f"{p}rest", r"^//([^/?#]*)", 1),
+            f"{p}full": F.regexp_extract(f"{p}rest", r"^(?://[^/?#]*)?([^?#]*)", 1),
+        },
+        {
+            f"{p}ok": _brackets_ok(netloc),
+            f"{p}path": F.when(
+                scheme.isin(*_WITH_PARAMS) & full.contains(";"), F.regexp_replace(full, r";[^/]*$", "")
+            ).otherwise(full),
+        },
     )
+
+
+def stages(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    """Add columns step by step; a step may read what earlier ones added."""
+    for step in steps:
+        df = df.withColumns(step)
+    return df

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urls import extract_urls
-from .ranking import attach, median
+from .ranking import median
 
 
 def message_urls(messages: DataFrame, key: str, body: str, carry: Sequence[str] = (), keep_empty: bool = False) -> DataFrame:
@@ -35,7 +35,8 @@ def max_per_message(
     """Highest URL score per message from rows that keep URL-less messages (null URL).
 
     ``neutral`` fills messages without URL: ``median`` takes the median over all URL scores,
-    ``zero`` takes 0. One hash aggregation per message key; no join.
+    ``zero`` takes 0. One hash aggregation per message key; no join. The median is computed here
+    and enters as a constant, so ``urls`` should be stored scores rather than a scoring plan.
     """
     real = {s: F.when(F.col("url").isNotNull(), F.col(s)) for s in scores}
     best = urls.groupBy(key, *carry).agg(*(F.max(real[s]).alias(s) for s in scores))
@@ -55,10 +56,8 @@ def _fill(frame: DataFrame, urls: DataFrame, scores: Sequence[str], neutral: str
         return frame.fillna(0.0, list(scores))
     if neutral != "median":
         raise ValueError("neutral is 'median' or 'zero'")
-    for s in scores:
-        frame = attach(frame, median(urls, s, "_neutral"), [], ["_neutral"])
-        frame = frame.withColumn(s, F.coalesce(s, "_neutral")).drop("_neutral")
-    return frame
+    neutral_score = {s: median(urls, s).first()[0] for s in scores}
+    return frame.fillna({s: v for s, v in neutral_score.items() if v is not None})
 
 
 def completeness(messages: DataFrame, urls: DataFrame, key: str) -> DataFrame:

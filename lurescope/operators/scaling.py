@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .ranking import attach
 
 
 def fit_scaler(train: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -32,28 +31,23 @@ def scaler_rows(state: DataFrame) -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, state: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``(x - mean) / std`` for every feature, never refitted; a map with a scalar subquery.
+    """``(x - mean) / std`` for every feature, never refitted: a map with constants.
 
-    The feature list of the state is compared with ``features``: the two URL feature spaces and
-    their subsets are not interchangeable.
+    The state is read here, so its lineage is not repeated in the plan of ``df``. Its feature list
+    must equal ``features``: the two URL feature spaces and their subsets are not
+    interchangeable.
     """
-    features = list(features)
-    checked = state.select(
-        F.when(F.col("features") == F.lit(features), F.struct("mean", "std"))
-        .otherwise(F.raise_error(F.lit(f"scaler was not fitted on {features}")))
-        .alias("fit")
-    )
-    # Flat scalars rather than arrays, so no per-row array is carried along.
-    names = [f"_{part}{i}" for part in ("m", "s") for i in range(len(features))]
-    flat = checked.select(
-        *(F.col("fit")[part][i].alias(f"_{part[0]}{i}") for part in ("mean", "std") for i in range(len(features)))
-    )
-    scaled = {
-        f: (F.col(f) - F.col(f"_m{i}")) / F.col(f"_s{i}") for i, f in enumerate(features)
-    }
-    return attach(df, flat, [], names).select(
-        *(scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns)
-    )
+    fitted = load_scaler(state, features)
+    scaled = {f: (F.col(f) - mean) / std for f, mean, std in fitted}
+    return df.select(*(scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns))
+
+
+def load_scaler(state: DataFrame, features: Sequence[str]) -> list[tuple[str, float, float]]:
+    """Read the fitted numbers (two per feature) and check which features they belong to."""
+    row = state.first()
+    if list(row["features"]) != list(features):
+        raise ValueError(f"scaler was fitted on {row['features']}, not on {list(features)}")
+    return list(zip(row["features"], row["mean"], row["std"]))
 
 
 def mean_square(features: Sequence[str]) -> Column:

@@ -61,10 +61,12 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` once its row count is known to be at most ``max_rows``.
+    """Broadcast ``df`` once it is known to have at most ``max_rows`` rows.
 
-    The frame is written to the shared folder and counted; a larger one is returned without a
-    hint, so the join shuffles on its key instead.
+    At most ``max_rows`` + 1 rows reach the driver. A larger frame is returned without a hint, so
+    the join shuffles on its key instead.
     """
-    stored = materialise(df, "side")
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
