@@ -218,8 +218,8 @@ RATES = {
 }
 
 
-def rates(*names: str) -> str:
-    return ", ".join(f"round({RATES[n]}, 6) as {n}" for n in names)
+def rates(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({RATES[n]}, {digits}) as {n}" for n in names)
 
 
 THRESHOLDS = f"""
@@ -240,7 +240,7 @@ best_fpr as (select * from feasible union all
 
 def threshold(strategy: str) -> str:
     return f"""with {SCORES}, {THRESHOLDS}
-select strategy, round(threshold, 6) as threshold, round(strategy_value, 6) as strategy_value from best_{strategy}"""
+select strategy, round(threshold, 9) as threshold, round(strategy_value, 9) as strategy_value from best_{strategy}"""
 
 
 FEATURED = SPLIT + "," + enriched_cte("splitted", "featured")
@@ -388,9 +388,9 @@ select safe_0, phishing_1, round(greatest(safe_0, phishing_1) / (safe_0 + phishi
     "url_presence": f"""with {EMAILS}, {URLS} select round(avg((len(us) > 0)::integer), 6) as url_presence_rate,
  round(avg(len(us)), 6) as avg_urls_per_message from found""",
     "score_summary": f"""with {SCORES}, l as (select 'score' as model, score as s from scores union all select 'score2', score2 from scores)
-select model, count(s) as n, round(avg(s), 6) as mean, round(stddev_samp(s), 6) as std, round(min(s), 6) as min,
- round(quantile_cont(s, 0.25), 6) as q25, round(quantile_cont(s, 0.5), 6) as median, round(quantile_cont(s, 0.75), 6) as q75,
- round(max(s), 6) as max from l group by model""",
+select model, count(s) as n, round(avg(s), 9) as mean, round(stddev_samp(s), 9) as std, round(min(s), 9) as min,
+ round(quantile_cont(s, 0.25), 9) as q25, round(quantile_cont(s, 0.5), 9) as median, round(quantile_cont(s, 0.75), 9) as q75,
+ round(max(s), 9) as max from l group by model""",
     "score_separation": f"""with {SCORES}, l as (select 'score' as model, score as s, y from scores union all select 'score2', score2, y from scores),
 m as (select model, avg(s) filter (y = 1) as phish_mean, avg(s) filter (y = 0) as legit_mean from l group by model)
 select model, round(phish_mean, 6) as phish_mean, round(legit_mean, 6) as legit_mean, round(phish_mean - legit_mean, 6) + 0.0 as diff,
@@ -405,7 +405,7 @@ select model, round(phish_mean, 6) as phish_mean, round(legit_mean, 6) as legit_
         for c in FEATURES
     ),
     "quantile_grid": f"with {SCORES} " + " union all ".join(
-        f"select {i} as q_index, round(quantile_cont(score, {(i + 1) / 100}), 6) as value from scores" for i in range(99)
+        f"select {i} as q_index, round(quantile_cont(score, {(i + 1) / 100}), 9) as value from scores" for i in range(99)
     ),
     "scaled_features": f"with {SCALED} select url, label, source, split, {rounded(FEATURES)} from scaled",
     "threshold_f1": threshold("f1"),
@@ -422,8 +422,8 @@ picks as (select * from best_f1 union all select * from best_youden union all se
 tst as (select score, y from scores where split = 'test'),
 j as (select strategy, threshold, strategy_value, score >= threshold as hit, y from picks, tst),
 k as (select strategy, threshold, strategy_value, {CONFUSION} from j group by all)
-select strategy, round(threshold, 6) as threshold, round(strategy_value, 6) as strategy_value, tn, fp, fn, tp,
- {rates('precision', 'recall', 'f1', 'false_positive_rate')}, round(auc_roc, 6) as auc_roc, round(auc_pr, 6) as auc_pr
+select strategy, round(threshold, 9) as threshold, round(strategy_value, 9) as strategy_value, tn, fp, fn, tp,
+ {rates('precision', 'recall', 'f1', 'false_positive_rate', digits=9)}, round(auc_roc, 9) as auc_roc, round(auc_pr, 9) as auc_pr
 from k, {areas('tst', 'score')}""",
     "auc_roc": f"with {SCORES} select round(auc_roc, 6) as auc_roc from {areas('scores', 'score')}",
     "average_precision": f"with {SCORES} select round(auc_pr, 6) as auc_pr from {areas('scores', 'score')}",
@@ -510,6 +510,6 @@ from k where rn = 1""",
     "fuse_scores": f"""with {SCORES}, f as (
  select key, 'score' as semantic, 'score2' as anomaly, score * 0.5 + score2 * 0.5 as fused from scores union all
  select key, 'score', 'score3', score * 0.5 + (score * score2) * 0.5 from scores)
-select key, semantic, anomaly, round(fused, 6) as fused,
+select key, semantic, anomaly, fused,
  case when fused >= 0.6 then 'phishing' when fused >= 0.4 then 'suspicious' else 'legitimate' end as verdict from f""",
 }

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType
 
 from lurescope.functions.text import REDACTIONS, clean_text, redact_columns, redact_text, token_count, with_redaction, within_length
 from lurescope.functions.url_basic import FEATURES as BASIC, with_basic_features
@@ -384,7 +385,7 @@ def _neutral_distance(dropped) -> Column:
 def fuse_scores(spark, sf):
     rows = scores(spark, sf).select("key", "score", "score2", (F.col("score") * F.col("score2")).alias("score3"))
     fused = joint.fuse_scores(rows, "key", ["score"], ["score2", "score3"])
-    return rounded(fused)
+    return fused
 
 
 # --- aggregates ----------------------------------------------------------------------------------
@@ -402,7 +403,7 @@ def class_balance(spark, sf):
 
 
 def score_summary(spark, sf):
-    return rounded(aggregates.score_summary(scores(spark, sf), ["score", "score2"]))
+    return rounded(aggregates.score_summary(scores(spark, sf), ["score", "score2"]), 9)
 
 
 def score_separation(spark, sf):
@@ -411,7 +412,7 @@ def score_separation(spark, sf):
 
 def quantile_grid(spark, sf):
     grid = ranking.quantiles(scores(spark, sf), "score", metrics.CANDIDATE_PROBS)
-    return rounded(grid.select(F.col("q_index").cast("int").alias("q_index"), "value"))
+    return rounded(grid.select(F.col("q_index").cast("int").alias("q_index"), "value"), 9)
 
 
 # --- metrics -------------------------------------------------------------------------------------
@@ -420,7 +421,7 @@ def _threshold(strategy):
     def run(spark, sf):
         rows = scores(spark, sf).where(F.col("split") == "val")
         picked = metrics.pick_thresholds(rows, "score", "y")
-        return rounded(picked.where(F.col("strategy") == strategy))
+        return rounded(picked.where(F.col("strategy") == strategy), 9)
     return run
 
 
@@ -435,7 +436,7 @@ def metrics_at_half(spark, sf):
 def strategy_report(spark, sf):
     rows = scores(spark, sf)
     val, test = rows.where(F.col("split") == "val"), rows.where(F.col("split") == "test")
-    return rounded(metrics.strategy_report(val, test, "score", "y"))
+    return rounded(metrics.strategy_report(val, test, "score", "y"), 9)
 
 
 def auc_roc(spark, sf):
@@ -595,7 +596,7 @@ def _mean_model():
 
 def batch_predict(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    scored = classifiers.batch_predict(rows, ["embedding"], _mean_model, "double", 512, input_shapes=[[64]])
+    scored = classifiers.batch_predict(rows, ["embedding"], _mean_model, DoubleType(), 512, input_shapes=[[64]])
     return rounded(scored.select("vec_id", "score"))
 
 

@@ -24,7 +24,7 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
     """Balanced weight n / (classes * n_class) per class."""
     counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
     overall = counts.agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_k"))
-    return attach(counts, overall, [], ["_all", "_k"]).select(
+    return attach(counts, overall, ["_all", "_k"]).select(
         target, "n", (F.col("_all") / (F.col("_k") * F.col("n"))).alias("weight")
     )
 
@@ -92,7 +92,7 @@ def text_classifier(
 
 
 def batch_predict(
-    df: DataFrame, inputs: Sequence[str], make_predict: Callable, return_type: DataType | str,
+    df: DataFrame, inputs: Sequence[str], make_predict: Callable, return_type: DataType,
     batch_size: int = 512, out: str = "score", input_shapes=None,
 ) -> DataFrame:
     """Score a table with any user model: ``make_predict`` loads it once per Python worker and

@@ -37,7 +37,7 @@ def _tree_samples(df: DataFrame, key: str, features: Sequence[str], trees: int,
     tree. On small input both draws pass every row.
     """
     wanted = samples + 10 * math.sqrt(samples) + 20
-    counted = attach(df.select(key, *features), df.agg(F.count(F.lit(1)).alias("_n")), [], ["_n"])
+    counted = attach(df.select(key, *features), df.agg(F.count(F.lit(1)).alias("_n")), ["_n"])
     per_tree = F.least(F.lit(1.0), wanted / F.greatest("_n", F.lit(1)))
     any_tree = F.least(F.lit(1.0), per_tree * trees)
     row_draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_SPAN))

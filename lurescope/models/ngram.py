@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.ranking import attach
-from ..session import broadcast_if_small
+from ..session import local_copy, materialise
 
 MAX_LEN = 128
 FLOOR = 1e-9
@@ -40,13 +39,14 @@ def score_bigrams(df: DataFrame, key: str, text: str, bigrams: DataFrame, carry:
     mapping. With both count tables broadcast the characters of a row stay in its task and only
     one partial mean per row is shuffled.
     """
-    contexts = bigrams.groupBy("prev").agg(F.sum("n").alias("n_prev"))
-    alphabet = bigrams.agg((F.count_distinct("cur") + 1).alias("_v"))
+    small = local_copy(bigrams, MAX_BROADCAST_PAIRS)
+    pairs = materialise(bigrams, "bigrams") if small is None else small
+    side = (lambda frame: frame) if small is None else F.broadcast
+    contexts = pairs.groupBy("prev").agg(F.sum("n").alias("n_prev"))
+    symbols = pairs.agg(F.count_distinct("cur")).first()[0] + 1
     rows = df.select(key, *carry, F.explode_outer(_pairs(F.col(text))).alias("p"))
     rows = rows.select(key, *carry, F.col("p.prev").alias("prev"), F.col("p.cur").alias("cur"))
-    rows = rows.join(broadcast_if_small(bigrams, MAX_BROADCAST_PAIRS), ["prev", "cur"], "left")
-    rows = rows.join(broadcast_if_small(contexts, MAX_BROADCAST_PAIRS), "prev", "left")
-    rows = attach(rows, alphabet, [], ["_v"])
-    p = (F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_prev", F.lit(0)) + F.col("_v"))
+    rows = rows.join(side(pairs), ["prev", "cur"], "left").join(side(contexts), "prev", "left")
+    p = (F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_prev", F.lit(0)) + symbols)
     loss = F.when(F.col("cur").isNotNull(), -F.log(F.greatest(p, F.lit(FLOOR))))
     return rows.groupBy(key, *carry).agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias(out))

@@ -26,7 +26,7 @@ def mix(df: DataFrame, column: str) -> DataFrame:
     """Value counts with their share of all rows."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return attach(counts, total, [], ["_total"]).select(
+    return attach(counts, total, ["_total"]).select(
         column, "n", (F.col("n") / F.col("_total")).alias("share")
     )
 
@@ -120,4 +120,4 @@ def token_length_profile(df: DataFrame, tokens: str) -> DataFrame:
         )
     )
     names = [f"p{round(p * 100)}" for p in LENGTH_PROBS]
-    return attach(base, points, [], names)
+    return attach(base, points, names)

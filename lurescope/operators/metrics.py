@@ -96,7 +96,7 @@ def evaluate(df: DataFrame, score: str, target: str, threshold: Column | float,
     """One row: rates and counts at a threshold plus both areas, unrounded."""
     names = ["precision", "recall", "f1", "false_positive_rate", *(["accuracy"] if accuracy else [])]
     cells = with_rates(confusion(df, score, target, threshold), names)
-    return attach(cells, areas(df, score, target), [], ["auc_roc", "auc_pr"])
+    return attach(cells, areas(df, score, target), ["auc_roc", "auc_pr"])
 
 
 def threshold_table(ladder: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -178,7 +178,7 @@ def strategy_report(
             for s in STRATEGIES
         )
     )
-    judged = attach(labelled(test, score, target), packed, [], list(STRATEGIES))
+    judged = attach(labelled(test, score, target), packed, list(STRATEGIES))
     truth = F.col(target) == 1
     cells = []
     for s in STRATEGIES:
@@ -204,7 +204,7 @@ def strategy_report(
             )
         ).alias("r")
     ).select("r.*")
-    return attach(with_rates(rows), areas(test, score, target), [], ["auc_roc", "auc_pr"])
+    return attach(with_rates(rows), areas(test, score, target), ["auc_roc", "auc_pr"])
 
 
 def inversion_check(df: DataFrame, score: str, target: str, by: Sequence[str] = ()) -> DataFrame:

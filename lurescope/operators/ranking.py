@@ -1,24 +1,27 @@
 """Distributed order statistics: cumulative counts over a score without a one-task sort.
 
-``score_ladder`` is the base of quantiles, curves, AUC and threshold choice. It first collapses
-equal scores (so a score shared by a third of the rows costs one row), cuts the distinct scores
-into buckets at approximate quantiles, prefix-sums the at most ``BUCKETS`` bucket totals, and then
-accumulates inside each bucket. Bucket edges only steer the work; every count is exact.
+``score_ladder`` is the base of quantiles, curves, AUC and threshold choice. A first pass sketches
+bucket edges; the ladder then collapses equal scores (so a score shared by a third of the rows
+costs one row), prefix-sums the bucket totals, and accumulates inside each bucket. The edges only
+steer the work: they enter the plan as constants, and with any edges every count is exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 512
+MAX_BUCKETS = 4096
+ROWS_PER_BUCKET = 50_000
 _ACCURACY = 10_000
 
 
 def literals(values: Iterable[float]) -> str:
     """SQL array of doubles (one parse instead of one call per element)."""
-    return "array(" + ", ".join(f"double('{float(v)!r}')" for v in values) + ")"
+    one = lambda v: f"{v!r}D" if math.isfinite(v) else f"double('{v!r}')"
+    return "cast(array(" + ", ".join(one(float(v)) for v in values) + ") as array<double>)"
 
 
 def leading(sorted_values: Column, size: int, test: Callable[[Column], Column]) -> Column:
@@ -41,20 +44,32 @@ def upper_bound(sorted_values: Column, size: int, value: Column) -> Column:
     return leading(sorted_values, size, lambda there: there <= value)
 
 
-def attach(df: DataFrame, small: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Give every row the values of a one-row-per-group frame.
-
-    Without groups the values come from a scalar subquery, which Spark evaluates once. With
-    groups (models, splits, feature sets: a handful of literals) it is a broadcast join.
-    """
-    if by:
-        return df.join(F.broadcast(small.select(*by, *names)), list(by))
+def attach(df: DataFrame, small: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Give every row the values of a one-row frame, through a scalar subquery."""
     packed = small.select(F.struct(*names).alias("v")).scalar()
     return df.withColumn("_row", packed).select(
         *df.columns, *(F.col("_row")[n].alias(n) for n in names)
     )
 
 
+def bucket_edges(scores: DataFrame) -> list[float]:
+    """At most ``MAX_BUCKETS`` - 1 increasing edges that cut ``scores`` into similar parts.
+
+    One pass with a quantile sketch per task; only the sketch travels. A sketch merges in arrival
+    order and may differ between runs, hence it is read once and handed on as constants.
+    """
+    grid = literals(i / MAX_BUCKETS for i in range(1, MAX_BUCKETS))
+    row = scores.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.expr(f"percentile_approx(score, {grid}, {_ACCURACY})").alias("grid"),
+    ).first()
+    wanted = min(MAX_BUCKETS, row["n"] // ROWS_PER_BUCKET)
+    if wanted < 2:
+        return []
+    stride = MAX_BUCKETS // wanted
+    return sorted(set(row["grid"][stride - 1 :: stride]))
+
+
 def score_ladder(
     df: DataFrame, score: str, positive: Column | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -62,7 +77,8 @@ def score_ladder(
 
     Columns: ``by``, ``score``, ``n`` rows and ``pos`` positives at this score, ``cum_n`` and
     ``cum_pos`` up to and including it, ``total_n`` and ``total_pos`` per group; the three ``pos``
-    columns only with a ``positive`` condition. Null and NaN scores are left out.
+    columns only with a ``positive`` condition. Null and NaN scores are left out. Groups share the
+    edges, so no (group, bucket) part is larger than its bucket.
     """
     by = list(by)
     # Adding zero folds -0.0 into 0.0.
@@ -74,32 +90,24 @@ def score_ladder(
         columns.append(positive.cast("bigint").alias("_pos"))
         counts.append(F.sum("_pos").alias("pos"))
         tallies["pos"] = "total_pos"
-    distinct = (
-        df.select(*columns)
-        .where(F.col("score").isNotNull() & ~F.isnan("score"))
-        .groupBy(*by, "score")
-        .agg(*counts)
-    )
-    grid = literals(i / BUCKETS for i in range(1, BUCKETS))
-    # The edges read the same columns as the branches below, so all share one shuffle.
-    overall = distinct.groupBy(*by).agg(
-        F.expr(f"percentile_approx(score, {grid}, {_ACCURACY})").alias("_edges"),
-        *(F.sum(c).alias(total) for c, total in tallies.items()),
-    )
-    slot = upper_bound(F.col("_edges"), BUCKETS - 1, F.col("score"))
-    placed = (
-        attach(distinct, overall, by, ["_edges", *tallies.values()])
-        .withColumn("_bucket", slot)
-        .drop("_edges")
-    )
+    valid = df.select(*columns).where(F.col("score").isNotNull() & ~F.isnan("score"))
+    edges = bucket_edges(valid)
+    distinct = valid.groupBy(*by, "score").agg(*counts)
+    slot = upper_bound(F.expr(literals(edges)), len(edges), F.col("score"))
+    placed = distinct.withColumn("_bucket", slot)
     totals = placed.groupBy(*by, "_bucket").agg(*(F.sum(c).alias(f"_{c}") for c in tallies))
-    upto = Window.partitionBy(*by or [F.lit(0)]).orderBy("_bucket")
+    whole = Window.partitionBy(*by or [F.lit(0)])
+    upto = whole.orderBy("_bucket")
     offsets = totals.select(
-        *by, "_bucket", *((F.sum(f"_{c}").over(upto) - F.col(f"_{c}")).alias(f"_{c}") for c in tallies)
+        *by,
+        "_bucket",
+        *((F.sum(f"_{c}").over(upto) - F.col(f"_{c}")).alias(f"_{c}") for c in tallies),
+        *(F.sum(f"_{c}").over(whole).alias(total) for c, total in tallies.items()),
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy("score").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    # One row per group and bucket: bounded by the bucket count times the groups.
     return placed.join(F.broadcast(offsets), [*by, "_bucket"]).select(
         *by,
         "score",

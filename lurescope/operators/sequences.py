@@ -56,7 +56,7 @@ def encode_chars(df: DataFrame, text: str, vocab: DataFrame, out: str = "seq", m
     chars = F.when(F.length(head) > 0, F.split(head, "")).otherwise(F.array().cast("array<string>"))
     padding = F.array_repeat(F.lit(PAD), F.lit(max_len) - F.length(head))
     return (
-        attach(df, table, [], ["_ascii", "_rest"])
+        attach(df, table, ["_ascii", "_rest"])
         .withColumn(out, F.concat(F.transform(chars, lookup), padding))
         .drop("_ascii", "_rest")
     )

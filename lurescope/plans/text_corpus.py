@@ -76,7 +76,7 @@ def readiness_text(messages: DataFrame, labels: Mapping[str, int] = MESSAGE_TYPE
     )
     grouped = grouped.withColumn(
         "final", (F.col("stage") == "kept") & (F.col("_n") >= MIN_CHARS)
-    ).withColumn("text", F.when("final", F.col("text")).otherwise(""))
+    ).withColumn("text", F.when(F.col("final"), F.col("text")).otherwise(""))
     final, label = F.col("final"), F.col("label")
 
     def total(condition, value):

@@ -60,13 +60,19 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_copy(df: DataFrame, max_rows: int) -> DataFrame | None:
+    """A driver-held copy of ``df`` if it has at most ``max_rows`` rows, else None.
+
+    Never more than ``max_rows`` + 1 rows reach the driver.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    return None if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` once it is known to have at most ``max_rows`` rows.
 
-    At most ``max_rows`` + 1 rows reach the driver. A larger frame is returned without a hint, so
-    the join shuffles on its key instead.
+    A larger frame is returned without a hint, so the join shuffles on its key instead.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    small = local_copy(df, max_rows)
+    return df if small is None else F.broadcast(small)

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lurescope.operators import metrics, ranking
 
 
+@pytest.fixture(autouse=True)
+def many_buckets(monkeypatch):
+    """Small inputs must exercise the bucketed path too."""
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 23)
+
+
 def brute_auc(scores, target):
     pos = [s for s, y in zip(scores, target) if y]
     neg = [s for s, y in zip(scores, target) if not y]
