@@ -200,6 +200,8 @@ def casing_stats(spark, sf):
 
 def token_length_profile(spark, sf):
     docs = table(spark, sf, "documents").select(token_count(F.col("text")).alias("tokens"))
+    # Several passes follow; only the narrow count column is kept for them.
+    docs = materialise(docs, "tokens")
     return rounded(aggregates.token_length_profile(docs, "tokens"))
 
 
@@ -499,7 +501,7 @@ def _prepared(spark, sf):
 def iforest_fit(spark, sf):
     ready = _prepared(spark, sf)
     train = ready.scaled.where(F.col("split") == "train")
-    return iforest.fit_forest(train, "url", ready.features)
+    return iforest.fit_forest(train, "url", ready.features).drop("seconds")
 
 
 def iforest_score(spark, sf):
@@ -511,19 +513,16 @@ def iforest_score(spark, sf):
 
 
 def iforest_sweep(spark, sf):
-    """Fit time and test metrics per (trees, samples) setting; all settings scored in one pass."""
-    import time
+    """Growth time and test metrics per (trees, samples) setting.
 
+    One job grows the trees of all settings and one pass scores all of them.
+    """
     ready = _prepared(spark, sf)
     train = ready.scaled.where(F.col("split") == "train")
-    forests, seconds = {}, {}
-    for trees in (100, 200, 300):
-        for samples in (128, 256, 512):
-            begin = time.monotonic()
-            forests[f"{trees}_{samples}"] = materialise(
-                iforest.fit_forest(train, "url", ready.features, trees, samples), "forest"
-            )
-            seconds[f"{trees}_{samples}"] = time.monotonic() - begin
+    settings = [(trees, samples) for trees in (100, 200, 300) for samples in (128, 256, 512)]
+    nodes = materialise(iforest.fit_forests(train, "url", ready.features, settings), "forest")
+    forests = {f"{t}_{n}": iforest.select_forest(nodes, t, n) for t, n in settings}
+    seconds = {name: iforest.growth_seconds(forest) for name, forest in forests.items()}
     held = ready.scaled.where(F.col("split") != "train")
     scored = materialise(
         iforest.score_forests(held, ready.features, forests).select("label", "split", *forests), "scores"

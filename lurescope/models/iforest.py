@@ -7,6 +7,7 @@ the parameters and not by the data; scoring collects and broadcasts exactly that
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,7 +18,7 @@ from ..operators.ranking import attach
 
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, path double, "
-    "n_samples int"
+    "n_samples int, max_samples int, seconds double"
 )
 _SPAN = 1 << 31
 
@@ -74,30 +75,57 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
-def fit_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 200, samples: int = 512, seed: int = 42) -> DataFrame:
-    """Node table of the forest. Each tree grows in its own group of about ``samples`` rows.
+def fit_forests(
+    df: DataFrame, key: str, features: Sequence[str], settings: Sequence[tuple[int, int]], seed: int = 42
+) -> DataFrame:
+    """Node table for several (trees, samples) settings, grown in one job.
 
-    Rows with a null or NaN feature are left out. The result depends only on keys, values and seed.
+    A tree index draws one sample of the largest size; smaller settings use its first rows, and
+    fewer trees are a prefix of more. Each index grows in its own group of about ``samples`` rows.
+    Rows with a null or NaN feature are left out. Trees depend only on keys, values and seed.
     """
     features = list(features)
     usable = df.dropna(subset=features)
-    drawn = _tree_samples(usable, key, features, trees, samples, seed)
-    limit = max(1, math.ceil(math.log2(samples)))
+    drawn = _tree_samples(usable, key, features, max(t for t, _ in settings), max(n for _, n in settings), seed)
+    depth_of = {n: max(t for t, m in settings if m == n) for _, n in settings}
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_order", "_key"]).head(samples)
+        group = group.sort_values(["_order", "_key"])
         tree = int(group["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        nodes = _grow(group[features].to_numpy(float), rng, limit)
-        out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path"])
-        out.insert(0, "tree", tree)
-        out.insert(1, "node", np.arange(len(out)))
-        out["n_samples"] = len(group)
-        return out
+        parts = []
+        for samples, trees in depth_of.items():
+            if tree >= trees:
+                continue
+            begin = time.perf_counter()
+            x = group[features].head(samples).to_numpy(float)
+            limit = max(1, math.ceil(math.log2(samples)))
+            nodes = _grow(x, np.random.default_rng([seed, tree]), limit)
+            out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path"])
+            out.insert(0, "tree", tree)
+            out.insert(1, "node", np.arange(len(out)))
+            out["n_samples"], out["max_samples"] = len(x), samples
+            out["seconds"] = time.perf_counter() - begin
+            parts.append(out)
+        return pd.concat(parts)
 
     return drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
+def select_forest(nodes: DataFrame, trees: int, samples: int) -> DataFrame:
+    """The node table of one setting."""
+    return nodes.where((F.col("max_samples") == samples) & (F.col("tree") < trees))
+
+
+def growth_seconds(forest: DataFrame) -> float:
+    """Time spent growing the trees, summed over the workers."""
+    return forest.where(F.col("node") == 0).agg(F.sum("seconds")).first()[0] or 0.0
+
+
+def fit_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 200, samples: int = 512, seed: int = 42) -> DataFrame:
+    """Node table of one forest; see :func:`fit_forests`."""
+    return fit_forests(df, key, features, [(trees, samples)], seed)
+
+
 def _arrays(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
     trees = {t: i for i, t in enumerate(sorted(nodes["tree"].unique()))}
     rows, cols = nodes["tree"].map(trees).to_numpy(), nodes["node"].to_numpy()

@@ -37,13 +37,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV that :func:`read_csv` reads back unchanged, with quotes doubled and empties quoted."""
+    """CSV that :func:`read_csv` reads back unchanged, but for empty strings: those read as null."""
     (
         df.write.mode("overwrite")
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("emptyValue", '""')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
