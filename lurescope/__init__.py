@@ -1,0 +1 @@
+"""Phishing-signal preparation, scoring and evaluation as Spark DataFrame operations."""
