@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,26 +27,33 @@ def build_session(app: str = "lurescope", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a scratch folder if unset.
-
-    The scratch fallback is only for a local session; a cluster names its own folder.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or else one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        current = tempfile.mkdtemp(prefix="lurescope-")
-        sc.setCheckpointDir(current)
-    return current
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
+
+
+_written: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the stages written within it; read the results inside the scope."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written[before:]:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(hadoop).delete(where, True)
+        del _written[before:]
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -53,6 +61,7 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 
     Used where one expensive frame feeds several passes. Unlike a cached frame it survives the
     loss of executors, and unlike an RDD checkpoint it keeps column pruning for later reads.
+    ``stage_scope`` removes such stages; without it the folder's own retention rule does.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
