@@ -104,17 +104,13 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple], int]:
             each = min(gap // small, left[small])
             used = min(n, left[small] // each)
             place(small, first, used, each, capacity - gap)
-            gaps[gap - used_space(small, each)].append((first, used))
+            gaps[gap - small * each].append((first, used))
             if used < n:
                 gaps[gap].append((first + used, n - used))
             gap = small
     return slots, bins
 
 
-def used_space(length: int, each: int) -> int:
-    return length * each
-
-
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text) with its sequence and its place there.
 

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurescope.llm import packing, secrets
+from lurescope.llm import bpe_codec, minhash, packing, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digests(_table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secrets")
@@ -31,8 +39,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_pairs(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe_codec": op3_bpe_codec,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_one_permutation_minhash": op9_one_permutation_minhash,
 }
 ORACLES: dict[str, str] = {}
