@@ -240,7 +240,10 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialise(
             moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
         )
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")) if roots is None else roots
+    if roots is None:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    # An id that was another's parent can have had parents in several rounds; all lead to the same root.
+    return roots.groupBy("id").agg(F.min("root").alias("root"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

@@ -150,24 +150,27 @@ def distinct_words(table: pa.Table) -> tuple[pa.Array, list[np.ndarray]]:
 def joined(
     documents: DataFrame,
     answers: DataFrame,
-    finish: Callable[[np.ndarray, Words, list[bytes]], pa.Table],
+    finish: Callable[..., pa.Table],
     schema: str,
+    extra: bool = False,
 ) -> DataFrame:
-    """Blocks brought together with their answers, in bucket order; ``finish`` makes the rows."""
+    """Blocks brought together with their answers, in bucket order, and turned into rows.
+
+    ``finish`` gets the doc_ids, the documents as word numbers, the answers and, if wanted, what the
+    block's row has in ``extra``.
+    """
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         ordered = dict(sorted(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist())))
         out = []
         for row in left.to_pylist():
-            offsets, codes = unpacked(row["offsets"]), unpacked(row["codes"])
-            if len(codes) and not ordered:
+            words = Words(unpacked(row["offsets"]), unpacked(row["codes"]), None)
+            if len(words.codes) and not ordered:
                 raise RuntimeError("the documents changed between two reads; store them first")
-            out.append(finish(unpacked(row["doc_id"]), Words(offsets, codes, None), list(ordered.values())))
-        return pa.concat_tables(out)
-
-    def unanswered(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+            more = [row["extra"]] if extra else []
+            out.append(finish(unpacked(row["doc_id"]), words, list(ordered.values()), *more))
+        if not out:
             raise RuntimeError("the documents changed between two reads; store them first")
-        return meet(left, right)
+        return pa.concat_tables(out)
 
-    return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(unanswered, schema)
+    return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
