@@ -5,7 +5,7 @@ associated with the label; their document frequencies are counted over all docum
 laid out in blocks with similar examples side by side; the index keeps, per term, the postings of each
 block and their maximum. For a text the maxima bound what any example of a block can score, so blocks
 that cannot enter the text's nearest ``k`` are skipped and the neighbours are still exact. Neighbours
-vote by closeness, and a logistic curve fitted on further labelled documents calibrates the votes.
+vote by closeness, and a logistic curve fitted on the examples' votes for each other calibrates them.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from lurescope.llm import arrow_text
 
-#: Labelled documents taken as examples, and as many again for calibration.
+#: Most labelled documents taken as examples.
 EXAMPLES = 4096
 TERMS = 128
-#: A term must be in this share of the examples at least.
+#: A term must be in this share of the examples at least, and in this many.
 MIN_SHARE = 0.005
+MIN_COUNT = 6
 NEIGHBOURS = 32
 BLOCK = 64
 THRESHOLD = 0.3
@@ -92,6 +93,14 @@ class BlockMaxIndex:
                 visit(block, rows)
         return best, which
 
+    def nearest_others(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` of the examples themselves, each without itself."""
+        blocks = self.postings.transpose(0, 2, 1).reshape(-1, self.postings.shape[1])
+        similarities, numbers = self.nearest(blocks[: len(self.keys)], k + 1)
+        own = numbers == np.arange(len(self.keys))[:, None]
+        own[~own.any(axis=1), -1] = True  # among more equals than k: leave out the last instead
+        return similarities[~own].reshape(-1, k), numbers[~own].reshape(-1, k)
+
 
 @dataclass
 class Model:
@@ -191,21 +200,20 @@ def fit(
 ) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labelled`` (doc_id, target 0 or 1).
 
-    ``examples`` bounds the labelled documents used, twice: as examples and for calibration. Which are
-    taken depends on a hash of doc_id; of several labels of a document the highest counts, null ones
-    don't. Without usable labels every score is the base rate, 0 if there is none.
+    ``examples`` bounds the labelled documents used. Which are taken depends on a hash of doc_id; of
+    several labels of a document the highest counts, null ones don't. Without usable labels every score
+    is the base rate, 0 if there is none.
     """
     spark = docs.sparkSession
     clean = labelled.where("doc_id is not null and target is not null").groupBy("doc_id").agg(F.max("target").cast("int").alias("target"))
     # Bounded by the parameter.
-    drawn = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * examples).collect()
+    drawn = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()
     chosen = spark.createDataFrame(
-        [(r["doc_id"], r["target"], i % 2) for i, r in enumerate(drawn)], "doc_id long, target int, part int"
+        [(r["doc_id"], r["target"]) for r in drawn], "doc_id long, target int"
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = texts.where("part = 0")
-    words = _per_document_words(sample).select("target", F.explode("words").alias("word"))
-    n, positive = len(drawn[::2]), sum(r["target"] for r in drawn[::2])
+    words = _per_document_words(texts).select("target", F.explode("words").alias("word"))
+    n, positive = len(drawn), sum(r["target"] for r in drawn)
     rate = positive / n if n else 0.0
     if not 0 < positive < n:
         return Model({}, np.zeros(0), BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0))), rate)
@@ -213,7 +221,7 @@ def fit(
     ranked = (
         words.groupBy("word")
         .agg(F.count("*").alias("df"), F.sum("target").alias("positive"))
-        .where(F.col("df") >= max(2.0, MIN_SHARE * n))
+        .where(F.col("df") >= max(MIN_COUNT, MIN_SHARE * n))
         .orderBy(F.abs((F.col("positive") - F.col("df") * rate) / spread).desc(), "word")
         .limit(n_terms)
     )
@@ -227,19 +235,16 @@ def fit(
         for block in arrow_text.blocks(batches):
             made = vectors(arrow_text.alnum_words(arrow_text.plain(block.column("text"))), terms, idf)
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("target"), block.column("part"), pa.array(list(made))],
-                names=["doc_id", "target", "part", "weights"],
+                [block.column("doc_id"), block.column("target"), pa.array(list(made), pa.list_(pa.float64()))],
+                names=["doc_id", "target", "weights"],
             )
 
-    # At most 2 * examples rows of n_terms numbers.
-    made = texts.mapInArrow(weighted, "doc_id long, target int, part int, weights array<double>").orderBy("doc_id").toArrow()
-    part, keys = made["part"].to_numpy(), made["doc_id"].to_numpy()
-    targets = made["target"].to_numpy().astype(float)
-    rows = np.array(made["weights"].to_pylist(), dtype=float).reshape(len(part), len(names))
-    own = part == 0
-    model = Model(terms, idf, BlockMaxIndex.build(keys[own], targets[own], rows[own]), rate)
-    if (~own).any():
-        model.slope, model.shift = fit_logistic(model.votes(*model.index.nearest(rows[~own], neighbours)), targets[~own])
+    # At most as many rows as examples, of n_terms numbers each.
+    made = texts.mapInArrow(weighted, "doc_id long, target int, weights array<double>").orderBy("doc_id").toArrow()
+    rows = np.array(made["weights"].to_pylist(), dtype=float).reshape(made.num_rows, len(names))
+    index = BlockMaxIndex.build(made["doc_id"].to_numpy(), made["target"].to_numpy().astype(float), rows)
+    model = Model(terms, idf, index, rate)
+    model.slope, model.shift = fit_logistic(model.votes(*index.nearest_others(neighbours)), index.targets)
     return model
 
 
