@@ -54,7 +54,7 @@ def fingerprint(words: list[bytes]) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row; a null text is an empty one."""
+    """doc_id, a hash of the text and the fingerprint (as a signed long) of every row; null texts are empty."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in arrow_text.blocks(batches):
@@ -63,10 +63,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             made = [fingerprint(t.as_py().encode().lower().split()) for t in texts]
             signed = np.array(made, dtype=np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id").cast(pa.int64()), pa.array(signed)], names=["doc_id", "fingerprint"]
+                [block.column("doc_id"), block.column("version"), pa.array(signed)],
+                names=["doc_id", "version", "fingerprint"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, fingerprint long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    return keyed.mapInArrow(rows, "doc_id long, version long, fingerprint long")
 
 
 def _distances(points: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -246,6 +248,16 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.groupBy("id").agg(F.min("root").alias("root"))
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, fingerprint, component_id) of every row."""
+    prints = materialise(fingerprints(docs), "fingerprints")
+    ids = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")).where("id is not null")
+    groups = materialise(ids, "groups")
+    roots = components(links(groups))
+    named = groups.join(roots, "id", "left").select("fingerprint", F.coalesce("root", "id").alias("component_id"))
+    return prints.join(named, "fingerprint", "left")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row of ``docs``.
 
@@ -253,22 +265,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows without a doc_id get their fingerprint's component, null if no row of it has an id; an empty
     table gives no rows; other columns are ignored.
     """
-    prints = materialise(fingerprints(docs), "fingerprints")
-    ids = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")).where("id is not null")
-    groups = materialise(ids, "groups")
-    roots = components(links(groups))
-    named = groups.join(roots, "id", "left").select("fingerprint", F.coalesce("root", "id").alias("component_id"))
-    return prints.join(named, "fingerprint", "left").select(
-        "doc_id",
-        F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
-        "component_id",
-    )
+    written = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
+    return _grouped(docs).select("doc_id", written, "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id.
+    """``docs`` with one row of each near-duplicate group: that of the smallest doc_id.
 
-    Of rows that share that doc_id one stays; rows without a doc_id stay only if their group has none.
+    Of several texts with that doc_id the one with the smaller hash stays, of repeated rows any one. Rows
+    without a doc_id stay only where no row of their fingerprint has one.
     """
-    grouped = near_groups(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
-    return docs.join(grouped.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), F.col("fingerprint").cast("string")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")).alias("first")
+    kept = _grouped(docs).groupBy(group.alias("group")).agg(first).select("first.doc_id", "first.version")
+    own = docs.withColumn("__version", F.xxhash64("text"))
+    same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["__version"] == kept["version"])
+    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__version"]).drop("__version")
