@@ -2,8 +2,9 @@
 
 Every shingle is hashed once: its top bits name a bin, the rest compete for the bin's minimum. An empty
 bin borrows the minimum of a bin that a fixed sequence of hash draws, depending on the bin and the
-attempt alone, finds first among the filled ones. Of each bin the lowest bits are kept; since unequal
-minima agree there by chance, likeness is corrected for that.
+attempt alone, finds first among the filled ones. Each bin's value is mixed with the bin's number, so
+that bins which share a minimum agree by chance independently; of the result the lowest bits are kept,
+and likeness is corrected for the chance that unequal values agree in them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from lurescope.llm.shingles import mixed, run_hashes
 SHINGLE = 5
 BINS = 256
 BITS = 4
+_BIN_STEP = np.uint64(0xD6E8FEB86659FD93)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -58,7 +60,8 @@ def fingerprints(texts: pa.Array, bins: int = BINS, bits: int = BITS) -> list[by
         document * bins + (hashes >> np.uint64(64 - bin_bits)).astype(np.int64),
         hashes & np.uint64((1 << (64 - bin_bits)) - 1),
     )
-    dense = packed_bits(densified(minima.reshape(len(texts), bins)), bits)
+    values = mixed(densified(minima.reshape(len(texts), bins)) + np.arange(bins, dtype=np.uint64) * _BIN_STEP)
+    dense = packed_bits(values, bits)
     return [dense[i].tobytes() if n else b"" for i, n in enumerate(np.diff(offsets))]
 
 
