@@ -76,7 +76,7 @@ class Shard:
         sure = np.sort(weights @ postings[:, some])[::-1]
         threshold = sure[k - 1] - base.sum() if len(sure) >= k else -1
         # Non-essential terms are the tail of the order that cannot reach the threshold by itself.
-        essential = max(1, int(np.searchsorted(-rest, -threshold, side="right")))
+        essential = min(len(order), max(1, int(np.searchsorted(-rest, -threshold, side="right"))))
         alive = np.flatnonzero(self.keys != query_key)
         done = min(essential, STRIDE)
         partial = (lead if done == STRIDE else weights[order[:done]] @ postings[order[:done]])[alive]
