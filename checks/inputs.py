@@ -47,24 +47,22 @@ def labelled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_source_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with a 0/1 label, some of them missing or unreadable."""
     page = F.col("page_id")
-    return table(spark, sf_dir, "pages").where((page % 3 == 0) | (page % 5 == 0)).select(
-        F.col("url").alias("URL"), (page % 2).cast("int").alias("label"), page.alias("row")
-    )
+    label = F.when(page % 23 == 0, None).when(page % 29 == 0, "n/a").otherwise((page % 2).cast("string"))
+    return table(spark, sf_dir, "pages").select(F.col("url").alias("URL"), label.alias("label"), page.alias("row"))
 
 
 def url_source_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.col("page_id")
     kind = F.when(page % 17 == 0, "unknown").when(page % 2 == 0, " Phishing ").otherwise("LEGITIMATE")
-    return table(spark, sf_dir, "pages").where((page % 3 == 1) | (page % 5 == 0)).select(
-        "url", kind.alias("type"), page.alias("row")
-    )
+    return table(spark, sf_dir, "pages").select("url", kind.alias("type"), page.alias("row"))
 
 
 def url_source_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.col("page_id")
     label = F.when(page % 19 == 0, None).when(page % 15 == 0, 1 - page % 2).otherwise(page % 2)
-    return table(spark, sf_dir, "pages").where((page % 3 == 2) | (page % 15 == 0)).select(
+    return table(spark, sf_dir, "pages").select(
         F.col("url").alias("URL"), label.cast("double").alias("ClassLabel"), page.alias("row")
     )
 

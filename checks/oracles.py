@@ -24,11 +24,10 @@ emails as (select d.doc_id as email_id,
  cast(l.toxic as integer) as label
 from documents d left join wide w on w.doc_id=d.doc_id left join labels l on l.doc_id=d.doc_id)"""
 
-SRC_A = "select url, cast(page_id % 2 as integer) as label, 'a' as source from pages where page_id % 3 = 0 or page_id % 5 = 0"
-SRC_B = ("select url, cast(page_id % 2 as integer) as label, 'b' as source from pages "
-         "where (page_id % 3 = 1 or page_id % 5 = 0) and page_id % 17 <> 0")
+SRC_A = "select url, cast(page_id % 2 as integer) as label, 'a' as source from pages where page_id % 23 <> 0 and page_id % 29 <> 0"
+SRC_B = "select url, cast(page_id % 2 as integer) as label, 'b' as source from pages where page_id % 17 <> 0"
 SRC_C = ("select url, cast(case when page_id % 15 = 0 then 1 - page_id % 2 else page_id % 2 end as integer) as label, "
-         "'c' as source from pages where (page_id % 3 = 2 or page_id % 15 = 0) and page_id % 19 <> 0")
+         "'c' as source from pages where page_id % 19 <> 0")
 UNION = f"unioned as ({SRC_A} union all {SRC_B} union all {SRC_C})"
 CORPUS = UNION + """,
 agreed as (select url, min(label) as label, min(source) as source from unioned group by url having min(label) = max(label))"""
@@ -154,6 +153,7 @@ def clean(text: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({text}, '\\[ntr]', ' ', 'g'), '[{WS}]+', ' ', 'g'))"
 
 
+# The redaction patterns in order.
 REDACT_STEPS = (
     ("<SSN>", r"\b\d{3}-\d{2}-\d{4}\b"),
     ("<CARD>", r"\b(?:\d[ -]*?){13,16}\b"),
@@ -265,10 +265,10 @@ def message_max(source: str, value: str, name: str) -> str:
 
 
 BIGRAMS = """
-sym as (select id_, substring(t_, 1, 128) as h from {source}),
+sym as (select id_, t_ as h from {source}),
 pairs as (select id_, case when i = 1 then '' else h[i-1] end as prev, h[i] as cur
   from (select id_, h, unnest(range(1, length(h) + 1)) as i from sym)),
-cfit as (select substring(url, 1, 128) as h from splitted where split = 'train' and label = 1),
+cfit as (select url as h from splitted where split = 'train' and label = 1),
 cp as (select case when i = 1 then '' else h[i-1] end as prev, h[i] as cur from (select h, unnest(range(1, length(h) + 1)) as i from cfit)),
 n2 as (select prev, cur, count(*) as n from cp group by prev, cur),
 n1 as (select prev, count(*) as n_prev from cp group by prev),
@@ -279,10 +279,11 @@ loss as (select id_, avg(-ln(greatest((coalesce(n, 0) + 1) / (coalesce(n_prev, 0
 DOC_LADDER = "tok as (select len(regexp_extract_all(text, '[^%s]+')) as tokens from documents)" % WS
 
 CLEANED = MESSAGES + f""",
-kept as (select row_id, {clean('text')} as t, label from messages where text is not null and length(text) between 10 and 50000),
+kept as (select row_id, {clean('text')} as t, label from messages where text is not null and length(text) >= 10),
 firsts as (select *, row_number() over (partition by t order by row_id) as rn from kept where length(t) >= 10),
 uniq as (select row_id, t, label from firsts where rn = 1)"""
 
+# The ablated feature sets.
 ABLATION_SETS = {
     "all": (),
     "no_https": ("has_https",),
@@ -314,7 +315,7 @@ select round(auc_roc, 6) as auc_roc, round(auc_pr, 6) as auc_pr from {areas('bes
     "sink_parquet_roundtrip": f"with {SPLIT} select url, label, source, split from splitted",
     "sink_csv_roundtrip": "select doc_id, text from documents",
     "char_sequences": f"""with {SEQUENCES},
-pos as (select url, split, unnest(range(1, 129)) as i from splitted),
+pos as (select url, split, unnest(range(1, (select max(length(url)) from splitted) + 1)) as i from splitted),
 enc as (select url, split, i, case when i > length(url) then 0 else coalesce(idx, 1) end as code
   from pos left join vocab on c = url[i])
 select url, split, string_agg(code::varchar, ',' order by i) as seq from enc group by url, split""",
@@ -374,6 +375,7 @@ from emails join found using (email_id)""",
     "token_length_profile": f"""with {DOC_LADDER} select count(*) as n, max(tokens)::integer as max_tokens,
  {', '.join(f'round(avg((tokens <= {c})::integer), 6) as within_{c}' for c in (128, 256, 384, 512))},
  {', '.join(f'floor(quantile_cont(tokens, {p / 100}))::bigint as p{p}' for p in (50, 75, 90, 95, 99))} from tok""",
+    "redact_table_plugin": f"with {EMAILS} select email_id, {redact('body')} as text, label from emails",
     "redact_table": f"with {EMAILS} select email_id, {redact('body')} as text, label from emails",
     "char_vocab": f"with {SEQUENCES} select c as char, idx::integer as index from vocab",
     "url_features_enriched": f"with {enriched_cte('(select page_id, url from pages)', 'f')} select page_id, {rounded(FEATURES)} from f",
@@ -434,9 +436,14 @@ select round(s, 6) as threshold, round(sum(n) over (order by s desc) / (sum(n) o
     "pr_curve": f"""with {SCORES}, g as (select score2 as s, sum(y) as p, count(*) as n from scores group by score2)
 select round(s, 6) as threshold, round(sum(p) over (order by s desc) / (sum(n) over (order by s desc))::double, 6) as precision,
  round(sum(p) over (order by s desc) / (sum(p) over ())::double, 6) as recall from g""",
-    "score_histogram": f"""with {SCORES}, b as (select y as target, least(floor((score - 0.0) / 0.02), 49)::integer as bin, count(*) as n
- from scores where score between 0 and 1 group by 1, 2)
-select target, bin, n, round(n / (sum(n) over (partition by target) * 0.02), 6) as density from b""",
+    "score_histogram": f"""with {SCORES}, r as (select y, min(score) as lo, (max(score) - min(score)) / 50 as w from scores group by y),
+b as (select y as target, lo, w, least(floor((score - lo) / w), 49)::integer as bin, count(*) as n from scores join r using (y) group by all)
+select target, bin, round(lo + bin * w, 6) as low, round(lo + (bin + 1) * w, 6) as high, n,
+ round(n / (sum(n) over (partition by target) * w), 6) as density from b""",
+    "token_length_histogram": f"""with {DOC_LADDER}, c as (select least(tokens, 600.0)::double as v from tok),
+r as (select min(v) as lo, (max(v) - min(v)) / 60 as w from c),
+b as (select lo, w, least(floor((v - lo) / w), 59)::integer as bin, count(*) as n from c, r group by all)
+select bin, round(lo + bin * w, 6) as low, round(lo + (bin + 1) * w, 6) as high, n from b""",
     "auc_inversion": f"""with {SCORES}, l as (select 'score' as model, score as s, y from scores union all select 'score2', score2, y from scores)
 select model, round(auc_roc, 6) as auc_roc, round(1 - auc_roc, 6) as auc_flipped, auc_roc < 0.5 as inverted from {areas('l', 's', 'model')}""",
     "feature_shift": f"with {MAIL_SCALED} " + " union all ".join(
@@ -489,8 +496,8 @@ union all select 'train_labels', case label when 0 then 'phishing_0' else 'legit
 dd as (select distinct text from messages where text is not null),
 cnt as (select (select count(*) from messages) as loaded_rows, (select count(*) from messages where text is null) as removed_null_bodies,
  (select count(text) - count(distinct text) from messages) as removed_exact_duplicates,
- (select count(*) from dd where length(text) not between 10 and 50000) as removed_length_outliers,
- (select count(*) from dd where length(text) between 10 and 50000) - (select count(*) from uniq) as removed_post_clean_empty_or_dup,
+ (select count(*) from dd where length(text) < 10) as removed_length_outliers,
+ (select count(*) from dd where length(text) >= 10) - (select count(*) from uniq) as removed_post_clean_empty_or_dup,
  {', '.join(f'(select sum(n_{t[1:-1].lower()}) from step4)::bigint as redacted_{t[1:-1].lower()}' for t, _ in REDACT_STEPS)},
  (select count(*) from uniq where label is null) as removed_unlabelled,
  (select count(*) from uniq where label = 0) as safe_0, (select count(*) from uniq where label = 1) as phishing_1)
@@ -513,3 +520,8 @@ from k where rn = 1""",
 select key, semantic, anomaly, fused,
  case when fused >= 0.6 then 'phishing' when fused >= 0.4 then 'suspicious' else 'legitimate' end as verdict from f""",
 }
+
+ORACLES["email_csv_source"] = ORACLES["clean_corpus"]
+ORACLES["report_json_roundtrip"] = f"""select section, name, value::double as value from ({ORACLES["readiness_url"]})
+union all select 'text', name, value from (unpivot (select columns(*)::double from ({ORACLES["readiness_text"]})) on columns(*) into name name value value)
+union all select 'joint', name, value from (unpivot (select columns(*)::double from ({ORACLES["readiness_joint"]})) on columns(*) into name name value value)"""

@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
-from lurescope.functions.text import REDACTIONS, clean_text, redact_columns, redact_text, token_count, with_redaction, within_length
+from lurescope.functions.text import MAX_CHARS, MIN_CHARS, REDACTIONS, clean_text, redact_columns, redact_text, token_count, with_redaction, within_length
 from lurescope.functions.url_basic import FEATURES as BASIC, with_basic_features
 from lurescope.functions.url_enriched import FEATURES, feature_names, with_enriched_features
 from lurescope.functions.urls import extract_urls
 from lurescope.models import classifiers, iforest, ngram, reconstruction
 from lurescope.operators import aggregates, dedup, joint, metrics, ranking, scaling, sequences, split
-from lurescope.plans import joint_corpus, text_corpus, url_corpus
+from lurescope.plans import joint_corpus, message_eval, text_corpus, url_corpus
 from lurescope.session import materialise, scratch_path
 from lurescope.sources import labels, tables
 
@@ -117,6 +117,17 @@ def clean_corpus(spark, sf):
     return text_corpus.clean_corpus(labelled_messages(spark, sf))
 
 
+def email_csv_source(spark, sf):
+    """Labelled message CSV, end to end: written, read, normalised, cleaned."""
+    path = scratch_path(spark, "messages")
+    raw = labelled_messages(spark, sf).select(
+        F.col("row_id").alias("id"), F.col("text").alias("Email Text"), F.col("label_raw").alias("Email Type")
+    )
+    tables.write_csv(raw, path)
+    back = tables.read_csv(spark, path, ["id", "Email Text", "Email Type"], multi_line=True)
+    return text_corpus.clean_corpus(labels.messages(back, row_id="id"))
+
+
 def cross_source_dedup(spark, sf):
     conv = table(spark, sf, "conversations")
     return text_corpus.cross_source_dedup(
@@ -134,7 +145,7 @@ def label_collapse(spark, sf):
 
 
 def length_filter(spark, sf):
-    rows = table(spark, sf, "documents").where(within_length(F.col("text")))
+    rows = table(spark, sf, "documents").where(within_length(F.col("text"), MIN_CHARS, MAX_CHARS))
     return rows.select("doc_id", F.length("text").alias("chars"))
 
 
@@ -186,6 +197,11 @@ def python_redactor(text: pd.Series) -> pd.Series:
 
 
 def redact_table(spark, sf):
+    rows = emails(spark, sf).select("email_id", F.col("body").alias("text"), "label")
+    return redact_columns(rows, ["text"])
+
+
+def redact_table_plugin(spark, sf):
     rows = emails(spark, sf).select("email_id", F.col("body").alias("text"), "label")
     return redact_columns(rows, ["text"], python_redactor)
 
@@ -205,6 +221,11 @@ def token_length_profile(spark, sf):
     return rounded(aggregates.token_length_profile(docs, "tokens"))
 
 
+def token_length_histogram(spark, sf):
+    docs = table(spark, sf, "documents").select(token_count(F.col("text")).alias("tokens"))
+    return rounded(aggregates.clipped_histogram(materialise(docs, "tokens"), "tokens"))
+
+
 # --- URL features and sequences ------------------------------------------------------------------
 
 def url_features_enriched(spark, sf):
@@ -355,6 +376,7 @@ def joint_diagnostics(spark, sf):
     return rounded(joint.joint_diagnostics(rows, "n_urls", "label", "dist"))
 
 
+# The ablated feature sets.
 ABLATIONS = {
     "all": [],
     "no_https": ["has_https"],
@@ -462,7 +484,7 @@ def pr_curve(spark, sf):
 
 
 def score_histogram(spark, sf):
-    return rounded(metrics.score_histogram(scores(spark, sf), "score", "y", 0.0, 1.0))
+    return rounded(metrics.score_histogram(scores(spark, sf), "score", "y"))
 
 
 def auc_inversion(spark, sf):
@@ -501,7 +523,7 @@ def _prepared(spark, sf):
 def iforest_fit(spark, sf):
     ready = _prepared(spark, sf)
     train = ready.scaled.where(F.col("split") == "train")
-    return iforest.fit_forest(train, "url", ready.features).drop("seconds")
+    return iforest.fit_forest(train, "url", ready.features)
 
 
 def iforest_score(spark, sf):
@@ -513,7 +535,7 @@ def iforest_score(spark, sf):
 
 
 def iforest_sweep(spark, sf):
-    """Growth time and test metrics per (trees, samples) setting.
+    """Test metrics per (trees, samples) setting.
 
     One job grows the trees of all settings and one pass scores all of them.
     """
@@ -522,7 +544,6 @@ def iforest_sweep(spark, sf):
     settings = [(trees, samples) for trees in (100, 200, 300) for samples in (128, 256, 512)]
     nodes = materialise(iforest.fit_forests(train, "url", ready.features, settings), "forest")
     forests = {f"{t}_{n}": iforest.select_forest(nodes, t, n) for t, n in settings}
-    seconds = {name: iforest.growth_seconds(forest) for name, forest in forests.items()}
     held = ready.scaled.where(F.col("split") != "train")
     scored = materialise(
         iforest.score_forests(held, ready.features, forests).select("label", "split", *forests), "scores"
@@ -535,14 +556,10 @@ def iforest_sweep(spark, sf):
     limits = picked.where(F.col("strategy") == "f1").select("setting", "threshold")
     judged = test.join(F.broadcast(limits), "setting")
     cells = metrics.with_rates(metrics.confusion(judged, "s", "y", F.col("threshold"), ["setting"]))
-    fit_s = F.lit(0.0)
-    for name, value in seconds.items():
-        fit_s = F.when(F.col("setting") == name, value).otherwise(fit_s)
     parts = F.split("setting", "_")
     return cells.join(metrics.areas(test, "s", "y", ["setting"]), "setting").select(
         parts[0].cast("int").alias("n_estimators"), parts[1].cast("int").alias("max_samples"),
         "auc_roc", "auc_pr", "f1", "precision", "recall", F.col("false_positive_rate").alias("fpr"),
-        fit_s.alias("fit_s"),
     )
 
 
@@ -599,6 +616,66 @@ def batch_predict(spark, sf):
     return rounded(scored.select("vec_id", "score"))
 
 
+# --- messages through the fitted models ---------------------------------------------------------
+
+def _fitted_models(ready):
+    """Scorers fitted on the prepared corpus: forest, linear codec, character bigrams."""
+    train = ready.scaled.where(F.col("split") == "train")
+    forest = materialise(iforest.fit_forest(train, "url", ready.features), "forest")
+    codec = reconstruction.fit_codec(ready.legit_only(), ready.features)
+    by_feature = {"iso": message_eval.forest_scorer(forest, ready.features), "recon": message_eval.codec_scorer(codec)}
+    bigrams = ngram.fit_bigrams(train.where(F.col("label") == 1), "url")
+    return by_feature, {**by_feature, "chars": message_eval.bigram_scorer(bigrams)}
+
+
+def _message_rows(spark, sf, ready):
+    return message_features(spark, sf, ready.scaler, ("label",))
+
+
+def message_model_scores(spark, sf):
+    """Highest forest, reconstruction and character score per message."""
+    ready = _prepared(spark, sf)
+    _, scorers = _fitted_models(ready)
+    return rounded(message_eval.message_scores(_message_rows(spark, sf, ready), scorers))
+
+
+def message_model_report(spark, sf):
+    ready = _prepared(spark, sf)
+    _, scorers = _fitted_models(ready)
+    scored = message_eval.message_scores(_message_rows(spark, sf, ready), scorers)
+    return rounded(message_eval.model_report(scored, list(scorers)))
+
+
+def held_out_model_report(spark, sf):
+    """The held-out corpus through the message scoring path."""
+    ready = _prepared(spark, sf)
+    _, scorers = _fitted_models(ready)
+    held = ready.scaled.where(F.col("split") == "test").withColumn("y", labels.is_phishing(F.col("label")))
+    return rounded(message_eval.held_out_check(held, scorers, "y"))
+
+
+def ablation_models(spark, sf):
+    """AUC per message with features at their training mean, scored again by the fitted models."""
+    ready = _prepared(spark, sf)
+    by_feature, _ = _fitted_models(ready)
+    return rounded(message_eval.ablation_report(_message_rows(spark, sf, ready), by_feature, ABLATIONS))
+
+
+def semantic_report(spark, sf):
+    """The text model's score per message: summary and quality at one half."""
+    return rounded(message_eval.semantic_report(text_logreg(spark, sf), ["semantic_score"]))
+
+
+def report_json_roundtrip(spark, sf):
+    """All three readiness reports written as JSON and read back."""
+    path = scratch_path(spark, "reports")
+    url = readiness_url(spark, sf).select("section", "name", F.col("value").cast("double").alias("value"))
+    text = tables.report_rows(readiness_text(spark, sf), "text")
+    joint_rows = tables.report_rows(readiness_joint(spark, sf), "joint")
+    tables.write_json_report(url.unionByName(text).unionByName(joint_rows), path)
+    return tables.read_json_report(spark, path)
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 def readiness_url(spark, sf):
@@ -697,6 +774,15 @@ REGISTRY = {
     "class_weights": class_weights,
     "text_logreg": text_logreg,
     "batch_predict": batch_predict,
+    "email_csv_source": email_csv_source,
+    "report_json_roundtrip": report_json_roundtrip,
+    "token_length_histogram": token_length_histogram,
+    "redact_table_plugin": redact_table_plugin,
+    "message_model_scores": message_model_scores,
+    "message_model_report": message_model_report,
+    "held_out_model_report": held_out_model_report,
+    "ablation_models": ablation_models,
+    "semantic_report": semantic_report,
     "readiness_url": readiness_url,
     "readiness_text": readiness_text,
     "readiness_joint": readiness_joint,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .charclass import SPACE
@@ -25,7 +26,7 @@ _PROBES = {
     "<EMAIL>": lambda t: t.contains("@"),
     "<URL>": lambda t: t.contains("http") | t.contains("www."),
 }
-# Length bounds in code points, both inclusive.
+# Length bounds in code points, both inclusive. The upper one is only used where asked for.
 MIN_CHARS, MAX_CHARS = 10, 50_000
 
 TOKENS = tuple(token for token, _ in REDACTIONS)
@@ -74,6 +75,11 @@ def _occurrences(text: Column, literal: str) -> Column:
     return (removed / F.lit(len(literal))).cast("bigint")
 
 
+def _matches(text: Column, pattern: str) -> Column:
+    """Number of matches, from two lengths; no array of matches is built."""
+    return F.length(F.regexp_replace(text, pattern, "x")) - F.length(F.regexp_replace(text, pattern, ""))
+
+
 def with_redaction(df: DataFrame, text: str, out: str = "text", counts: bool = True) -> DataFrame:
     """Add redacted ``out`` and, with ``counts``, one ``n_<token>`` column per redaction.
 
@@ -87,16 +93,15 @@ def with_redaction(df: DataFrame, text: str, out: str = "text", counts: bool = T
             - _occurrences(F.col(text), token)
             for token in TOKENS[:-1]
         }
-        columns["n_url"] = F.regexp_count(
-            "_ids", F.lit(_unicode(REDACTIONS[-1][1]))
-        ).cast("bigint")
+        columns["n_url"] = _matches(F.col("_ids"), _unicode(REDACTIONS[-1][1])).cast("bigint")
         staged = staged.withColumns(columns)
     return staged.withColumn(out, redact_urls(F.col("_ids"))).drop("_ids")
 
 
-def within_length(text: Column, low: int = MIN_CHARS, high: int = MAX_CHARS) -> Column:
-    """Length in code points between both bounds."""
-    return F.length(text).between(low, high)
+def within_length(text: Column, low: int = MIN_CHARS, high: int | None = None) -> Column:
+    """Length in code points between both bounds; no upper bound unless given."""
+    long_enough = F.length(text) >= low
+    return long_enough if high is None else long_enough & (F.length(text) <= high)
 
 
 def has_capital(text: Column) -> Column:
@@ -105,29 +110,29 @@ def has_capital(text: Column) -> Column:
 
 def uppercase_share(text: Column) -> Column:
     """Uppercase letters over letters; 0 for text without letters."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    return F.when(letters > 0, F.regexp_count(text, F.lit(r"\p{Lu}")) / letters).otherwise(0.0)
+    letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))
+    capitals = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))
+    return F.when(letters > 0, capitals / letters).otherwise(0.0)
 
 
 def token_count(text: Column) -> Column:
     """Number of whitespace-separated tokens."""
-    return F.regexp_count(text, F.lit(f"(?U)[^{SPACE}]+"))
+    return F.length(F.regexp_replace(F.regexp_replace(text, f"(?U)[^{SPACE}]+", "x"), f"(?U)[{SPACE}]+", ""))
 
 
 def redact_columns(df: DataFrame, columns: Sequence[str], redactor=None) -> DataFrame:
     """Redact chosen string columns of a table and leave every other column as it is.
 
     ``redactor`` maps a pandas Series of text to a Series of the same length and runs on Arrow
-    batches (the place for a named-entity pass). Without one the built-in patterns are used and
-    the plan stays inside the JVM.
+    batches of the chosen columns (the place for a named-entity pass). Without one the built-in
+    patterns are used and the plan stays inside the JVM.
     """
     columns = list(columns)
     if redactor is None:
         return df.withColumns({c: redact_text(F.col(c)) for c in columns})
-    schema = df.schema
 
-    def run(batches):
-        for batch in batches:
-            yield batch.assign(**{c: redactor(batch[c]) for c in columns})
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return redactor(texts)
 
-    return df.mapInPandas(run, schema)
+    return df.withColumns({c: run(F.col(c)) for c in columns})

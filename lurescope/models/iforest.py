@@ -7,7 +7,6 @@ the parameters and not by the data; scoring collects and broadcasts exactly that
 from __future__ import annotations
 
 import math
-import time
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,7 +17,7 @@ from ..operators.ranking import attach
 
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, path double, "
-    "n_samples int, max_samples int, seconds double"
+    "n_samples int, max_samples int"
 )
 _SPAN = 1 << 31
 
@@ -96,7 +95,6 @@ def fit_forests(
         for samples, trees in depth_of.items():
             if tree >= trees:
                 continue
-            begin = time.perf_counter()
             x = group[features].head(samples).to_numpy(float)
             limit = max(1, math.ceil(math.log2(samples)))
             nodes = _grow(x, np.random.default_rng([seed, tree]), limit)
@@ -104,7 +102,6 @@ def fit_forests(
             out.insert(0, "tree", tree)
             out.insert(1, "node", np.arange(len(out)))
             out["n_samples"], out["max_samples"] = len(x), samples
-            out["seconds"] = time.perf_counter() - begin
             parts.append(out)
         return pd.concat(parts)
 
@@ -116,11 +113,6 @@ def select_forest(nodes: DataFrame, trees: int, samples: int) -> DataFrame:
     return nodes.where((F.col("max_samples") == samples) & (F.col("tree") < trees))
 
 
-def growth_seconds(forest: DataFrame) -> float:
-    """Time spent growing the trees, summed over the workers."""
-    return forest.where(F.col("node") == 0).agg(F.sum("seconds")).first()[0] or 0.0
-
-
 def fit_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 200, samples: int = 512, seed: int = 42) -> DataFrame:
     """Node table of one forest; see :func:`fit_forests`."""
     return fit_forests(df, key, features, [(trees, samples)], seed)
@@ -139,8 +131,11 @@ def _arrays(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
     return packed
 
 
-def score_matrix(x: np.ndarray, forest: dict[str, np.ndarray], depth: int, chunk: int = 2048) -> np.ndarray:
-    """Anomaly scores of a feature matrix: all trees of a chunk of rows step down together."""
+def score_matrix(x: np.ndarray, forest: dict[str, np.ndarray], chunk: int = 2048) -> np.ndarray:
+    """Anomaly scores of a feature matrix: all trees of a chunk of rows step down together.
+
+    Leaves point to themselves, so the walk ends when no row moves.
+    """
     out = np.empty(len(x))
     lanes = np.arange(forest["feature"].shape[0])
     norm = max(float(forest["norm"]), 1e-12)
@@ -148,31 +143,33 @@ def score_matrix(x: np.ndarray, forest: dict[str, np.ndarray], depth: int, chunk
         part = x[start : start + chunk]
         at = np.zeros((len(part), len(lanes)), dtype=np.int32)
         rows = np.arange(len(part))[:, None]
-        for _ in range(depth):
+        while True:
             go_left = part[rows, forest["feature"][lanes, at]] <= forest["threshold"][lanes, at]
-            at = np.where(go_left, forest["left"][lanes, at], forest["right"][lanes, at])
+            down = np.where(go_left, forest["left"][lanes, at], forest["right"][lanes, at])
+            if (down == at).all():
+                break
+            at = down
         out[start : start + chunk] = 2.0 ** (-forest["path"][lanes, at].mean(axis=1) / norm)
     return out
 
 
-def score_forests(df: DataFrame, features: Sequence[str], forests: dict[str, DataFrame], samples: int = 512) -> DataFrame:
+def score_forests(df: DataFrame, features: Sequence[str], forests: dict[str, DataFrame]) -> DataFrame:
     """Append one score column per named forest; higher is more anomalous, in (0, 1).
 
     All forests are scored in a single Arrow pass over the rows.
     """
     spark, features = df.sparkSession, list(features)
     state = spark.sparkContext.broadcast({n: _arrays(f.toPandas()) for n, f in forests.items()})
-    depth = max(1, math.ceil(math.log2(samples)))
     schema = ", ".join(f"`{n}` double" for n in forests)
 
     @F.pandas_udf(schema)
     def scores(values: pd.DataFrame) -> pd.DataFrame:
         x = values.to_numpy(float)
-        return pd.DataFrame({n: score_matrix(x, f, depth) for n, f in state.value.items()})
+        return pd.DataFrame({n: score_matrix(x, f) for n, f in state.value.items()})
 
     packed = scores(F.struct(*[F.col(f).cast("double") for f in features]))
     return df.withColumn("_scores", packed).select(*df.columns, *(F.col(f"_scores.{n}") for n in forests))
 
 
-def score_forest(df: DataFrame, features: Sequence[str], forest: DataFrame, out: str = "score", samples: int = 512) -> DataFrame:
-    return score_forests(df, features, {out: forest}, samples)
+def score_forest(df: DataFrame, features: Sequence[str], forest: DataFrame, out: str = "score") -> DataFrame:
+    return score_forests(df, features, {out: forest})

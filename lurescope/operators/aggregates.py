@@ -103,6 +103,20 @@ LENGTH_PROBS = (0.50, 0.75, 0.90, 0.95, 0.99)
 LENGTH_CAPS = (128, 256, 384, 512)
 
 
+def clipped_histogram(df: DataFrame, column: str, high: float = 600.0, bins: int = 60) -> DataFrame:
+    """(bin, low, high, n): equal-width bins from the smallest value to ``high``; larger ones count in the last."""
+    rows = df.where(F.col(column).isNotNull()).select(F.least(F.col(column).cast("double"), F.lit(high)).alias("_v"))
+    ends = rows.agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    placed = attach(rows, ends, ["_low", "_high"])
+    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / bins).otherwise(1.0 / bins)
+    slot = F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(bins - 1)).cast("int")
+    counts = placed.groupBy(slot.alias("bin"), F.col("_low").alias("start"), width.alias("width")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    low = F.col("start") + F.col("bin") * F.col("width")
+    return counts.select("bin", low.alias("low"), (low + F.col("width")).alias("high"), "n")
+
+
 def token_length_profile(df: DataFrame, tokens: str) -> DataFrame:
     """Quantiles and maximum of a token-count column and the share of rows within each cap.
 

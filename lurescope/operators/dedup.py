@@ -1,8 +1,8 @@
 """Deduplication and conflict removal by grouping.
 
 Everything here is a hash aggregation with map-side combine, so a key that holds a third of all
-rows is reduced before it is shuffled. Aggregation buffers are kept to numbers, which keeps Spark
-on hash aggregation (string buffers would force sort aggregation).
+rows is reduced before it is shuffled. Buffers of numbers keep Spark on hash aggregation; carrying a
+string column from the first row (``keep_first``) makes it sort instead, so carry a number where possible.
 """
 
 from __future__ import annotations
@@ -29,8 +29,11 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str, carry: Sequence[s
 
 
 def group_urls(union: DataFrame) -> DataFrame:
-    """One row per URL with its label range, best source priority and row count."""
-    return union.groupBy("url").agg(
+    """One row per URL with its label range, best source priority and row count.
+
+    Only labelled rows count, both for the label and for the source a URL is credited to.
+    """
+    return union.where(F.col("label").isNotNull()).groupBy("url").agg(
         F.min("label").alias("label"),
         F.max("label").alias("label_max"),
         F.min("priority").alias("priority"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urls import extract_urls
-from .ranking import median
+from .ranking import quantiles
 
 
 def message_urls(messages: DataFrame, key: str, body: str, carry: Sequence[str] = (), keep_empty: bool = False) -> DataFrame:
@@ -56,8 +56,9 @@ def _fill(frame: DataFrame, urls: DataFrame, scores: Sequence[str], neutral: str
         return frame.fillna(0.0, list(scores))
     if neutral != "median":
         raise ValueError("neutral is 'median' or 'zero'")
-    neutral_score = {s: median(urls, s).first()[0] for s in scores}
-    return frame.fillna({s: v for s, v in neutral_score.items() if v is not None})
+    long = urls.select(*(F.col(s).cast("double").alias(s) for s in scores)).unpivot([], list(scores), "_model", "_score")
+    medians = quantiles(long, "_score", [0.5], ["_model"]).collect()
+    return frame.fillna({r["_model"]: r["value"] for r in medians if r["value"] is not None})
 
 
 def completeness(messages: DataFrame, urls: DataFrame, key: str) -> DataFrame:

@@ -218,17 +218,33 @@ def inversion_check(df: DataFrame, score: str, target: str, by: Sequence[str] =
     )
 
 
-def score_histogram(df: DataFrame, score: str, target: str, low: float, high: float, bins: int = 50) -> DataFrame:
-    """Per class counts and densities over equal-width bins of [low, high]; the top edge is in."""
-    width = (high - low) / bins
-    rows = labelled(df, score, target).where(F.col(score).between(low, high))
-    slot = F.least(F.floor((F.col(score) - low) / width), F.lit(bins - 1)).cast("int")
-    counts = rows.groupBy(F.col(target).alias("target"), slot.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n")
+def score_histogram(
+    df: DataFrame, score: str, target: str, low: float | None = None, high: float | None = None, bins: int = 50
+) -> DataFrame:
+    """Per class counts and densities over equal-width bins; every judged row is counted.
+
+    The range is that of the class's scores unless given; scores outside a given range count in the
+    end bins. ``low`` and ``high`` come back as the bin's edges.
+    """
+    rows = labelled(df, score, target).select(F.col(target).alias("target"), F.col(score).cast("double").alias("_s"))
+    own = rows.groupBy("target").agg(
+        F.min("_s").alias("_low") if low is None else F.lit(float(low)).alias("_low"),
+        F.max("_s").alias("_high") if high is None else F.lit(float(high)).alias("_high"),
     )
+    # One row per class; classes without any spread get bins of width 1 / bins.
+    span = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
+    ranges = own.select("target", "_low", (span / bins).alias("_width"))
+    placed = rows.join(F.broadcast(ranges), "target")
+    slot = F.greatest(F.least(F.floor((F.col("_s") - F.col("_low")) / F.col("_width")), F.lit(bins - 1)), F.lit(0))
+    counts = placed.groupBy("target", slot.cast("int").alias("bin"), "_low", "_width").agg(F.count(F.lit(1)).alias("n"))
     per_class = F.sum("n").over(Window.partitionBy("target"))
     return counts.select(
-        "target", "bin", "n", (F.col("n") / (per_class * width)).alias("density")
+        "target",
+        "bin",
+        (F.col("_low") + F.col("bin") * F.col("_width")).alias("low"),
+        (F.col("_low") + (F.col("bin") + 1) * F.col("_width")).alias("high"),
+        "n",
+        (F.col("n") / (per_class * F.col("_width"))).alias("density"),
     )
 
 

@@ -107,8 +107,9 @@ def score_ladder(
     inside = Window.partitionBy(*by, "_bucket").orderBy("score").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    # One row per group and bucket: bounded by the bucket count times the groups.
-    return placed.join(F.broadcast(offsets), [*by, "_bucket"]).select(
+    # One row per bucket without groups, so a bounded broadcast; with groups Spark sizes the join.
+    side = offsets if by else F.broadcast(offsets)
+    return placed.join(side, [*by, "_bucket"]).select(
         *by,
         "score",
         *tallies,

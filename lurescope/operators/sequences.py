@@ -1,14 +1,15 @@
-"""Character sequences: vocabulary from training URLs and fixed-length index encoding."""
+"""Character sequences: vocabulary from training URLs and padded index encoding."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .ranking import attach
 
-# Reserved indexes and sequence length.
-PAD, OOV, FIRST_INDEX, MAX_LEN = 0, 1, 2, 128
-_ASCII = 128
+# Reserved indexes.
+PAD, OOV, FIRST_INDEX = 0, 1, 2
 
 
 def char_vocab(train: DataFrame, text: str) -> DataFrame:
@@ -25,38 +26,33 @@ def char_vocab(train: DataFrame, text: str) -> DataFrame:
     )
 
 
-def encode_chars(df: DataFrame, text: str, vocab: DataFrame, out: str = "seq", max_len: int = MAX_LEN) -> DataFrame:
-    """Append the index sequence of the first ``max_len`` characters, padded with 0.
+def encode_chars(df: DataFrame, text: str, vocab: DataFrame, out: str = "seq", max_len: int | None = None) -> DataFrame:
+    """Append the index sequence of the characters, padded with 0 to one common length.
 
-    ASCII characters are looked up by position; only others search the vocabulary map.
+    The length is that of the longest text unless ``max_len`` is given; only then are longer texts
+    cut. The vocabulary has at most one row per Unicode code point; a character is found in it by
+    binary search.
     """
-    code = F.ascii("char")
-    table = vocab.agg(
-        F.map_from_entries(
-            F.collect_list(F.when(code < _ASCII, F.struct(code, F.col("index"))))
-        ).alias("_low"),
-        F.map_from_entries(
-            F.collect_list(F.when(code >= _ASCII, F.struct(F.col("char"), F.col("index"))))
-        ).alias("_rest"),
-    ).select(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(_ASCII - 1)),
-            lambda c: F.coalesce(F.try_element_at("_low", c), F.lit(OOV)),
-        ).alias("_ascii"),
-        "_rest",
-    )
-
-    def lookup(char: Column) -> Column:
-        point = F.ascii(char)
-        return F.when(point < _ASCII, F.get("_ascii", point)).otherwise(
-            F.coalesce(F.try_element_at("_rest", char), F.lit(OOV))
-        )
-
-    head = F.substring(F.col(text), 1, max_len)
-    chars = F.when(F.length(head) > 0, F.split(head, "")).otherwise(F.array().cast("array<string>"))
-    padding = F.array_repeat(F.lit(PAD), F.lit(max_len) - F.length(head))
-    return (
-        attach(df, table, ["_ascii", "_rest"])
-        .withColumn(out, F.concat(F.transform(chars, lookup), padding))
-        .drop("_ascii", "_rest")
-    )
+    rows = vocab.select("char", "index").toPandas().sort_values("char", key=lambda c: c.map(ord))
+    points = np.append(np.array([ord(c) for c in rows["char"]], dtype=np.int64), np.iinfo(np.int64).max)
+    codes = np.append(rows["index"].to_numpy(dtype=np.int32), np.int32(OOV))
+
+    @F.arrow_udf("array<int>")
+    def encoded(texts: pa.Array) -> pa.Array:
+        own = [t or "" for t in texts.to_pylist()]
+        lengths = [len(t) for t in own]
+        wanted = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        at = np.searchsorted(points, wanted)
+        found = np.where(points[at] == wanted, codes[at], np.int32(OOV)).astype(np.int32)
+        offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found, pa.int32()))
+
+    if max_len is None:
+        longest = df.agg(F.coalesce(F.max(F.length(text)), F.lit(0)).alias("_width"))
+        wide = attach(df, longest, ["_width"])
+    else:
+        wide = df.withColumn("_width", F.lit(max_len))
+    head = F.slice(encoded(F.col(text)), F.lit(1), F.col("_width")) if max_len is not None else encoded(F.col(text))
+    padded = wide.withColumn(out, head)
+    padding = F.array_repeat(F.lit(PAD), F.col("_width") - F.size(out))
+    return padded.withColumn(out, F.concat(out, padding)).drop("_width")

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import MAX_CHARS, MIN_CHARS, TOKENS, clean_text, with_redaction, within_length
+from ..functions.text import MIN_CHARS, TOKENS, clean_text, with_redaction, within_length
 from ..operators.metrics import ratio
 from ..operators.aggregates import IMBALANCE
 from ..sources.labels import MESSAGE_TYPES, lookup
@@ -21,16 +21,18 @@ def _cleaned(messages: DataFrame, labels: Mapping[str, int]) -> DataFrame:
 
 
 def clean_corpus(
-    messages: DataFrame, labels: Mapping[str, int] = MESSAGE_TYPES, counts: bool = False
+    messages: DataFrame, labels: Mapping[str, int] = MESSAGE_TYPES, counts: bool = False,
+    min_chars: int = MIN_CHARS, max_chars: int | None = None,
 ) -> DataFrame:
     """(row_id, text, label) from (row_id, text, label_raw), optionally with redaction counts.
 
     Equal raw texts have equal cleaned texts and the same length verdict, so deduplicating once
     on the cleaned text keeps the same first rows as deduplicating before and after cleaning:
     one shuffle instead of two. A duplicate takes the label of its first row, valid or not;
-    rows without a usable label leave last. Texts that only become equal by redaction stay.
+    rows without a usable label leave last. Texts that only become equal by redaction stay. Bounds are
+    in code points and inclusive; without ``max_chars`` no text is too long.
     """
-    rows = _cleaned(messages, labels).where(within_length(F.col("text")))
+    rows = _cleaned(messages, labels).where(within_length(F.col("text"), min_chars, max_chars))
     first = (
         rows.select("row_id", clean_text(F.col("text")).alias("text"), "label")
         .groupBy("text")
@@ -40,50 +42,58 @@ def clean_corpus(
             # Length as an aggregate, so the filter below cannot repeat the cleaning at the scan.
             F.max(F.length("text")).alias("_n"),
         )
-        .where((F.col("_n") >= MIN_CHARS) & F.col("label").isNotNull())
+        .where((F.col("_n") >= min_chars) & F.col("label").isNotNull())
     )
     out = with_redaction(first, "text", counts=counts)
     return out.select("row_id", "text", "label", *(COUNTS if counts else ()))
 
 
-def readiness_text(messages: DataFrame, labels: Mapping[str, int] = MESSAGE_TYPES) -> DataFrame:
+def _digest(text) -> list:
+    """A 128-bit digest and the length, which stand for a text where texts are only counted."""
+    return [F.md5(text), F.length(text)]
+
+
+def readiness_text(
+    messages: DataFrame, labels: Mapping[str, int] = MESSAGE_TYPES, min_chars: int = MIN_CHARS, max_chars: int | None = None
+) -> DataFrame:
     """One row with the rows removed per stage, redaction counts, class balance, final rows.
 
-    Two nested groupings (raw text, then cleaned text) carry the stage counts along, so the whole
-    report is one pass: no count per stage. Redactions are counted on every deduplicated text,
-    labelled or not.
+    Every message is cleaned and its redactions counted where it is read; from there on digests and
+    counts travel, never texts. Two nested groupings (raw text, then cleaned text) carry the stage
+    counts along. Redactions are counted on every deduplicated text, labelled or not.
     """
     text = F.col("text")
-    raw = (
-        messages.select("row_id", "text", lookup(F.col("label_raw"), labels).alias("label"))
-        .groupBy("text")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.min("row_id").alias("row_id"),
-            F.min_by("label", "row_id").alias("label"),
-        )
+    stage = F.when(text.isNull(), "null").when(~within_length(text, min_chars, max_chars), "length").otherwise("kept")
+    staged = messages.select(
+        "row_id", lookup(F.col("label_raw"), labels).alias("label"), stage.alias("stage"),
+        *(d.alias(f"_raw{i}") for i, d in enumerate(_digest(text))),
+        F.when(stage == "kept", clean_text(text)).alias("text"),
+    )
+    counted = with_redaction(staged, "text", out="_redacted").drop("_redacted")
+    slim = counted.select(
+        "row_id", "label", "stage", "_raw0", "_raw1",
+        *(d.alias(f"_clean{i}") for i, d in enumerate(_digest(F.col("text")))), *COUNTS,
     )
-    kept = within_length(text)
-    stage = F.when(text.isNull(), "null").when(~kept, "length").otherwise("kept")
-    staged = raw.withColumn("stage", stage).withColumn(
-        "text", F.when(F.col("stage") == "kept", clean_text(text))
+    raw = slim.groupBy("stage", "_raw0", "_raw1", "_clean0", "_clean1").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("row_id").alias("row_id"),
+        F.min_by("label", "row_id").alias("label"),
+        *(F.max(c).alias(c) for c in COUNTS),
     )
-    grouped = staged.groupBy("stage", "text").agg(
+    grouped = raw.groupBy("stage", "_clean0", "_clean1").agg(
         F.sum("rows").alias("rows"),
         F.count(F.lit(1)).alias("distinct_raw"),
         F.min_by("label", "row_id").alias("label"),
-        F.max(F.length("text")).alias("_n"),
+        *(F.max(c).alias(c) for c in COUNTS),
     )
-    grouped = grouped.withColumn(
-        "final", (F.col("stage") == "kept") & (F.col("_n") >= MIN_CHARS)
-    ).withColumn("text", F.when(F.col("final"), F.col("text")).otherwise(""))
+    grouped = grouped.withColumn("final", (F.col("stage") == "kept") & (F.col("_clean1") >= min_chars))
     final, label = F.col("final"), F.col("label")
 
     def total(condition, value):
         return F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("bigint")
 
     is_null = F.col("stage") == "null"
-    report = with_redaction(grouped, "text").agg(
+    report = grouped.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("loaded_rows"),
         total(is_null, F.col("rows")).alias("removed_null_bodies"),
         total(~is_null, F.col("rows") - F.col("distinct_raw")).alias("removed_exact_duplicates"),
@@ -127,11 +137,6 @@ def cross_source_dedup(corpora: Mapping[str, DataFrame]) -> DataFrame:
     return kept.select("row_id", source.alias("source"), "text", "n_copies", "cross_source")
 
 
-def exclude_source(corpus: DataFrame, excluded: str, source: str = "source") -> DataFrame:
-    """The corpus without one source."""
-    return corpus.where(F.col(source) != excluded)
-
-
 def source_exclusion(corpus: DataFrame, excluded: str, source: str = "source") -> DataFrame:
     """Rows before, after and removed when one source is dropped."""
     hit = F.coalesce(F.col(source) == excluded, F.lit(False))

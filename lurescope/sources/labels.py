@@ -32,10 +32,11 @@ def lookup(value: Column, mapping: Mapping[str, int], default: int | None = None
 
 
 def urls_int_label(df: DataFrame, url: str = "URL", label: str = "label", source: str = "a") -> DataFrame:
-    """Source with a 0/1 integer label."""
+    """Source with a 0/1 integer label; rows without a readable label are dropped."""
+    code = F.col(label).try_cast("int")
     return df.select(
-        F.col(url).alias("url"), F.col(label).cast("int").alias("label"), F.lit(source).alias("source")
-    )
+        F.col(url).alias("url"), code.alias("label"), F.lit(source).alias("source")
+    ).where(F.col("label").isNotNull())
 
 
 def urls_text_label(df: DataFrame, url: str = "url", label: str = "type", source: str = "b") -> DataFrame:
@@ -63,14 +64,14 @@ def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
     return combined.withColumn("url", strip(F.coalesce("url", F.lit(""))))
 
 
-def messages(df: DataFrame, text: str = "Email Text", label: str = "Email Type", row_id: str | None = None) -> DataFrame:
+def messages(df: DataFrame, text: str = "Email Text", label: str = "Email Type", *, row_id: str) -> DataFrame:
     """Message source 1 as (row_id, text, label_raw); a stray index column is ignored.
 
-    Without ``row_id`` the id follows the order of the input files.
+    ``row_id`` names the column that orders rows: which of equal texts is first must not depend on
+    how files are split.
     """
-    key = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
     return df.select(
-        key.alias("row_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label_raw")
+        F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label_raw")
     )
 
 

@@ -49,6 +49,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def report_rows(wide: DataFrame, section: str) -> DataFrame:
+    """A one-row report as (section, name, value) rows; flags become 0 and 1."""
+    numbers = wide.select(*(F.col(c).cast("double").alias(c) for c in wide.columns))
+    rows = numbers.unpivot([], wide.columns, "name", "value")
+    return rows.select(F.lit(section).alias("section"), "name", "value")
+
+
+def read_json_report(spark: SparkSession, path: str) -> DataFrame:
+    """(section, name, value) rows of a written report."""
+    frame = spark.read.schema("section string, values map<string, double>").json(path)
+    return frame.select("section", F.explode("values").alias("name", "value"))
+
+
 def write_json_report(report: DataFrame, path: str) -> None:
     """Write a (section, name, value) report as one JSON object per section."""
     body = report.groupBy("section").agg(
