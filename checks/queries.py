@@ -271,8 +271,7 @@ def scaler_fit(spark, sf):
 
 
 def scaled_features(spark, sf):
-    rows = featured(spark, sf)
-    return rounded(scaling.apply_scaler(rows, fitted(rows), FEATURES))
+    return rounded(_prepared(spark, sf).scaled)
 
 
 def legit_only(spark, sf):
@@ -293,10 +292,9 @@ def message_features(spark, sf, scaler, carry=()):
 
 
 def feature_shift(spark, sf):
-    train = featured(spark, sf).where(F.col("split") == "train")
-    scaler = scaling.fit_scaler(train, FEATURES)
-    ours = scaling.apply_scaler(train, scaler, FEATURES)
-    theirs = message_features(spark, sf, scaler).where(F.col("url").isNotNull())
+    ready = _prepared(spark, sf)
+    ours = ready.scaled.where(F.col("split") == "train")
+    theirs = message_features(spark, sf, ready.scaler).where(F.col("url").isNotNull())
     return rounded(scaling.feature_shift(ours, theirs, FEATURES))
 
 
@@ -332,13 +330,12 @@ def url_presence(spark, sf):
     return rounded(joint.url_presence(rows))
 
 
-def distances(spark, sf, carry=("label",)):
+def distances(spark, sf, carry=("label",), scaler=None):
     """Mean squared scaled feature per message URL; URL-less messages keep a null URL.
 
     Stored once, because both the neutral median and the maximum per message read it.
     """
-    scaler = fitted(featured(spark, sf))
-    rows = message_features(spark, sf, scaler, carry)
+    rows = message_features(spark, sf, scaler or _prepared(spark, sf).scaler, carry)
     score = scaling.mean_square(FEATURES).alias("dist")
     return materialise(rows.select("email_id", *carry, "url_index", "url", score), "dist")
 
@@ -350,19 +347,16 @@ def email_score_max_neutral(spark, sf):
 
 def message_scores(spark, sf):
     """Three scores per message: feature distance, character model, URL entropy."""
-    mail = emails(spark, sf).select("email_id", "label")
-    dist = distances(spark, sf, ()).where(F.col("url").isNotNull())
-    urls = url_extract(spark, sf)
-    train = split_corpus(spark, sf).where((F.col("split") == "train") & (F.col("label") == 1))
-    bigrams = ngram.fit_bigrams(train, "url")
-    chars = materialise(ngram.score_bigrams(urls, "email_id", "url", bigrams, ["url_index"], "chars"), "chars")
-    entropy = with_enriched_features(urls, "url").select("email_id", F.col("url_entropy").alias("entropy"))
-    entropy = materialise(entropy, "entropy")
-    parts = [
-        joint.attach_max(mail.select("email_id"), frame.select("email_id", name), "email_id", [name])
-        for frame, name in ((dist, "dist"), (chars, "chars"), (entropy, "entropy"))
-    ]
-    return joint.assemble_scores(mail, "email_id", parts)
+    ready = _prepared(spark, sf)
+    bigrams = ngram.fit_bigrams(ready.split.where((F.col("split") == "train") & (F.col("label") == 1)), "url")
+    mail = emails(spark, sf)
+    rows = with_enriched_features(joint.message_urls(mail, "email_id", "body"), "url")
+    scored = scaling.apply_scaler(rows.withColumn("entropy", F.col("url_entropy")), ready.scaler, FEATURES)
+    scored = message_eval.bigram_scorer(bigrams)(scored.withColumn("dist", scaling.mean_square(FEATURES)), "chars")
+    models = ["dist", "chars", "entropy"]
+    stored = materialise(scored.select("email_id", *models), "scores")
+    best = joint.attach_max(mail.select("email_id"), stored, "email_id", models)
+    return joint.assemble_scores(mail.select("email_id", "label"), "email_id", [best])
 
 
 def email_score_wide(spark, sf):
@@ -390,8 +384,7 @@ def ablation_auc(spark, sf):
 
     All feature sets are scored in one pass as columns, then ranked together as groups.
     """
-    scaler = fitted(featured(spark, sf))
-    rows = message_features(spark, sf, scaler, ("label",))
+    rows = message_features(spark, sf, _prepared(spark, sf).scaler, ("label",))
     variants = {
         name: _neutral_distance(dropped).alias(name) for name, dropped in ABLATIONS.items()
     }
@@ -493,9 +486,7 @@ def auc_inversion(spark, sf):
 
 
 def page_scores(spark, sf):
-    rows = featured(spark, sf)
-    scaled = scaling.apply_scaler(rows, fitted(rows), FEATURES)
-    return scaled.select(
+    return _prepared(spark, sf).scaled.select(
         "url", scaling.mean_square(FEATURES).alias("dist"), F.col("domain_entropy").alias("entropy")
     )
 
