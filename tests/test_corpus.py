@@ -17,6 +17,8 @@ def test_source_labels(spark):
     assert [(r.url, r.label) for r in labels.urls_text_label(b).collect()] == [(" u ", 0), ("v", 1)]
     c = spark.createDataFrame([("u", "1.0"), ("v", None), ("w", "0"), ("x", "junk"), ("y", "1.9")], "URL string, ClassLabel string")
     assert [(r.url, r.label) for r in labels.urls_nullable_label(c).collect()] == [("u", 1), ("w", 0), ("y", 1)]
+    a = spark.createDataFrame([("u", "0"), ("v", None), ("w", "junk"), ("x", "1")], "URL string, label string")
+    assert [(r.url, r.label) for r in labels.urls_int_label(a).collect()] == [("u", 0), ("x", 1)]
     e = spark.createDataFrame([(0,), (1,), (None,)], "label int")
     assert [r[0] for r in e.select(labels.flip_label(F.col("label"))).collect()] == [1, 0, -1]
 
@@ -34,6 +36,23 @@ def test_conflicts_and_priority(spark):
     assert [(r.url, r.n_rows) for r in dedup.conflicting_urls(union).collect()] == [("y", 2)]
 
 
+def test_null_labels_neither_conflict_nor_claim_a_url(spark):
+    a = source(spark, [("x", None), ("y", None)], "a")
+    b = source(spark, [("x", 1)], "b")
+    union = labels.union_sources([a, b])
+    assert [(r.url, r.label, r.source) for r in dedup.url_corpus(union, ["a", "b"]).collect()] == [("x", 1, "b")]
+    assert dedup.conflicting_urls(union).count() == 0
+
+
+def test_long_messages_stay(spark):
+    rows = [(1, "word " * 12_000, "Safe Email"), (2, "short", "Safe Email"), (3, "a phishing text", "Phishing Email")]
+    frame = spark.createDataFrame(rows, "row_id long, text string, label_raw string")
+    assert sorted(r["row_id"] for r in text_corpus.clean_corpus(frame).collect()) == [1, 3]
+    assert [r["row_id"] for r in text_corpus.clean_corpus(frame, max_chars=50_000).collect()] == [3]
+    report = text_corpus.readiness_text(frame).first()
+    assert (report["final_rows"], report["removed_length_outliers"]) == (2, 1)
+
+
 def test_one_url_holding_a_third_of_all_rows(spark):
     hot = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), "id")).alias("url"),
                                      F.lit(1).alias("label"), F.lit("a").alias("source"))
@@ -120,8 +139,8 @@ def brute_clean():
 def test_clean_corpus_and_report(spark):
     frame = spark.createDataFrame(RAW, "row_id long, text string, label_raw string").repartition(3)
     steps, want = brute_clean()
-    assert sorted(map(tuple, text_corpus.clean_corpus(frame).collect())) == want
-    report = text_corpus.readiness_text(frame).first().asDict()
+    assert sorted(map(tuple, text_corpus.clean_corpus(frame, max_chars=50_000).collect())) == want
+    report = text_corpus.readiness_text(frame, max_chars=50_000).first().asDict()
     assert {k: report[k] for k in steps} == steps
     assert report["loaded_rows"] == len(RAW) and report["final_rows"] == len(want)
     removed = sum(v for k, v in steps.items() if k.startswith("removed")) + report["removed_unlabelled"]

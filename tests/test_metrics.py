@@ -41,9 +41,7 @@ def brute_threshold(scores, target, strategy, limit):
         rows.append((t, tpr, fpr, f1))
     if strategy == "fpr":
         ok = [(tpr, t) for t, tpr, fpr, _ in rows if fpr <= limit]
-        if ok:
-            return max(ok)[1], max(ok)[0]
-        strategy = "youden"
+        return (max(ok)[1], max(ok)[0]) if ok else None
     value = (lambda r: r[3]) if strategy == "f1" else (lambda r: r[1] - r[2])
     top = max(map(value, rows))
     return next(r[0] for r in rows if value(r) == top), top
@@ -70,9 +68,18 @@ def test_areas_and_thresholds(spark, name, scores, target):
     assert row["auc_roc"] + flipped["auc_roc"] == pytest.approx(1, abs=1e-12)
     for r in metrics.pick_thresholds(df, "s", "y").collect():
         want = brute_threshold(scores, target, r["strategy"], 0.10)
+        if want is None:
+            continue  # no candidate is within the limit: see the test below
         assert (r["threshold"], r["strategy_value"]) == pytest.approx(want, abs=1e-12), r
 
 
+def test_without_a_feasible_threshold_youden_decides(spark):
+    df = spark.createDataFrame([(1.0, i % 3 == 0) for i in range(40)], "s double, hit boolean")
+    picked = {r["strategy"]: r for r in metrics.pick_thresholds(df.withColumn("y", F.col("hit").cast("int")), "s", "y").collect()}
+    assert picked["fpr"]["threshold"] == picked["youden"]["threshold"] == 1.0
+    assert picked["fpr"]["strategy_value"] == picked["youden"]["strategy_value"] == 0.0
+
+
 def test_one_class_has_no_auc(spark):
     df = spark.createDataFrame([(0.1, 1), (0.4, 1), (0.2, None)], "s double, y int")
     row = metrics.evaluate(df, "s", "y", 0.2).first()
@@ -122,6 +129,27 @@ def test_histogram_density_integrates_to_one(spark):
         assert r["area"] == pytest.approx(1.0)
 
 
+def test_histogram_counts_every_row(spark):
+    rows = [(s, i % 2) for i, s in enumerate([-0.1, 0.0, 0.2, 0.5, 0.9, 1.0, 1.2, 1.2])] + [(None, 1), (0.3, None)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    for given in ({}, {"low": 0.0, "high": 1.0}):
+        out = metrics.score_histogram(df, "s", "y", bins=5, **given).collect()
+        assert sum(r["n"] for r in out) == 8 and {r["bin"] for r in out} <= set(range(5))
+        for y in (0, 1):
+            own = [r for r in out if r["target"] == y]
+            assert sum(r["density"] * (r["high"] - r["low"]) for r in own) == pytest.approx(1.0)
+    same = spark.createDataFrame([(0.5, 1), (0.5, 1)], "s double, y int")
+    assert [(r["bin"], r["n"]) for r in metrics.score_histogram(same, "s", "y").collect()] == [(0, 2)]
+
+
+def test_clipped_histogram_keeps_the_overflow(spark):
+    from lurescope.operators.aggregates import clipped_histogram
+
+    df = spark.createDataFrame([(i,) for i in [0, 5, 9, 10, 50, 1000]] + [(None,)], "t int")
+    out = {r["bin"]: r["n"] for r in clipped_histogram(df, "t", high=10, bins=5).collect()}
+    assert out == {0: 1, 2: 1, 4: 4}
+
+
 def test_extremes_and_errors(spark):
     rows = [(i, i / 10, int(i in (1, 2, 9))) for i in range(10)]
     df = spark.createDataFrame(rows, "id int, s double, y int")

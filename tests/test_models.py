@@ -20,11 +20,11 @@ def cloud(spark):
 def test_forest_ranks_outliers_first(spark, cloud):
     nodes = iforest.fit_forest(cloud, "id", ["a", "b", "c"], trees=60, samples=64)
     again = iforest.fit_forest(cloud.repartition(5), "id", ["a", "b", "c"], trees=60, samples=64)
-    key = lambda f: sorted(tuple(r)[:8] for r in f.collect())
+    key = lambda f: sorted(map(tuple, f.collect()))
     assert key(nodes) == key(again)
     sizes = nodes.groupBy("tree").agg(F.count("*").alias("n"), F.first("n_samples").alias("s")).collect()
     assert len(sizes) == 60 and all(r["n"] <= 127 and r["s"] == 64 for r in sizes)
-    scored = iforest.score_forest(cloud, ["a", "b", "c"], nodes, samples=64)
+    scored = iforest.score_forest(cloud, ["a", "b", "c"], nodes)
     top = [r["id"] for r in scored.orderBy(F.desc("score")).limit(5).collect()]
     assert set(top) == set(range(800, 805))
     low, high = scored.agg(F.min("score"), F.max("score")).first()
@@ -36,7 +36,22 @@ def test_forest_settings_share_one_job(spark, cloud):
     counts = {(r["max_samples"]): r["n"] for r in nodes.where("node = 0").groupBy("max_samples").agg(F.count("*").alias("n")).collect()}
     assert counts == {32: 20, 16: 20}
     assert iforest.select_forest(nodes, 10, 32).select("tree").distinct().count() == 10
-    assert iforest.growth_seconds(iforest.select_forest(nodes, 10, 32)) > 0
+
+
+def test_deep_forests_are_walked_to_their_leaves(spark, cloud):
+    nodes = iforest.fit_forest(cloud, "id", ["a", "b", "c"], trees=5, samples=2048)
+    forest = iforest._arrays(nodes.toPandas())
+    x = np.array([[r["a"], r["b"], r["c"]] for r in cloud.orderBy("id").collect()])
+    got = [r["score"] for r in iforest.score_forest(cloud, ["a", "b", "c"], nodes).orderBy("id").collect()]
+    for row, score in list(zip(x, got))[::80]:
+        depths = []
+        for tree in range(5):
+            at = 0
+            while forest["left"][tree, at] != at:
+                side = "left" if row[forest["feature"][tree, at]] <= forest["threshold"][tree, at] else "right"
+                at = forest[side][tree, at]
+            depths.append(forest["path"][tree, at])
+        assert score == pytest.approx(2 ** (-np.mean(depths) / iforest.average_path(805)))
 
 
 def test_forest_score_follows_the_paths():
@@ -59,25 +74,25 @@ def test_linear_codec_matches_numpy(spark, cloud):
 
 
 def brute_ngram(train, text):
-    pairs = Counter((a, b) for t in train for a, b in zip([""] + list(t[:128]), t[:128]))
+    pairs = Counter((a, b) for t in train for a, b in zip([""] + list(t), t))
     context = Counter()
     for (a, _), n in pairs.items():
         context[a] += n
     v = len({b for _, b in pairs}) + 1
-    text = text[:128]
     terms = [-math.log(max((pairs[a, b] + 1) / (context[a] + v), 1e-9)) for a, b in zip([""] + list(text), text)]
     return sum(terms) / len(terms) if terms else 0.0
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 3])
-def test_bigram_score(spark, monkeypatch, limit):
-    monkeypatch.setattr(ngram, "MAX_BROADCAST_PAIRS", limit)
+def test_bigram_score(spark, monkeypatch):
     train = ["http://a.b/c", "https://é.b", "x" * 200]
-    texts = train + ["", "ζ", "http\U0001F600", "a" * 130 + "ζ"]
+    texts = train + ["", "ζ", "http\U0001F600", "a" * 300 + "ζ"]
     fit = ngram.fit_bigrams(spark.createDataFrame([(t,) for t in train], "url string"), "url")
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, url string")
     for r in ngram.score_bigrams(frame, "id", "url", fit).collect():
         assert r["score"] == pytest.approx(brute_ngram(train, texts[r["id"]]), abs=1e-12)
+    monkeypatch.setattr(ngram, "MAX_PAIRS", 3)
+    with pytest.raises(ValueError):
+        ngram.score_bigrams(frame, "id", "url", fit)
 
 
 def test_char_sequences(spark):
@@ -86,7 +101,9 @@ def test_char_sequences(spark):
     assert [(r["char"], r["index"]) for r in vocab.orderBy("index").collect()] == [("a", 2), ("b", 3), ("é", 4), ("\U0001F600", 5)]
     frame = spark.createDataFrame([("ab\U0001F600zé",), ("",), ("a" * 200,)], "url string")
     got = [r["seq"] for r in sequences.encode_chars(frame, "url", vocab).collect()]
-    assert got == [[2, 3, 5, 1, 4] + [0] * 123, [0] * 128, [2] * 128]
+    assert got == [[2, 3, 5, 1, 4] + [0] * 195, [0] * 200, [2] * 200]
+    cut = [r["seq"] for r in sequences.encode_chars(frame, "url", vocab, max_len=4).collect()]
+    assert cut == [[2, 3, 5, 1], [0] * 4, [2] * 4]
 
 
 def test_embedding_classifier_reaches_the_optimum(spark):

@@ -50,7 +50,8 @@ def test_clean_and_redact_match_python(spark):
 
 def test_null_text_and_length_bounds(spark):
     frame = spark.createDataFrame([(None,), ("x" * 9,), ("x" * 10,), ("x" * 50_000,), ("x" * 50_001,)], "t string")
-    assert frame.where(T.within_length(F.col("t"))).count() == 2
+    assert frame.where(T.within_length(F.col("t"))).count() == 3
+    assert frame.where(T.within_length(F.col("t"), T.MIN_CHARS, T.MAX_CHARS)).count() == 2
     assert frame.select(T.clean_text(F.col("t"))).first()[0] == ""
 
 

