@@ -5,6 +5,8 @@ Each is written from the definition of the result, not from the Spark plan.
 
 from __future__ import annotations
 
+import math
+
 from lurescope.functions.url_basic import FEATURES as BASIC
 from lurescope.functions.url_enriched import BRANDS, FEATURES, KEYWORDS, SHORTENERS
 
@@ -525,3 +527,78 @@ ORACLES["email_csv_source"] = ORACLES["clean_corpus"]
 ORACLES["report_json_roundtrip"] = f"""select section, name, value::double as value from ({ORACLES["readiness_url"]})
 union all select 'text', name, value from (unpivot (select columns(*)::double from ({ORACLES["readiness_text"]})) on columns(*) into name name value value)
 union all select 'joint', name, value from (unpivot (select columns(*)::double from ({ORACLES["readiness_joint"]})) on columns(*) into name name value value)"""
+
+
+def _bits(*parts: str) -> str:
+    """The first eight hexadecimal digits of the md5 of the parts, as a number."""
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::bigint"
+
+
+def forest_ctes(trees: int, samples: int, largest: int, rows: str) -> str:
+    """CTEs that grow ``trees`` isolation trees on ``samples`` rows each and walk every row of ``rows``.
+
+    Feature ``f`` of a row is in ``long_all``; the trees take the first ``samples`` of the training
+    rows drawn for the largest setting. Names end in the number of samples.
+    """
+    s, limit = samples, math.ceil(math.log2(samples))
+    average = lambda n: (f"case when {n} > 2 then 2 * (ln({n} - 1.0) + 0.5772156649) - 2 * ({n} - 1.0) / {n} "
+                         f"when {n} = 2 then 1.0 else 0.0 end")
+    parts = [f"a{s}_0 as materialized (select tree, url, 1 as node from drawn where place <= {s})"]
+    for k in range(limit):
+        parts.append(f"""st{s}_{k} as (select tree, node, f, min(v) as lo, max(v) as hi from a{s}_{k} join long_all using (url) group by all having max(v) > min(v)),
+ls{s}_{k} as (select tree, node, list({{'f': f, 'lo': lo, 'hi': hi}} order by f) as l from st{s}_{k} group by all),
+pk{s}_{k} as materialized (select tree, node, c.f as f, c.lo + (c.hi - c.lo) * ({_bits('tree', 'node', '42', "'cut'")} / 4294967296.0) as cut from (
+  select tree, node, l[1 + ({_bits('tree', 'node', '42', "'feature'")} * len(l)) // 4294967296] as c from ls{s}_{k})),
+a{s}_{k + 1} as materialized (select a.tree, a.url, a.node * 2 + (v > cut)::integer as node
+  from a{s}_{k} a join pk{s}_{k} p using (tree, node) join long_all l on l.url = a.url and l.f = p.f)""")
+    counts = " union all ".join(f"select tree, node, {k} as depth, count(*) as n from a{s}_{k} group by all" for k in range(limit + 1))
+    picks = " union all ".join(f"select * from pk{s}_{k}" for k in range(limit))
+    parts.append(f"""nd{s} as materialized (select c.tree, c.node, p.f, p.cut, case when p.cut is null then depth + {average('n')} else 0.0 end as path
+  from ({counts}) c left join ({picks}) p using (tree, node)), w{s}_0 as (select url, tree, 1 as node from {rows}, (select distinct tree from drawn))""")
+    for k in range(limit):
+        parts.append(f"""w{s}_{k + 1} as (select w.url, w.tree, case when n.cut is null then w.node else w.node * 2 + (v > n.cut)::integer end as node
+  from w{s}_{k} w join nd{s} n using (tree, node) left join long_all l on l.url = w.url and l.f = n.f)""")
+    parts.append(f"""ends{s} as materialized (select url, tree, path from w{s}_{limit} join nd{s} using (tree, node)),
+norm{s} as (select {average('n')} as c from (select max(n) as n from (select count(*) as n from a{s}_0 group by tree)))""")
+    return ",\n".join(parts)
+
+
+def drawn_ctes(trees: int, samples: int) -> str:
+    """``long_all`` and ``drawn``: the training rows of each tree in the order they are taken."""
+    wanted = samples + 10 * math.sqrt(samples) + 20
+    cells = ", ".join(f"{{'f': {i}, 'v': round(\"{c}\", 6) + 0.0}}" for i, c in enumerate(FEATURES))
+    return f"""long_all as materialized (select url, c.f as f, c.v as v from (select url, unnest([{cells}]) as c from scaled)),
+chance as (select least(1.0, {wanted!r}::double / greatest(count(*), 1)) as one from scaled where split = 'train'),
+drawn as materialized (select tree, url, row_number() over (partition by tree order by md5(concat_ws('|', url, tree, '42', 'order')), url) as place
+  from (select url from scaled where split = 'train'), range({trees}) t(tree), chance
+  where {_bits('url', "'42'", "'row'")} < least(1.0, one * {trees}) * 4294967296.0
+    and {_bits('url', 'tree', "'42'")} < one / least(1.0, one * {trees}) * 4294967296.0)"""
+
+
+_FOREST = f"with {SCALED},\n{drawn_ctes(200, 512)},\n{forest_ctes(200, 512, 512, 'scaled')}"
+ORACLES["iforest_fit"] = f"""{_FOREST}
+select tree::integer as tree, node::integer as node, coalesce(f, 0)::integer as feature, round(cut, 6) + 0.0 as threshold, round(path, 6) as path,
+ (select count(*) from a512_0 a where a.tree = nd512.tree)::integer as n_samples from nd512"""
+ORACLES["iforest_score"] = f"""{_FOREST}
+select url, label, split, round(pow(2, -(select avg(path) from ends512 e where e.url = scaled.url) / (select c from norm512)), 6) as anomaly_score from scaled"""
+
+
+def _sweep() -> str:
+    settings = [(t, s) for t in (100, 200, 300) for s in (128, 256, 512)]
+    grown = ",\n".join(forest_ctes(300, s, 512, "(select url from scaled where split <> 'train')") for s in (128, 256, 512))
+    rows = " union all ".join(
+        f"""select {t} as n_estimators, {s} as max_samples, url, round(pow(2, -avg(path) / (select c from norm{s})), 9) as score
+  from ends{s} where tree < {t} group by url""" for t, s in settings
+    )
+    each = " union all ".join(
+        f"""select * from (with scores as (select score, y, split from judged where n_estimators = {t} and max_samples = {s}), {THRESHOLDS},
+ tst as (select score, y from scores where split = 'test'), j as (select score >= threshold as hit, y from tst, best_f1), k as (select {CONFUSION} from j)
+ select {t} as n_estimators, {s} as max_samples, round(auc_roc, 6) as auc_roc, round(auc_pr, 6) as auc_pr, {rates('f1', 'precision', 'recall')},
+  round({RATES['false_positive_rate']}, 6) as fpr from k, {areas('tst', 'score')})""" for t, s in settings
+    )
+    return f"""with {SCALED},\n{drawn_ctes(300, 512)},\n{grown},
+judged as materialized (select n_estimators, max_samples, score, 1 - label as y, split from ({rows}) join scaled using (url))
+{each}"""
+
+
+ORACLES["iforest_sweep"] = _sweep()

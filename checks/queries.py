@@ -511,18 +511,29 @@ def _prepared(spark, sf):
     return url_corpus.prepare(union(spark, sf), SOURCES)
 
 
-def iforest_fit(spark, sf):
+def _level_features(spark, sf):
+    """The prepared corpus, and its scaled features without the last digits of their sums.
+
+    Two URLs with equal features must be equal to a tree, in whatever order a feature was summed.
+    """
     ready = _prepared(spark, sf)
-    train = ready.scaled.where(F.col("split") == "train")
-    return iforest.fit_forest(train, "url", ready.features)
+    return ready, rounded(ready.scaled)
+
+
+def iforest_fit(spark, sf):
+    ready, scaled = _level_features(spark, sf)
+    train = scaled.where(F.col("split") == "train")
+    nodes = iforest.fit_forest(train, "url", ready.features)
+    cut = F.when(F.col("left") != F.col("node"), F.col("threshold"))
+    return rounded(nodes.select("tree", "node", "feature", cut.alias("threshold"), "path", "n_samples"))
 
 
 def iforest_score(spark, sf):
-    ready = _prepared(spark, sf)
-    train = ready.scaled.where(F.col("split") == "train")
+    ready, scaled = _level_features(spark, sf)
+    train = scaled.where(F.col("split") == "train")
     forest = iforest.fit_forest(train, "url", ready.features)
-    scored = iforest.score_forest(ready.scaled, ready.features, forest, "anomaly_score")
-    return scored.select("url", "label", "split", "anomaly_score")
+    scored = iforest.score_forest(scaled, ready.features, forest, "anomaly_score")
+    return rounded(scored.select("url", "label", "split", "anomaly_score"))
 
 
 def iforest_sweep(spark, sf):
@@ -530,14 +541,15 @@ def iforest_sweep(spark, sf):
 
     One job grows the trees of all settings and one pass scores all of them.
     """
-    ready = _prepared(spark, sf)
-    train = ready.scaled.where(F.col("split") == "train")
+    ready, scaled = _level_features(spark, sf)
+    train = scaled.where(F.col("split") == "train")
     settings = [(trees, samples) for trees in (100, 200, 300) for samples in (128, 256, 512)]
     nodes = materialise(iforest.fit_forests(train, "url", ready.features, settings), "forest")
     forests = {f"{t}_{n}": iforest.select_forest(nodes, t, n) for t, n in settings}
-    held = ready.scaled.where(F.col("split") != "train")
+    held = scaled.where(F.col("split") != "train")
     scored = materialise(
-        iforest.score_forests(held, ready.features, forests).select("label", "split", *forests), "scores"
+        # Equal paths must give equal scores whatever the order they are summed in.
+        rounded(iforest.score_forests(held, ready.features, forests).select("label", "split", *forests), 9), "scores"
     )
     long = scored.withColumn("y", labels.is_phishing(F.col("label"))).unpivot(
         ["y", "split"], list(forests), "setting", "s"
@@ -548,10 +560,10 @@ def iforest_sweep(spark, sf):
     judged = test.join(F.broadcast(limits), "setting")
     cells = metrics.with_rates(metrics.confusion(judged, "s", "y", F.col("threshold"), ["setting"]))
     parts = F.split("setting", "_")
-    return cells.join(metrics.areas(test, "s", "y", ["setting"]), "setting").select(
+    return rounded(cells.join(metrics.areas(test, "s", "y", ["setting"]), "setting").select(
         parts[0].cast("int").alias("n_estimators"), parts[1].cast("int").alias("max_samples"),
         "auc_roc", "auc_pr", "f1", "precision", "recall", F.col("false_positive_rate").alias("fpr"),
-    )
+    ))
 
 
 def pca_recon_score(spark, sf):

@@ -6,12 +6,13 @@ the parameters and not by the data; scoring collects and broadcasts exactly that
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.ranking import attach
 
@@ -19,7 +20,7 @@ NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, path double, "
     "n_samples int, max_samples int"
 )
-_SPAN = 1 << 31
+_SPAN = 1 << 32
 
 
 def average_path(n):
@@ -30,48 +31,67 @@ def average_path(n):
     return np.where(n > 2, full, np.where(n == 2, 1.0, 0.0))
 
 
+def _draw(*parts: Column | str) -> Column:
+    """32 reproducible bits of the parts: the first eight digits of their md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
+
+
+def _bits(*parts: object) -> int:
+    """:func:`_draw` in Python."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def wanted_rows(samples: int) -> float:
+    """Expected candidates per tree: enough that fewer than ``samples`` are as good as impossible."""
+    return samples + 10 * math.sqrt(samples) + 20
+
+
 def _tree_samples(df: DataFrame, key: str, features: Sequence[str], trees: int, samples: int, seed: int) -> DataFrame:
     """Candidate rows per tree: a few more than ``samples`` each, every row equally likely.
 
     One hash decides whether a row is a candidate at all; only those few rows draw once per
     tree. On small input both draws pass every row.
     """
-    wanted = samples + 10 * math.sqrt(samples) + 20
     counted = attach(df.select(key, *features), df.agg(F.count(F.lit(1)).alias("_n")), ["_n"])
-    per_tree = F.least(F.lit(1.0), wanted / F.greatest("_n", F.lit(1)))
+    per_tree = F.least(F.lit(1.0), wanted_rows(samples) / F.greatest("_n", F.lit(1)))
     any_tree = F.least(F.lit(1.0), per_tree * trees)
-    row_draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_SPAN))
-    chosen = counted.where(row_draw < any_tree * _SPAN)
+    name, salt = F.col(key).cast("string"), F.lit(str(seed))
+    chosen = counted.where(_draw(name, salt, F.lit("row")) < any_tree * _SPAN)
     draws = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed + 1)), F.lit(_SPAN))
-        < per_tree / any_tree * _SPAN,
+        lambda t: _draw(name, t.cast("string"), salt) < per_tree / any_tree * _SPAN,
     )
     return chosen.withColumn("tree", F.explode(draws)).select(
-        "tree", F.xxhash64(key, "tree", F.lit(seed + 2)).alias("_order"), F.col(key).alias("_key"), *features
+        "tree",
+        F.md5(F.concat_ws("|", name, F.col("tree").cast("string"), salt, F.lit("order"))).alias("_order"),
+        F.col(key).alias("_key"),
+        *features,
     )
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes (feature, threshold, left, right, path) of one tree; leaves point to themselves."""
-    nodes: list = [None]
-    pending = [(0, np.arange(len(x)), 0)]
+def _grow(x: np.ndarray, tree: int, seed: int, limit: int) -> list[tuple]:
+    """Nodes (node, feature, threshold, left, right, path) of one tree; leaves point to themselves.
+
+    The root is 1 and the children of i are 2i and 2i + 1. Feature and cut of a node are drawn from
+    the md5 of tree, node and seed, so any engine can grow the same tree.
+    """
+    nodes = []
+    pending = [(1, np.arange(len(x)), 0)]
     while pending:
         at, rows, depth = pending.pop()
         part = x[rows]
         spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(rows) > 1 else []
         if depth >= limit or len(spread) == 0:
-            nodes[at] = (0, np.inf, at, at, depth + float(average_path(len(rows))))
+            nodes.append((at, 0, np.inf, at, at, depth + float(average_path(len(rows)))))
             continue
-        feature = int(rng.choice(spread))
+        feature = int(spread[_bits(tree, at, seed, "feature") * len(spread) // _SPAN])
         values = part[:, feature]
-        cut = rng.uniform(values.min(), values.max())
+        low, high = values.min(), values.max()
+        cut = low + (high - low) * (_bits(tree, at, seed, "cut") / _SPAN)
         below = values <= cut
-        left, right = len(nodes), len(nodes) + 1
-        nodes += [None, None]
-        nodes[at] = (feature, cut, left, right, 0.0)
-        pending += [(left, rows[below], depth + 1), (right, rows[~below], depth + 1)]
-    return nodes
+        nodes.append((at, feature, cut, 2 * at, 2 * at + 1, 0.0))
+        pending += [(2 * at, rows[below], depth + 1), (2 * at + 1, rows[~below], depth + 1)]
+    return sorted(nodes)
 
 
 def fit_forests(
@@ -97,10 +117,9 @@ def fit_forests(
                 continue
             x = group[features].head(samples).to_numpy(float)
             limit = max(1, math.ceil(math.log2(samples)))
-            nodes = _grow(x, np.random.default_rng([seed, tree]), limit)
-            out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path"])
+            nodes = _grow(x, tree, seed, limit)
+            out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "path"])
             out.insert(0, "tree", tree)
-            out.insert(1, "node", np.arange(len(out)))
             out["n_samples"], out["max_samples"] = len(x), samples
             parts.append(out)
         return pd.concat(parts)
@@ -141,7 +160,7 @@ def score_matrix(x: np.ndarray, forest: dict[str, np.ndarray], chunk: int = 2048
     norm = max(float(forest["norm"]), 1e-12)
     for start in range(0, len(x), chunk):
         part = x[start : start + chunk]
-        at = np.zeros((len(part), len(lanes)), dtype=np.int32)
+        at = np.ones((len(part), len(lanes)), dtype=np.int32)
         rows = np.arange(len(part))[:, None]
         while True:
             go_left = part[rows, forest["feature"][lanes, at]] <= forest["threshold"][lanes, at]

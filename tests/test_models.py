@@ -33,7 +33,7 @@ def test_forest_ranks_outliers_first(spark, cloud):
 
 def test_forest_settings_share_one_job(spark, cloud):
     nodes = iforest.fit_forests(cloud, "id", ["a", "b"], [(10, 32), (20, 32), (20, 16)])
-    counts = {(r["max_samples"]): r["n"] for r in nodes.where("node = 0").groupBy("max_samples").agg(F.count("*").alias("n")).collect()}
+    counts = {(r["max_samples"]): r["n"] for r in nodes.where("node = 1").groupBy("max_samples").agg(F.count("*").alias("n")).collect()}
     assert counts == {32: 20, 16: 20}
     assert iforest.select_forest(nodes, 10, 32).select("tree").distinct().count() == 10
 
@@ -46,7 +46,7 @@ def test_deep_forests_are_walked_to_their_leaves(spark, cloud):
     for row, score in list(zip(x, got))[::80]:
         depths = []
         for tree in range(5):
-            at = 0
+            at = 1
             while forest["left"][tree, at] != at:
                 side = "left" if row[forest["feature"][tree, at]] <= forest["threshold"][tree, at] else "right"
                 at = forest[side][tree, at]
@@ -56,9 +56,10 @@ def test_deep_forests_are_walked_to_their_leaves(spark, cloud):
 
 def test_forest_score_follows_the_paths():
     x = np.array([[0.0], [1.0], [10.0]])
-    nodes = iforest._grow(x, np.random.default_rng(1), 8)
-    leaves = [n for i, n in enumerate(nodes) if n[2] == i]
-    assert len(leaves) == 3 and all(n[4] == int(n[4]) for n in leaves)
+    nodes = iforest._grow(x, 3, 1, 8)
+    leaves = [n for n in nodes if n[3] == n[0]]
+    assert len(leaves) == 3 and all(n[5] == int(n[5]) for n in leaves)
+    assert nodes[0][0] == 1 and nodes == iforest._grow(x[::-1].copy(), 3, 1, 8)
     assert iforest.average_path([0, 1, 2]).tolist() == [0, 0, 1]
     assert iforest.average_path(256) == pytest.approx(2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
 
