@@ -602,3 +602,9 @@ judged as materialized (select n_estimators, max_samples, score, 1 - label as y,
 
 
 ORACLES["iforest_sweep"] = _sweep()
+
+ORACLES["pca_recon_bounds"] = f"""with {SCALED}, centre as (select {', '.join(f'avg("{c}") as "c_{c}"' for c in FEATURES)} from scaled where split = 'train' and label = 1)
+select url, round(({' + '.join(f'("{c}" - "c_{c}") * ("{c}" - "c_{c}")' for c in FEATURES)}) / {len(FEATURES)}, 6) + 0.0 as "none", 0.0::double as "all"
+from scaled, centre"""
+ORACLES["embedding_logreg_check"] = "select count(*) as n_rows, count(*) as n_in_range, true as at_optimum from embeddings"
+ORACLES["text_logreg_check"] = "select count(*) as n_rows, count(*) as n_in_range, true as at_optimum from documents"

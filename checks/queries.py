@@ -573,6 +573,39 @@ def pca_recon_score(spark, sf):
     return scored.select("url", "label", "split", "anomaly_score")
 
 
+def pca_recon_bounds(spark, sf):
+    """Scores without components and with all of them: the distance from the means, and zero."""
+    ready = _prepared(spark, sf)
+    legit, rows = ready.legit_only(), ready.scaled.select("url", *ready.features)
+    for k, name in ((0, "none"), (len(ready.features), "all")):
+        rows = reconstruction.score_codec(rows, reconstruction.fit_codec(legit, ready.features, k), name)
+    return rounded(rows.select("url", "none", "all"))
+
+
+def _fit_check(scored, target, score):
+    """Rows, scores in range, and whether the weighted residuals of the training rows sum to zero.
+
+    At the optimum of a logistic regression they do, as its intercept is not penalised.
+    """
+    weights = classifiers.class_weights(scored.where(F.col("split") == "train"), target).select(target, "weight")
+    rows = scored.join(F.broadcast(weights), target, "left")
+    own = (F.col("split") == "train") & F.col(target).isNotNull()
+    residual = F.sum(F.when(own, F.col("weight") * (F.col(score) - F.col(target)))) / F.sum(F.when(own, F.col("weight")))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col(score).between(0, 1)).alias("n_in_range"),
+        (F.abs(residual) < 1e-3).alias("at_optimum"),
+    )
+
+
+def embedding_logreg_check(spark, sf):
+    return _fit_check(embedding_logreg(spark, sf), "y", "semantic_score")
+
+
+def text_logreg_check(spark, sf):
+    return _fit_check(text_logreg(spark, sf), "label", "semantic_score")
+
+
 def char_ngram_score(spark, sf):
     rows = split_corpus(spark, sf)
     train = rows.where((F.col("split") == "train") & (F.col("label") == 1))
@@ -777,6 +810,9 @@ REGISTRY = {
     "class_weights": class_weights,
     "text_logreg": text_logreg,
     "batch_predict": batch_predict,
+    "pca_recon_bounds": pca_recon_bounds,
+    "embedding_logreg_check": embedding_logreg_check,
+    "text_logreg_check": text_logreg_check,
     "email_csv_source": email_csv_source,
     "report_json_roundtrip": report_json_roundtrip,
     "token_length_histogram": token_length_histogram,

@@ -35,16 +35,21 @@ class LinearCodec:
 
 
 def _sum(terms: Sequence[Column]) -> Column:
-    total = terms[0]
-    for term in terms[1:]:
+    total = F.lit(0.0)
+    for term in terms:
         total = total + term
     return total
 
 
 def fit_codec(legit: DataFrame, features: Sequence[str], k: int = 8) -> LinearCodec:
-    """Fit on legitimate rows only. The driver receives the means and a features x k matrix."""
+    """Fit on legitimate rows only. The driver receives the means and a features x k matrix.
+
+    Without components (``k`` = 0) the error is the mean squared distance from the means.
+    """
     features = list(features)
     means = legit.agg(*(F.avg(f).alias(f) for f in features)).first()
+    if k == 0:
+        return LinearCodec(tuple(features), tuple(means), ())
     vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(legit.select(*features))
     pc = PCA(k=k, inputCol="_x", outputCol="_y").fit(vectors).pc.toArray()
     return LinearCodec(
