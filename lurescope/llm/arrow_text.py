@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 28 << 20
+BLOCK_BYTES = 10 << 20
 #: Characters that a regular expression's \s may match in any Unicode version.
 SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BEFORE_WORD = re.compile(f" (?=[^{SPACES}])")
@@ -38,6 +38,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             before = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
             yield batch.slice(at, to - at)
+            # What the last block took goes back, so that a worker that is used again stays small.
+            pa.default_memory_pool().release_unused()
             at = to
 
 

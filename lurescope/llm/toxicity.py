@@ -121,9 +121,10 @@ class Model:
         return 1.0 / (1.0 + np.exp(-(self.slope * _logit(votes) + self.shift)))
 
     def evaluate(self, texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = arrow_text.alnum_words(texts)
-        rows = vectors(words, self.terms, self.idf)
-        parts = [self.index.nearest(rows[a : a + _TOGETHER], k) for a in range(0, len(rows), _TOGETHER)]
+        parts = []
+        for block in arrow_text.blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
+            rows = vectors(arrow_text.alnum_words(arrow_text.plain(block.column("text"))), self.terms, self.idf)
+            parts += [self.index.nearest(rows[a : a + _TOGETHER], k) for a in range(0, len(rows), _TOGETHER)]
         similarities, numbers = (np.concatenate(p) for p in zip(*parts))
         return self.votes(similarities, numbers), similarities, numbers
 
@@ -262,7 +263,7 @@ def score(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS, evidence:
         own = shared.value
         votes, near, numbers = np.zeros(0), np.zeros((0, neighbours)), np.zeros((0, neighbours), np.int64)
         if len(own.index.keys) and len(texts):
-            votes, near, numbers = own.evaluate(arrow_text.plain(texts), neighbours)
+            votes, near, numbers = own.evaluate(texts, neighbours)
         elif len(texts):
             votes = np.full(len(texts), own.base_rate)
             near, numbers = np.zeros((len(texts), 1)), np.full((len(texts), 1), -1)
