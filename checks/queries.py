@@ -167,8 +167,9 @@ def source_exclusion(spark, sf):
 
 
 def text_dedup_with_source(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    return dedup.keep_first(docs, ["text"], "doc_id", ["source"])
+    # Texts are only compared, so their digests travel instead.
+    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"), "source")
+    return dedup.keep_first(docs, ["digest"], "doc_id", ["source"])
 
 
 # --- text --------------------------------------------------------------------------------------

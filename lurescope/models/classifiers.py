@@ -78,11 +78,13 @@ def text_classifier(
         safe = df.withColumn("_text", F.coalesce(text, F.lit("")))
         return hashing.transform(tokenizer.transform(safe))
 
-    fitted = counts(train.where(F.col(target).isNotNull()))
+    # Document frequencies and every solver round read the counts; a lost block is counted again.
+    fitted = counts(train.where(F.col(target).isNotNull())).select("_tf", target).persist()
     idf = IDF(inputCol="_tf", outputCol="_x").fit(fitted)
     rows, n = _weighted(idf.transform(fitted), target)
     rows = rows.select("_x", "_w", F.col(target).cast("double").alias(target))
     model = _logistic(rows, n, target, "_x", c, max_iter)
+    fitted.unpersist()
 
     def score(df: DataFrame, out: str = "score") -> DataFrame:
         scored = model.transform(idf.transform(counts(df)))

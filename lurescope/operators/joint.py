@@ -97,11 +97,6 @@ def assemble_scores(base: DataFrame, key: str, parts: Sequence[DataFrame]) -> Da
     return base
 
 
-def neutralise(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Set scaled features to 0, the training mean."""
-    return df.withColumns({f: F.lit(0.0) for f in features}) if features else df
-
-
 def joint_diagnostics(per_message: DataFrame, n_urls: str, label: str, score: str) -> DataFrame:
     """One row of coverage, label and URL-less checks (labels 0 = phishing, 1 = legitimate)."""
     empty = F.col(n_urls) == 0
