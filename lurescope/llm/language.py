@@ -34,7 +34,7 @@ UNKNOWN = "und"
 #: Probability mass of the piece shares over all languages in each language's shares, in counts.
 PRIOR = 100.0
 _MARK = "▁"
-_TOGETHER = 1 << 15
+_TOGETHER = 1 << 13
 
 
 @lru_cache(maxsize=1)
@@ -266,18 +266,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 continue
             logs = word_scores(words.vocab.to_pylist(), own.shares, path)
             of = words.document_of_word()
+            letters = pc.match_substring_regex(words.vocab, r"\pL").to_numpy(zero_copy_only=False)
             total = np.stack(
                 [np.bincount(of, logs[words.codes, c] if len(of) else None, minlength=len(words)) for c in range(len(own.languages))],
                 axis=1,
             )
             best = total.argmax(axis=1)
             posterior = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            some = words.lengths > 0
+            some = np.bincount(of, letters[words.codes] if len(of) else None, minlength=len(words)) > 0
             names += [own.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist())]
             scores += np.where(some, posterior, 0.0).tolist()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "lang_score"])
 
-    made = docs.withColumn("__lang", predicted(F.col("text")))
+    # Declared nondeterministic only so that a filter on the result doesn't run the function twice.
+    made = docs.withColumn("__lang", predicted.asNondeterministic()(F.col("text")))
     return made.withColumn("lang_pred", F.col("__lang.lang_pred")).withColumn("lang_score", F.col("__lang.lang_score")).drop("__lang")
 
 
