@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 5 << 20
 #: Characters that a regular expression's \s may match in any Unicode version.
 SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BEFORE_WORD = re.compile(f" (?=[^{SPACES}])")
@@ -28,15 +28,15 @@ def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut where a block's texts would pass ``BLOCK_BYTES``."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where a block's texts would pass ``most`` bytes."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             # What the last block took goes back, so that a worker that is used again stays small.
             pa.default_memory_pool().release_unused()

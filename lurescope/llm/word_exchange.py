@@ -33,6 +33,14 @@ NO_KEY = -(1 << 63)
 DOCUMENTS = "block long, doc_id binary, offsets binary, codes binary"
 
 
+#: Larger blocks repeat fewer words; both reads of the documents must use the same.
+EXCHANGE_BYTES = 10 << 20
+
+
+def exchange_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return arrow_text.blocks(batches, most=EXCHANGE_BYTES)
+
+
 def buckets_for(docs: DataFrame) -> int:
     """As many buckets as input partitions or shuffle partitions, so a bucket's size stays level."""
     own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -106,7 +114,7 @@ def asked(
     """One row per block and bucket: the distinct words, and their weights in the block if wanted."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in arrow_text.blocks(batches):
+        for block in exchange_blocks(batches):
             name, words, begins = numbered(block, split, n_buckets)
             own = None if weights is None else weights(block, words)
             full = np.flatnonzero(np.diff(begins))
@@ -127,7 +135,7 @@ def document_rows(docs: DataFrame, split: Split, n_buckets: int) -> DataFrame:
     """One row per block: its documents as word numbers, in the numbering of ``asked``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in arrow_text.blocks(batches):
+        for block in exchange_blocks(batches):
             name, words, _ = numbered(block, split, n_buckets)
             parts = [packed(keys_of(block)), packed(words.offsets), packed(words.codes)]
             yield pa.RecordBatch.from_arrays(
