@@ -1,11 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of labelled documents is the example set. Terms are the words of that sample most
-associated with the label; their document frequencies are counted over all documents. Examples are
-laid out in blocks with similar examples side by side; the index keeps, per term, the postings of each
-block and their maximum. For a text the maxima bound what any example of a block can score, so blocks
-that cannot enter the text's nearest ``k`` are skipped and the neighbours are still exact. Neighbours
-vote by closeness, and a logistic curve fitted on the examples' votes for each other calibrates them.
+A bounded sample of labelled documents is the example set. Terms are all words of that sample; their
+document frequencies are counted over all documents. Words that no example has can match nothing and
+have no weight. Examples are laid out in blocks with similar examples side by side. The postings of
+the ``HEAD`` terms that most examples have are dense tables by block, with their maxima; those of all
+other terms are lists. For a text the lists are summed first; with them the maxima bound what any
+example of a block can score, so blocks that cannot enter the text's nearest ``k`` are skipped and the
+neighbours are still exact. Neighbours vote by closeness, and a logistic curve fitted on the examples'
+votes for each other calibrates them.
 """
 
 from __future__ import annotations
@@ -15,67 +17,172 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lurescope.llm import arrow_text
 
 #: Most labelled documents taken as examples.
 EXAMPLES = 4096
-TERMS = 128
-#: A term must be in this share of the examples at least, and in this many.
-MIN_SHARE = 0.005
-MIN_COUNT = 6
+#: Terms with dense postings: those in most examples.
+HEAD = 512
 NEIGHBOURS = 32
 BLOCK = 64
 THRESHOLD = 0.3
-#: Texts that are compared at once.
-_TOGETHER = 1024
+#: Texts that are compared at once, and postings that are summed at once.
+_TOGETHER = 256
+_POSTINGS = 1 << 20
 
 
-def vectors(words: arrow_text.Words, terms: dict[str, int], idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows, (1 + ln tf) * idf; zero rows for texts without any term."""
-    number = np.array([terms.get(w, -1) for w in words.vocab.to_pylist()], dtype=np.int64)
+@dataclass
+class Sparse:
+    """Rows of weights by term: row i has terms[offsets[i]:offsets[i + 1]]."""
+
+    offsets: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    n_terms: int
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    @staticmethod
+    def of(rows: "np.ndarray | Sparse") -> "Sparse":
+        if isinstance(rows, Sparse):
+            return rows
+        row, term = np.nonzero(rows)
+        return Sparse(np.searchsorted(row, np.arange(len(rows) + 1)), term, rows[row, term], rows.shape[1])
+
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.offsets))
+
+    def slice(self, lo: int, hi: int) -> "Sparse":
+        a, b = self.offsets[lo], self.offsets[hi]
+        return Sparse(self.offsets[lo : hi + 1] - a, self.terms[a:b], self.weights[a:b], self.n_terms)
+
+    def only(self, wanted: np.ndarray) -> "Sparse":
+        """The entries that are marked in ``wanted``, as unit rows."""
+        row, weights = self.row_of()[wanted], self.weights[wanted]
+        norms = np.sqrt(np.bincount(row, weights**2, minlength=len(self)))
+        offsets = np.searchsorted(row, np.arange(len(self) + 1))
+        return Sparse(offsets, self.terms[wanted], weights / norms[row], self.n_terms)
+
+    def ordered(self, order: np.ndarray) -> "Sparse":
+        sizes = np.diff(self.offsets)
+        at = arrow_text.gathered(self.offsets[:-1], sizes, order)
+        offsets = np.concatenate(([0], np.cumsum(sizes[order])))
+        return Sparse(offsets, self.terms[at], self.weights[at], self.n_terms)
+
+
+def term_counts(words: arrow_text.Words, number: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count), sorted, of the words that have a number of 0 or more."""
     own = number[words.codes] if len(words.codes) else np.zeros(0, np.int64)
     known = own >= 0
-    rows = words.document_of_word()[known].astype(np.int64)
-    counts = np.bincount(rows * len(terms) + own[known], minlength=len(words) * len(terms)).astype(float)
-    table = counts.reshape(len(words), len(terms))
-    weights = np.where(table > 0, 1.0 + np.log(np.maximum(table, 1.0)), 0.0) * idf
-    norms = np.linalg.norm(weights, axis=1, keepdims=True)
-    return weights / np.where(norms > 0, norms, 1.0)
+    pairs, counts = np.unique(words.document_of_word()[known].astype(np.int64) * n_terms + own[known], return_counts=True)
+    return pairs // max(1, n_terms), pairs % max(1, n_terms), counts
+
+
+def unit_rows(document: np.ndarray, term: np.ndarray, counts: np.ndarray, n: int, idf: np.ndarray) -> Sparse:
+    """Unit TF-IDF rows, (1 + ln tf) * idf; empty rows for texts without any term."""
+    raw = Sparse(np.searchsorted(document, np.arange(n + 1)), term, (1.0 + np.log(counts)) * idf[term], len(idf))
+    return raw.only(np.ones(len(term), dtype=bool))
+
+
+def vectors(words: arrow_text.Words, terms: dict[str, int], idf: np.ndarray) -> Sparse:
+    number = np.array([terms.get(w, -1) for w in words.vocab.to_pylist()], dtype=np.int64)
+    return unit_rows(*term_counts(words, number, len(terms)), len(words), idf)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Example vectors by block: ``postings[block, term, slot]`` and ``maxima[block, term]``."""
+    """Example vectors: ``postings[block, head term, slot]`` with ``maxima[block, head term]``, and for
+    each other term t the examples and weights at starts[t] .. starts[t + 1]. ``head`` has a term's place
+    among the head terms, -1 for the others."""
 
     keys: np.ndarray
     targets: np.ndarray
+    head: np.ndarray
     postings: np.ndarray
     maxima: np.ndarray
+    starts: np.ndarray
+    examples: np.ndarray
+    weights: np.ndarray
 
     @staticmethod
-    def build(keys: np.ndarray, targets: np.ndarray, rows: np.ndarray) -> "BlockMaxIndex":
-        used = np.flatnonzero(rows.any(axis=1))
-        keys, targets, rows = keys[used], targets[used], rows[used]
-        # Neighbours in this order share their heaviest terms, so the maxima stay close to the members.
-        heavy = np.argsort(-rows, axis=1, kind="stable")[:, :3]
+    def build(keys: np.ndarray, targets: np.ndarray, rows: np.ndarray | Sparse) -> "BlockMaxIndex":
+        rows = Sparse.of(rows)
+        n_head = min(HEAD, rows.n_terms)
+        head = np.full(rows.n_terms, -1, dtype=np.int64)
+        frequency = np.bincount(rows.terms, minlength=rows.n_terms)
+        head[np.argsort(-frequency, kind="stable")[:n_head]] = np.arange(n_head)
+        # Neighbours in this order share their heaviest head terms, so the maxima stay close to the members.
+        dense = _dense(rows, head, n_head)
+        heavy = np.argsort(-dense, axis=1, kind="stable")[:, :3]
         order = np.lexsort((keys, *heavy.T[::-1]))
         n_blocks = -(-len(order) // BLOCK)
-        padded = np.zeros((n_blocks * BLOCK, rows.shape[1]))
-        padded[: len(order)] = rows[order]
-        postings = padded.reshape(n_blocks, BLOCK, rows.shape[1]).transpose(0, 2, 1).copy()
-        return BlockMaxIndex(keys[order], targets[order], postings, postings.max(axis=2))
-
-    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        padded = np.zeros((n_blocks * BLOCK, n_head))
+        padded[: len(order)] = dense[order]
+        postings = padded.reshape(n_blocks, BLOCK, n_head).transpose(0, 2, 1).copy()
+        moved = rows.ordered(order)
+        tail = np.flatnonzero(head[moved.terms] < 0)
+        tail = tail[np.argsort(moved.terms[tail], kind="stable")]
+        starts = np.searchsorted(moved.terms[tail], np.arange(rows.n_terms + 1))
+        examples, weights = moved.row_of()[tail].astype(np.int32), moved.weights[tail]
+        return BlockMaxIndex(keys[order], targets[order], head, postings, postings.max(axis=2), starts, examples, weights)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(v.nbytes for v in vars(self).values())
+
+    def rows(self) -> Sparse:
+        """The examples' vectors, in the order of ``keys``."""
+        block, place, slot = np.nonzero(self.postings)
+        term_of = np.flatnonzero(self.head >= 0)
+        term_of = term_of[np.argsort(self.head[term_of])]
+        row = np.concatenate([block * BLOCK + slot, self.examples])
+        term = np.concatenate([term_of[place], np.repeat(np.arange(len(self.head)), np.diff(self.starts))])
+        weight = np.concatenate([self.postings[block, place, slot], self.weights])
+        order = np.lexsort((term, row))
+        offsets = np.searchsorted(row[order], np.arange(len(self.keys) + 1))
+        return Sparse(offsets, term[order], weight[order], len(self.head))
+
+    def _listed(self, queries: Sparse) -> np.ndarray:
+        """What the terms with lists add to the similarity of every query and slot."""
+        n = len(self.postings) * BLOCK
+        out = np.zeros((len(queries), n))
+        sizes = np.diff(self.starts)
+        many = np.concatenate(([0], np.cumsum(sizes[queries.terms])))[queries.offsets]
+        for lo, hi in arrow_text.slices(many, _POSTINGS):
+            own = queries.slice(lo, hi)
+            at = arrow_text.gathered(self.starts[:-1], sizes, own.terms)
+            each = sizes[own.terms]
+            cells = np.repeat(own.row_of() * n, each) + self.examples[at]
+            sums = np.bincount(cells, np.repeat(own.weights, each) * self.weights[at], minlength=(hi - lo) * n)
+            out[lo:hi] = sums.reshape(hi - lo, n)
+        return out
+
+    def nearest(self, queries: np.ndarray | Sparse, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and example numbers of the ``k`` nearest of each row; 0 and -1 where there are fewer."""
+        queries = Sparse.of(queries)
+        parts = [self._nearest(queries.slice(a, min(len(queries), a + _TOGETHER)), k) for a in range(0, len(queries), _TOGETHER)]
+        if not parts:
+            return np.zeros((0, k)), np.zeros((0, k), np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _nearest(self, queries: Sparse, k: int) -> tuple[np.ndarray, np.ndarray]:
         best = np.zeros((len(queries), k))
         which = np.full((len(queries), k), -1, dtype=np.int64)
-        bounds = queries @ self.maxima.T
-        first = bounds.argmax(axis=1) if bounds.shape[1] else np.zeros(len(queries), np.int64)
+        if not len(self.postings):
+            return best, which
+        dense, listed = _dense(queries, self.head, self.postings.shape[1]), self._listed(queries)
+        bounds = dense @ self.maxima.T + listed.reshape(len(queries), -1, BLOCK).max(axis=2)
+        bounds *= 1 + 1e-12  # sums differ in their last digits with their order
+        first = bounds.argmax(axis=1)
 
         def visit(block: int, rows: np.ndarray) -> None:
-            scores = queries[rows] @ self.postings[block]
+            scores = dense[rows] @ self.postings[block] + listed[rows, block * BLOCK : (block + 1) * BLOCK]
+            better = scores.max(axis=1) > best[rows, -1]
+            rows, scores = rows[better], scores[better]
             numbers = np.arange(block * BLOCK, (block + 1) * BLOCK)
             pool = np.concatenate([best[rows], scores], axis=1)
             names = np.concatenate([which[rows], np.where(scores > 0, numbers, -1)], axis=1)
@@ -84,7 +191,7 @@ class BlockMaxIndex:
             which[rows] = np.take_along_axis(names, top, axis=1)
 
         for block in np.unique(first):
-            rows = np.flatnonzero((first == block) & (bounds[:, block] > 0)) if bounds.size else first[:0]
+            rows = np.flatnonzero((first == block) & (bounds[:, block] > 0))
             if len(rows):
                 visit(int(block), rows)
         for block in range(bounds.shape[1]):
@@ -94,14 +201,26 @@ class BlockMaxIndex:
         return best, which
 
     def nearest_others(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """``nearest`` of the examples themselves, each without itself."""
-        blocks = self.postings.transpose(0, 2, 1).reshape(-1, self.postings.shape[1])
-        similarities, numbers = self.nearest(blocks[: len(self.keys)], k + 1)
+        """``nearest`` of the examples themselves, each without itself.
+
+        A word that only the example itself has would have no weight in a new text, so it has none here.
+        """
+        rows = self.rows()
+        shared = np.bincount(rows.terms, minlength=rows.n_terms)[rows.terms] > 1
+        similarities, numbers = self.nearest(rows.only(shared), k + 1)
         own = numbers == np.arange(len(self.keys))[:, None]
         own[~own.any(axis=1), -1] = True  # among more equals than k: leave out the last instead
         return similarities[~own].reshape(-1, k), numbers[~own].reshape(-1, k)
 
 
+def _dense(rows: Sparse, head: np.ndarray, n_head: int) -> np.ndarray:
+    """The head terms' weights as a table."""
+    out = np.zeros((len(rows), n_head))
+    place = head[rows.terms]
+    out[rows.row_of()[place >= 0], place[place >= 0]] = rows.weights[place >= 0]
+    return out
+
+
 @dataclass
 class Model:
     terms: dict[str, int]
@@ -124,7 +243,7 @@ class Model:
         parts = []
         for block in arrow_text.blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
             rows = vectors(arrow_text.alnum_words(arrow_text.plain(block.column("text"))), self.terms, self.idf)
-            parts += [self.index.nearest(rows[a : a + _TOGETHER], k) for a in range(0, len(rows), _TOGETHER)]
+            parts.append(self.index.nearest(rows, k))
         similarities, numbers = (np.concatenate(p) for p in zip(*parts))
         return self.votes(similarities, numbers), similarities, numbers
 
@@ -149,54 +268,51 @@ def fit_logistic(votes: np.ndarray, targets: np.ndarray) -> tuple[float, float]:
     return (slope, shift) if slope > 0 and np.isfinite(slope + shift) else (1.0, 0.0)
 
 
-def _per_document_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, target, words) with each document's distinct words."""
+def _example_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, target, words, counts) with each document's distinct words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in arrow_text.blocks(batches):
             words = arrow_text.alnum_words(arrow_text.plain(block.column("text")))
-            vocab = words.vocab
-            parts = [np.unique(words.codes[a:b]) for a, b in zip(words.offsets[:-1], words.offsets[1:])]
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-            flat = vocab.take(pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32)))
+            size = len(words.vocab)
+            document, code, counts = term_counts(words, np.arange(size), size)
+            offsets = pa.array(np.searchsorted(document, np.arange(len(words) + 1)).astype(np.int32))
+            lists = [words.vocab.take(pa.array(code)), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [block.column("target"), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["target", "words"]
+                [block.column("doc_id"), block.column("target"), *(pa.ListArray.from_arrays(offsets, v) for v in lists)],
+                names=["doc_id", "target", "words", "counts"],
             )
 
-    return docs.select("text", "target").mapInArrow(rows, "target int, words array<string>")
+    return docs.mapInArrow(rows, "doc_id long, target int, words array<string>, counts array<long>")
 
 
-def _document_frequency(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+def _document_frequency(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
     """Number of documents, and in how many each term is, over all of ``docs``."""
-    number = {t: i for i, t in enumerate(terms)}
+    shared, n_terms = docs.sparkSession.sparkContext.broadcast(terms), len(terms)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, n, sums = shared.value, 0, np.zeros(n_terms, np.int64)
         for block in arrow_text.blocks(batches):
             words = arrow_text.alnum_words(arrow_text.plain(block.column("text")))
             own = np.array([number.get(w, -1) for w in words.vocab.to_pylist()], dtype=np.int64)
-            of = own[words.codes] if len(words.codes) else np.zeros(0, np.int64)
-            known = of >= 0
-            pairs = np.unique(words.document_of_word()[known].astype(np.int64) * len(terms) + of[known])
-            counts = np.bincount(pairs % len(terms), minlength=len(terms))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(-1, len(terms), dtype=np.int32)),
-                    pa.array(np.concatenate(([len(words)], counts)).astype(np.int64)),
-                ],
-                names=["term", "n"],
-            )
+            sums += np.bincount(term_counts(words, own, n_terms)[1], minlength=n_terms)
+            n += len(words)
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(-1, found).astype(np.int32)), pa.array(np.append(n, sums[found]))], names=["term", "n"]
+        )
 
-    # One row per term, a bounded number.
-    totals = docs.select("text").mapInArrow(rows, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in totals}
-    return found.get(-1, 0), np.array([found.get(i, 0) for i in range(len(terms))], dtype=float)
+    # One row per term of the examples.
+    totals = docs.select("text").mapInArrow(rows, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(n_terms + 1)
+    frequency[totals["term"].to_numpy()] = totals["n"].to_numpy()  # -1, the documents, is the last
+    return int(frequency[-1]), frequency[:-1]
 
 
 def fit(
     docs: DataFrame,
     labelled: DataFrame,
     examples: int = EXAMPLES,
-    n_terms: int = TERMS,
     neighbours: int = NEIGHBOURS,
 ) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labelled`` (doc_id, target 0 or 1).
@@ -213,36 +329,23 @@ def fit(
         [(r["doc_id"], r["target"]) for r in drawn], "doc_id long, target int"
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    words = _per_document_words(texts).select("target", F.explode("words").alias("word"))
     n, positive = len(drawn), sum(r["target"] for r in drawn)
     rate = positive / n if n else 0.0
+    none = Model({}, np.zeros(0), BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0))), rate)
     if not 0 < positive < n:
-        return Model({}, np.zeros(0), BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0))), rate)
-    spread = F.sqrt(F.col("df") * F.lit(rate * (1 - rate)))
-    ranked = (
-        words.groupBy("word")
-        .agg(F.count("*").alias("df"), F.sum("target").alias("positive"))
-        .where(F.col("df") >= max(MIN_COUNT, MIN_SHARE * n))
-        .orderBy(F.abs((F.col("positive") - F.col("df") * rate) / spread).desc(), "word")
-        .limit(n_terms)
-    )
-    names = [r["word"] for r in ranked.collect()]
-    if not names:
-        return Model({}, np.zeros(0), BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0))), rate)
-    total, frequency = _document_frequency(docs, names)
-    terms, idf = {t: i for i, t in enumerate(names)}, np.log((total + 1.0) / (frequency + 1.0)) + 1e-3
-
-    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in arrow_text.blocks(batches):
-            made = vectors(arrow_text.alnum_words(arrow_text.plain(block.column("text"))), terms, idf)
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("target"), pa.array(list(made), pa.list_(pa.float64()))],
-                names=["doc_id", "target", "weights"],
-            )
-
-    # At most as many rows as examples, of n_terms numbers each.
-    made = texts.mapInArrow(weighted, "doc_id long, target int, weights array<double>").orderBy("doc_id").toArrow()
-    rows = np.array(made["weights"].to_pylist(), dtype=float).reshape(made.num_rows, len(names))
+        return none
+    # At most as many rows as examples, of one entry per distinct word.
+    made = _example_words(texts).orderBy("doc_id").toArrow().combine_chunks()
+    words = pa.chunked_array([c.flatten() for c in made["words"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    if not len(words):
+        return none
+    terms = {t: i for i, t in enumerate(words.dictionary.to_pylist())}
+    total, frequency = _document_frequency(docs, terms)
+    idf = np.log((total + 1.0) / (frequency + 1.0)) + 1e-3
+    counts = pa.chunked_array([c.flatten() for c in made["counts"].chunks], pa.int64()).to_numpy()
+    sizes = pc.list_value_length(made["words"]).to_numpy()
+    document = np.repeat(np.arange(made.num_rows), sizes)
+    rows = unit_rows(document, words.indices.to_numpy().astype(np.int64), counts, made.num_rows, idf)
     index = BlockMaxIndex.build(made["doc_id"].to_numpy(), made["target"].to_numpy().astype(float), rows)
     model = Model(terms, idf, index, rate)
     model.slope, model.shift = fit_logistic(model.votes(*index.nearest_others(neighbours)), index.targets)
@@ -252,7 +355,7 @@ def fit(
 def score(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS, evidence: int = 3) -> DataFrame:
     """``docs`` with ``toxicity`` (calibrated, 0 to 1) and ``evidence``: the nearest examples.
 
-    A text without any term of the model, such as an empty or null one, gets the calibrated base rate
+    A text without any word of the examples, such as an empty or null one, gets the calibrated base rate
     and no evidence. All other columns stay, repeated rows score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

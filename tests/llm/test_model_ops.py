@@ -228,6 +228,27 @@ def test_toxicity_without_labels(spark, documents):
     assert [(r["toxicity"], r["evidence"]) for r in scored] == [(0.0, [])] * 2
 
 
+def test_listed_terms_are_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "HEAD", 7)
+    rng = np.random.default_rng(8)
+    rows = np.where(rng.random((500, 60)) < 0.1, rng.random((500, 60)), 0.0)
+    rows[3] = 0.0
+    index = toxicity.BlockMaxIndex.build(np.arange(500), np.zeros(500), rows)
+    assert len(index.keys) == 500 and np.allclose(index.nearest(rows, 9)[0], -np.sort(-(rows @ rows.T), axis=1)[:, :9])
+
+
+def test_copy_of_an_example_with_rare_words(spark, documents):
+    rows, marks = toxic_rows(600)
+    rare = [f"rare{i}" for i in range(30)]
+    keys = [k for k in range(7000, 7100) if zlib.crc32(str(k).encode()) % 4 != 2]
+    docs = documents([*rows, (keys[0], " ".join(rare)), (9000, " ".join(rare)), (9001, "rare3 other text")])
+    labels = spark.createDataFrame([*marks, (keys[0], 1, 1)], "doc_id long, quality int, toxic int")
+    scored = by_key(toxicity.score(docs, toxicity.fit_on_labels(docs, labels)).where("doc_id >= 9000"))
+    assert [e["doc_id"] for e in scored[9000]["evidence"]] == [keys[0]]
+    assert scored[9000]["evidence"][0]["similarity"] == pytest.approx(1.0)
+    assert scored[9000]["toxicity"] >= toxicity.THRESHOLD and scored[9001]["evidence"]
+
+
 # --- Language ----------------------------------------------------------------------------------------
 
 
