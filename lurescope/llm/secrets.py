@@ -3,7 +3,8 @@
 Ordinary words and names take few tokens for their length under a byte-pair vocabulary, random
 strings take many. Runs of secret-like characters with few characters per token are reported as kind
 ``random``, unless they are digests (pure hexadecimal of a usual digest length), UUIDs, or
-identifiers (words joined by separators, perhaps with a number).
+identifiers (words joined by separators, perhaps with a number). A run of letters is a word only if it
+has as many characters per token as words have.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 MIN_LENGTH = 20
 MAX_CHARS_PER_TOKEN = 1.9
+#: Runs of fewer letters are too short for a judgement, alone or with others.
+LEAST_JUDGED = 3
+LEAST_ALONE = 8
 
 _ANY_BASE = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
@@ -60,18 +64,27 @@ def is_identifier(run: str) -> bool:
     return True
 
 
-def is_known(run: str) -> bool:
-    """A digest, a UUID or an identifier."""
-    if _UUID.fullmatch(run) or is_identifier(run):
+def has_words(run: str, encoding, most: float) -> bool:
+    """Whether the letter runs are words: the long ones each, and all but the shortest together."""
+    letters = [p for p in _PARTS.findall(run) if p[0].isalpha() and len(p) >= LEAST_JUDGED]
+    tokens = [len(encoding.encode_ordinary(p)) for p in letters]
+    if any(len(p) >= LEAST_ALONE and len(p) <= most * n for p, n in zip(letters, tokens)):
+        return False
+    return not letters or sum(map(len, letters)) > most * sum(tokens)
+
+
+def is_known(run: str, encoding, most: float) -> bool:
+    """A digest, a UUID or an identifier made of words."""
+    if _UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run):
         return True
-    return len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run) is not None
+    return is_identifier(run) and has_words(run, encoding, most)
 
 
 def random_spans(text: str, encoding, run_pattern: re.Pattern, most: float) -> list[tuple[int, int, int]]:
     return [
         (m.start(), 3, m.end())
         for m in run_pattern.finditer(text)
-        if not is_known(m[0]) and len(m[0]) <= most * len(encoding.encode_ordinary(m[0]))
+        if len(m[0]) <= most * len(encoding.encode_ordinary(m[0])) and not is_known(m[0], encoding, most)
     ]
 
 
@@ -87,7 +100,6 @@ def find_secrets(
     A null or empty text has no spans. Rows, repeated ones too, and all other columns stay.
     """
     run_pattern = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % min_length)
-    # A random run holds letters and digits, or both cases within it.
     hint = r"%s|[A-Za-z0-9+/_=.~-]{%d}" % (_ANY_BASE, min_length)
 
     @F.pandas_udf(SPAN)

@@ -110,6 +110,19 @@ def test_random_strings_are_found_and_known_ones_left(documents):
     assert texts[1][rows[1][0]["start"] : rows[1][0]["end"]] == "qX7pL0zR4vTn8KwB3mYh6Jd2"
 
 
+def test_random_letters_are_not_words(documents):
+    rng = np.random.default_rng(14)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    forms = [(lower, 20, ""), (lower, 40, ""), (upper, 32, ""), (lower, 24, "4711")]
+    drawn = [["".join(rng.choice(list(a), n)) + end for _ in range(50)] for a, n, end in forms]
+    words = ["CONNECTION_REFUSED_BY_REMOTE_SERVER", "internationalization", "a/b/c/d/e/f/g/h/i/j/k/l", "-" * 30]
+    texts = [f"see {w} here" for w in [*sum(drawn, []), *words]]
+    found = {r["doc_id"]: len(r["secrets"]) for r in secrets.find_secrets(documents(list(enumerate(texts)))).collect()}
+    # About one in fifteen has as many characters per token as words.
+    assert sum(found[k] for k in range(200)) >= 170
+    assert not any(found[200 + i] for i in range(len(words)))
+
+
 def test_redaction_keeps_everything_else(documents, odd):
     rows = [*odd, (20, "é token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" ü")]
     frame = documents(rows)
