@@ -249,21 +249,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, fingerprint, component_id) of every row."""
+    """(doc_id, version, fingerprint, root, component_id) of every row; root is the component's smallest fingerprint."""
     prints = materialise(fingerprints(docs), "fingerprints")
-    ids = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")).where("id is not null")
-    groups = materialise(ids, "groups")
-    roots = components(links(groups))
-    named = groups.join(roots, "id", "left").select("fingerprint", F.coalesce("root", "id").alias("component_id"))
-    return prints.join(named, "fingerprint", "left")
+    firsts = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "groups")
+    # Fingerprints name themselves, so that those without a doc_id are linked like the others.
+    roots = components(links(firsts.select("fingerprint", F.col("fingerprint").alias("id"))))
+    named = firsts.join(roots.withColumnRenamed("id", "fingerprint"), "fingerprint", "left").select(
+        "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
+    )
+    named = materialise(named, "named")
+    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(named.select("fingerprint", "root").join(ids, "root"), "fingerprint", "left")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row of ``docs``.
 
     component_id is the smallest doc_id reachable over links of at most three bits. Repeated rows stay;
-    rows without a doc_id get their fingerprint's component, null if no row of it has an id; an empty
-    table gives no rows; other columns are ignored.
+    rows without a doc_id link like others and get the same, null if no row of their component has an id;
+    an empty table gives no rows; other columns are ignored.
     """
     written = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
     return _grouped(docs).select("doc_id", written, "component_id")
@@ -273,11 +277,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest doc_id.
 
     Of several texts with that doc_id the one with the smaller hash stays, of repeated rows any one. Rows
-    without a doc_id stay only where no row of their fingerprint has one.
+    without a doc_id stay only where no row of their group has one, and then one of the group.
     """
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), F.col("fingerprint").cast("string")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")).alias("first")
-    kept = _grouped(docs).groupBy(group.alias("group")).agg(first).select("first.doc_id", "first.version")
+    kept = _grouped(docs).groupBy("root").agg(first).select("first.doc_id", "first.version")
     own = docs.withColumn("__version", F.xxhash64("text"))
     same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["__version"] == kept["version"])
     return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__version"]).drop("__version")

@@ -215,6 +215,24 @@ def test_keep_one(documents, odd):
     assert keys == [(False, 7), (False, 10), (False, 12), (False, 13), (False, 14), (True, 0)]
 
 
+def test_rows_without_an_id_are_linked(documents):
+    rng = np.random.default_rng(20)
+    words = [f"w{x}" for x in rng.integers(0, 1 << 30, 4000)]
+    chain = [" ".join(words)]
+    while len(chain) < 3:  # each step is a link, and the ends are none
+        words[int(rng.integers(len(words)))] = f"u{len(chain)}x{rng.integers(1 << 30)}"
+        own = " ".join(words)
+        steps = [bin(brute_print(own) ^ brute_print(t)).count("1") for t in chain]
+        if 2 <= steps[-1] <= 3 and (len(steps) == 1 or steps[0] > 3):
+            chain.append(own)
+    frame = documents([(5, chain[0]), (None, chain[1]), (9, chain[2])])
+    assert [r["component_id"] for r in simhash.near_groups(frame).collect()] == [5] * 3
+    assert [r["doc_id"] for r in simhash.keep_one(frame).collect()] == [5]
+    nameless = documents([(None, chain[0]), (None, chain[1])])
+    assert [r["component_id"] for r in simhash.near_groups(nameless).collect()] == [None] * 2
+    assert simhash.keep_one(nameless).count() == 1
+
+
 def jaccard(a, b):
     def runs(t):
         w = t.encode().lower().split()
