@@ -3,10 +3,11 @@
 A vector component is a term, its value an impact. Impacts may be negative, so a shard measures them
 from the end of its range that is worst for the query: a query weight q and a component x contribute
 q * (x - low) if q > 0 and |q| * (high - x) if q < 0, which is never negative, plus a constant per query
-and shard. Terms are ordered by the most they can contribute in the shard. Those whose bounds together
-cannot reach the query's threshold are non-essential: candidates come from the postings of the
-essential terms alone, and the others are probed, largest bound first, only for candidates that can
-still compete. Shards work alone and their winners are merged, so the result is exact.
+and shard. Terms are ordered by the most they can contribute in the shard. With dense vectors nearly all
+are candidates and most terms essential, so bound pruning stands in for the split: the first terms, at
+most ``STRIDE`` and no non-essential ones, are read for all vectors of the shard, and all others, essential
+or not, largest bound first, only for vectors that can still compete. Shards work alone and their winners
+are merged, so the result is exact.
 """
 
 from __future__ import annotations
@@ -75,7 +76,8 @@ class Shard:
         some = some[self.keys[some] != query_key]
         sure = np.sort(weights @ postings[:, some])[::-1]
         threshold = sure[k - 1] - base.sum() if len(sure) >= k else -1
-        # Non-essential terms are the tail of the order that cannot reach the threshold by itself.
+        # Non-essential terms are the tail of the order that cannot reach the threshold by itself; beyond
+        # the first stride they are treated like the essential ones.
         essential = min(len(order), max(1, int(np.searchsorted(-rest, -threshold, side="right"))))
         alive = np.flatnonzero(self.keys != query_key)
         done = min(essential, STRIDE)
