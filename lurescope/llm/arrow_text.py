@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 5 << 20
 #: Characters that a regular expression's \s may match in any Unicode version.
@@ -21,6 +22,15 @@ SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205
 _BEFORE_WORD = re.compile(f" (?=[^{SPACES}])")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name like ``wanted`` that ``df`` does not have, in either case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{wanted}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One contiguous string array, null texts read as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -60,6 +60,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(~toxicity.may_learn(), F.lit(False)).alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "evidence",
     )
 
 

@@ -1,12 +1,14 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of labelled documents is the example set. Terms are all words of that sample; their
-document frequencies are counted over all documents. Words that no example has can match nothing and
-have no weight. Examples are laid out in blocks with similar examples side by side. The postings of
-the ``HEAD`` terms that most examples have are dense tables by block, with their maxima; those of all
-other terms are lists. For a text the lists are summed first; with them the maxima bound what any
-example of a block can score, so blocks that cannot enter the text's nearest ``k`` are skipped and the
-neighbours are still exact. Neighbours vote by closeness, and a logistic curve fitted on the examples'
+A bounded sample of labelled documents is the example set. Terms are all words of that sample and, for
+languages in which a stem's endings vary, the words' first 4 to 7 letters where at least two examples
+share them; document frequencies of all terms are counted over all documents. Terms that no example
+has can match nothing and have no weight. Examples are laid out in blocks with similar examples side
+by side. The postings of the ``HEAD`` terms that most examples have (nine tenths of what a text meets)
+are dense tables by block, with their maxima; those of all other terms are lists. For a text the lists
+are summed first, without pruning; with them the maxima bound what any example of a block can score,
+so blocks that cannot enter the text's nearest ``k`` are skipped in the dense tables and the neighbours
+are still exact. Neighbours vote by closeness, and a logistic curve fitted on the examples'
 votes for each other calibrates them.
 """
 
@@ -22,10 +24,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from lurescope.llm import arrow_text
 
-#: Most labelled documents taken as examples.
+#: Most labelled documents taken as examples, and most characters of their texts together. They bound
+#: the index: five terms a word at most, and the dense tables hold EXAMPLES x HEAD weights (67 MB).
 EXAMPLES = 4096
+EXAMPLE_CHARS = 16 << 20
+#: Word beginnings of these lengths are terms too, written with a mark that no word has.
+PREFIXES = (4, 5, 6, 7)
+_MARK = "^"
 #: Terms with dense postings: those in most examples.
-HEAD = 512
+HEAD = 2048
 NEIGHBOURS = 32
 BLOCK = 64
 THRESHOLD = 0.3
@@ -74,12 +81,40 @@ class Sparse:
         return Sparse(offsets, self.terms[at], self.weights[at], self.n_terms)
 
 
-def term_counts(words: arrow_text.Words, number: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, count), sorted, of the words that have a number of 0 or more."""
-    own = number[words.codes] if len(words.codes) else np.zeros(0, np.int64)
+def forms(vocab: pa.Array) -> list[pa.Array]:
+    """The words, then their marked beginnings by length; null where a word is shorter."""
+    sizes = pc.utf8_length(vocab)
+    out = [vocab]
+    for k in PREFIXES:
+        begun = pc.binary_join_element_wise(_MARK, pc.utf8_slice_codeunits(vocab, 0, k), "")
+        out.append(pc.if_else(pc.greater_equal(sizes, k), begun, pa.scalar(None, pa.string())))
+    return out
+
+
+def term_numbers(vocab: pa.Array, terms: dict[str, int]) -> np.ndarray:
+    """One row per word: the numbers of its terms, -1 where there is none."""
+    columns = [np.array([terms.get(w, -1) for w in form.to_pylist()], dtype=np.int64) for form in forms(vocab)]
+    return np.stack(columns, axis=1)
+
+
+def summed(document: np.ndarray, own: np.ndarray, counts: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count), sorted, of entries whose terms are the columns of ``own``."""
+    n_terms = max(1, n_terms)
     known = own >= 0
-    pairs, counts = np.unique(words.document_of_word()[known].astype(np.int64) * n_terms + own[known], return_counts=True)
-    return pairs // max(1, n_terms), pairs % max(1, n_terms), counts
+    keys = (document[:, None] * n_terms + own)[known]
+    order = np.argsort(keys, kind="stable")
+    keys, many = keys[order], np.broadcast_to(counts[:, None], own.shape)[known][order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    totals = np.add.reduceat(many, first) if len(first) else many
+    return keys[first] // n_terms, keys[first] % n_terms, totals
+
+
+def term_counts(words: arrow_text.Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word or term, count), sorted; ``numbers`` has a column of numbers for each kind of term."""
+    size = len(words.vocab)
+    pairs, counts = np.unique(words.document_of_word().astype(np.int64) * max(1, size) + words.codes, return_counts=True)
+    own = numbers[pairs % max(1, size)] if size else np.zeros((0, numbers.shape[1]), np.int64)
+    return summed(pairs // max(1, size), own, counts, int(numbers.max(initial=-1)) + 1)
 
 
 def unit_rows(document: np.ndarray, term: np.ndarray, counts: np.ndarray, n: int, idf: np.ndarray) -> Sparse:
@@ -89,8 +124,7 @@ def unit_rows(document: np.ndarray, term: np.ndarray, counts: np.ndarray, n: int
 
 
 def vectors(words: arrow_text.Words, terms: dict[str, int], idf: np.ndarray) -> Sparse:
-    number = np.array([terms.get(w, -1) for w in words.vocab.to_pylist()], dtype=np.int64)
-    return unit_rows(*term_counts(words, number, len(terms)), len(words), idf)
+    return unit_rows(*term_counts(words, term_numbers(words.vocab, terms)), len(words), idf)
 
 
 @dataclass
@@ -229,6 +263,28 @@ class Model:
     base_rate: float
     slope: float = 1.0
     shift: float = 0.0
+    #: Calibrated scores of the examples, each from the others alone, by the order of ``index.keys``.
+    left_out: np.ndarray | None = None
+
+    def threshold(self, loss: float) -> float:
+        """The score from which rejecting tells the examples apart best, left out one by one.
+
+        At most the share ``loss`` of the examples without the mark may reach it; among such scores the
+        one with the widest margin of caught over lost shares wins, moved halfway to the next score below.
+        Infinite without examples of both kinds.
+        """
+        if self.left_out is None:
+            return float("inf")
+        order = np.argsort(-self.left_out, kind="stable")
+        scores, marked = self.left_out[order], self.index.targets[order] > 0
+        caught, lost = np.cumsum(marked) / marked.sum(), np.cumsum(~marked) / (~marked).sum()
+        last = np.flatnonzero(np.diff(scores, append=-1.0) < 0)
+        allowed = last[lost[last] <= loss]
+        if not len(allowed):
+            return float("inf")
+        best = allowed[np.argmax(caught[allowed] - lost[allowed])]
+        below = scores[best + 1] if best + 1 < len(scores) else 0.0
+        return float((scores[best] + below) / 2)
 
     def votes(self, similarities: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """Distance-weighted share of positive neighbours, drawn to the base rate as one more vote."""
@@ -274,8 +330,7 @@ def _example_words(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in arrow_text.blocks(batches):
             words = arrow_text.alnum_words(arrow_text.plain(block.column("text")))
-            size = len(words.vocab)
-            document, code, counts = term_counts(words, np.arange(size), size)
+            document, code, counts = term_counts(words, np.arange(len(words.vocab))[:, None])
             offsets = pa.array(np.searchsorted(document, np.arange(len(words) + 1)).astype(np.int32))
             lists = [words.vocab.take(pa.array(code)), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(
@@ -294,8 +349,7 @@ def _document_frequency(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np
         number, n, sums = shared.value, 0, np.zeros(n_terms, np.int64)
         for block in arrow_text.blocks(batches):
             words = arrow_text.alnum_words(arrow_text.plain(block.column("text")))
-            own = np.array([number.get(w, -1) for w in words.vocab.to_pylist()], dtype=np.int64)
-            sums += np.bincount(term_counts(words, own, n_terms)[1], minlength=n_terms)
+            sums += np.bincount(term_counts(words, term_numbers(words.vocab, number))[1], minlength=n_terms)
             n += len(words)
         found = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays(
@@ -309,55 +363,93 @@ def _document_frequency(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np
     return int(frequency[-1]), frequency[:-1]
 
 
+def _chosen(docs: DataFrame, labelled: DataFrame, examples: int, chars: int) -> DataFrame:
+    """(doc_id, target, text) of the examples: at most ``examples`` documents and ``chars`` characters.
+
+    Candidates come in the order of a hash of doc_id; one whose text no longer fits is left out.
+    """
+    spark = docs.sparkSession
+    schema = "doc_id long, target int"
+    clean = labelled.where("doc_id is not null and target is not null").groupBy("doc_id").agg(F.max("target").cast("int").alias("target"))
+    # Both lists are bounded by ``examples``.
+    drawn = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).toArrow()
+    own = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(drawn, schema)), "doc_id")
+    texts = own.groupBy("doc_id", "target").agg(F.min("text").alias("text"))
+    sizes = {r["doc_id"]: r["n"] for r in texts.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()}
+    kept, room = [], chars
+    for key, target in zip(drawn["doc_id"].to_pylist(), drawn["target"].to_pylist()):
+        if sizes.get(key, 0) <= room:
+            room -= sizes.get(key, 0)
+            kept.append((key, target))
+    chosen = spark.createDataFrame(kept, schema)
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return known.groupBy("doc_id", "target").agg(F.min("text").alias("text"))
+
+
 def fit(
     docs: DataFrame,
     labelled: DataFrame,
     examples: int = EXAMPLES,
     neighbours: int = NEIGHBOURS,
+    chars: int = EXAMPLE_CHARS,
 ) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labelled`` (doc_id, target 0 or 1).
 
-    ``examples`` bounds the labelled documents used. Which are taken depends on a hash of doc_id; of
-    several labels of a document the highest counts, null ones don't. Without usable labels every score
-    is the base rate, 0 if there is none.
+    ``examples`` and ``chars`` bound the labelled documents used. Which are taken depends on a hash of
+    doc_id; of several labels of a document the highest counts, null ones don't; of several texts of a
+    doc_id the smallest. Without usable labels of both kinds every score is the base rate, 0 if there is none.
     """
-    spark = docs.sparkSession
-    clean = labelled.where("doc_id is not null and target is not null").groupBy("doc_id").agg(F.max("target").cast("int").alias("target"))
-    # Bounded by the parameter.
-    drawn = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()
-    chosen = spark.createDataFrame(
-        [(r["doc_id"], r["target"]) for r in drawn], "doc_id long, target int"
-    )
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    n, positive = len(drawn), sum(r["target"] for r in drawn)
+    texts = _chosen(docs, labelled, examples, chars)
+    # At most as many rows as examples, of one entry per distinct word; their characters are bounded too.
+    made = _example_words(texts).orderBy("doc_id").toArrow().combine_chunks()
+    targets = made["target"].to_numpy().astype(float)
+    n, positive = len(targets), int(targets.sum())
     rate = positive / n if n else 0.0
     none = Model({}, np.zeros(0), BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0))), rate)
     if not 0 < positive < n:
         return none
-    # At most as many rows as examples, of one entry per distinct word.
-    made = _example_words(texts).orderBy("doc_id").toArrow().combine_chunks()
     words = pa.chunked_array([c.flatten() for c in made["words"].chunks], pa.string()).combine_chunks().dictionary_encode()
     if not len(words):
         return none
-    terms = {t: i for i, t in enumerate(words.dictionary.to_pylist())}
-    total, frequency = _document_frequency(docs, terms)
-    idf = np.log((total + 1.0) / (frequency + 1.0)) + 1e-3
+    coded = pa.chunked_array(forms(words.dictionary)).combine_chunks().dictionary_encode()
+    numbers = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    numbers = numbers.reshape(1 + len(PREFIXES), -1).T
     counts = pa.chunked_array([c.flatten() for c in made["counts"].chunks], pa.int64()).to_numpy()
     sizes = pc.list_value_length(made["words"]).to_numpy()
     document = np.repeat(np.arange(made.num_rows), sizes)
-    rows = unit_rows(document, words.indices.to_numpy().astype(np.int64), counts, made.num_rows, idf)
-    index = BlockMaxIndex.build(made["doc_id"].to_numpy(), made["target"].to_numpy().astype(float), rows)
+    document, term, counts = summed(document, numbers[words.indices.to_numpy()], counts, len(coded.dictionary))
+    # Words first, so their numbers are those below the dictionary's size; a beginning needs two examples.
+    shared = np.bincount(term, minlength=len(coded.dictionary)) > 1
+    shared[: len(words.dictionary)] = True
+    number = np.cumsum(shared) - 1
+    own = shared[term]
+    document, term, counts = document[own], number[term[own]], counts[own]
+    terms = {t: i for i, t in enumerate(coded.dictionary.filter(pa.array(shared)).to_pylist())}
+    total, frequency = _document_frequency(docs, terms)
+    idf = np.log((total + 1.0) / (frequency + 1.0)) + 1e-3
+    rows = unit_rows(document, term, counts, made.num_rows, idf)
+    index = BlockMaxIndex.build(made["doc_id"].to_numpy(), targets, rows)
     model = Model(terms, idf, index, rate)
-    model.slope, model.shift = fit_logistic(model.votes(*index.nearest_others(neighbours)), index.targets)
+    votes = model.votes(*index.nearest_others(neighbours))
+    model.slope, model.shift = fit_logistic(votes, index.targets)
+    model.left_out = model.calibrated(votes)
     return model
 
 
-def score(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS, evidence: int = 3) -> DataFrame:
+def score(
+    docs: DataFrame,
+    model: Model,
+    neighbours: int = NEIGHBOURS,
+    evidence: int = 3,
+    into: tuple[str, str] = ("toxicity", "evidence"),
+) -> DataFrame:
     """``docs`` with ``toxicity`` (calibrated, 0 to 1) and ``evidence``: the nearest examples.
 
-    A text without any word of the examples, such as an empty or null one, gets the calibrated base rate
-    and no evidence. All other columns stay, repeated rows score alike.
+    A text without any term of the examples, such as an empty or null one, gets the calibrated base rate
+    and no evidence; an empty table gives no rows. Repeated rows score alike. All other columns stay; one
+    that has a name of ``into`` already is replaced.
     """
+    taken = arrow_text.free_name(docs, "scored")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = "struct<toxicity:double,evidence:array<struct<doc_id:long,similarity:double,target:int>>>"
 
@@ -387,8 +479,8 @@ def score(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS, evidence:
             names=["toxicity", "evidence"],
         )
 
-    scored = docs.withColumn("__scored", evaluated(F.col("text")))
-    return scored.withColumn("toxicity", F.col("__scored.toxicity")).withColumn("evidence", F.col("__scored.evidence")).drop("__scored")
+    scored = docs.withColumn(taken, evaluated(F.col("text")))
+    return scored.withColumns({n: F.col(taken)[f] for n, f in zip(into, ("toxicity", "evidence"))}).drop(taken)
 
 
 def may_learn(key: str = "doc_id"):

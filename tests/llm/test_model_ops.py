@@ -249,6 +249,45 @@ def test_copy_of_an_example_with_rare_words(spark, documents):
     assert scored[9000]["toxicity"] >= toxicity.THRESHOLD and scored[9001]["evidence"]
 
 
+def test_stems_with_unseen_endings(spark, documents):
+    rng = np.random.default_rng(5)
+    ends = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda stem: stem + "".join(rng.choice(ends, 3))
+    rows, marks = [], []
+    for i in range(500):
+        bad = i % 5 == 0
+        rows.append((i, " ".join([*(word("plain") for _ in range(20)), *(word("hated") for _ in range(4 * bad))])))
+        marks.append((i, 1, int(bad)))
+    docs = documents(rows)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.fit_on_labels(docs, labels)
+    assert {"^hate", "^hated", "^plai"} <= set(model.terms)
+    held = toxicity.score(docs, model).where(~toxicity.may_learn()).collect()
+    assert np.mean([(r["toxicity"] >= toxicity.THRESHOLD) == (r["doc_id"] % 5 == 0) for r in held]) > 0.95
+    assert model.threshold(0.0) > np.median(model.left_out) and model.threshold(0.05) <= model.threshold(0.0)
+
+
+def test_examples_are_bounded(spark, documents):
+    rows, marks = toxic_rows(600)
+    docs = documents([*rows, *((k, t) for k, t in rows[:50])])
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    few = toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("target")), examples=90)
+    assert len(few.index.keys) == len(set(few.index.keys)) == 90
+    short = toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("target")), chars=5000)
+    length = {k: len(t) for k, t in rows}
+    assert 10 < len(short.index.keys) < 600 and sum(length[int(k)] for k in short.index.keys) <= 5000
+
+
+def test_columns_of_the_result_in_the_input(spark, documents):
+    rows, marks = toxic_rows(300)
+    docs = documents(rows).withColumn("toxicity", F.lit("mine")).withColumn("__SCORED", F.lit(1))
+    model = toxicity.fit_on_labels(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    scored = toxicity.score(docs, model, into=("p", "why"))
+    assert scored.columns == [*docs.columns, "p", "why"] and scored.first()["toxicity"] == "mine"
+    assert dict(toxicity.score(docs, model).dtypes)["toxicity"] == "double"
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
 # --- Language ----------------------------------------------------------------------------------------
 
 
