@@ -11,11 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurescope.llm import language, packing, secrets, simhash, toxicity
+from lurescope.llm import arrow_text, language, packing, secrets, simhash, toxicity
 from lurescope.session import materialise
 
 #: Documents whose predicted language is less likely than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Most of the examples without the mark that the toxicity stage may reject.
+TOXIC_LOSS = 0.05
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,13 +27,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the model learns from the labelled ones among ``docs``.
+    """Documents below the rejecting score; the model learns from the labelled ones among ``docs``.
 
-    Null and empty texts score the base rate and stay; repeated rows share their fate.
+    That score tells the examples apart best, each judged by the others, and would reject at most
+    ``TOXIC_LOSS`` of those not marked. Texts without any example like them, such as null and empty ones,
+    stay; repeated rows share their fate. Without labels of both kinds all rows stay.
     """
     model = toxicity.fit_on_labels(docs, _table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, evidence=0)
-    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    rate, why = (arrow_text.free_name(docs, name) for name in ("toxicity", "evidence"))
+    scored = toxicity.score(docs, model, evidence=1, into=(rate, why))
+    kept = (F.col(rate) < model.threshold(TOXIC_LOSS)) | (F.size(why) == 0)
+    return scored.where(kept).select(*docs.columns)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
