@@ -1,10 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 A bounded sample of labelled documents is the example set. Terms are all words of that sample and, for
-languages in which a stem's endings vary, the words' first 4 to 7 letters where at least two examples
+languages in which a stem's endings vary, the words' first 4 and 6 letters where at least two examples
 share them; document frequencies of all terms are counted over all documents. Terms that no example
 has can match nothing and have no weight. Examples are laid out in blocks with similar examples side
-by side. The postings of the ``HEAD`` terms that most examples have (nine tenths of what a text meets)
+by side. The postings of the ``HEAD`` terms that most examples have (three quarters of what a text meets)
 are dense tables by block, with their maxima; those of all other terms are lists. For a text the lists
 are summed first, without pruning; with them the maxima bound what any example of a block can score,
 so blocks that cannot enter the text's nearest ``k`` are skipped in the dense tables and the neighbours
@@ -22,23 +22,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lurescope.llm import arrow_text
+from lurescope.llm import arrow_text, word_exchange
 
 #: Most labelled documents taken as examples, and most characters of their texts together. They bound
-#: the index: five terms a word at most, and the dense tables hold EXAMPLES x HEAD weights (67 MB).
+#: the index: three terms a word at most, and the dense tables hold EXAMPLES x HEAD weights (34 MB).
 EXAMPLES = 4096
 EXAMPLE_CHARS = 16 << 20
 #: Word beginnings of these lengths are terms too, written with a mark that no word has.
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (4, 6)
 _MARK = "^"
 #: Terms with dense postings: those in most examples.
-HEAD = 2048
+HEAD = 1024
 NEIGHBOURS = 32
 BLOCK = 64
 THRESHOLD = 0.3
 #: Texts that are compared at once, and postings that are summed at once.
 _TOGETHER = 256
 _POSTINGS = 1 << 20
+#: Words of examples whose terms are listed at once.
+_ENTRIES = 1 << 16
 
 
 @dataclass
@@ -61,7 +63,7 @@ class Sparse:
         return Sparse(np.searchsorted(row, np.arange(len(rows) + 1)), term, rows[row, term], rows.shape[1])
 
     def row_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(self.offsets))
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.offsets))
 
     def slice(self, lo: int, hi: int) -> "Sparse":
         a, b = self.offsets[lo], self.offsets[hi]
@@ -71,8 +73,8 @@ class Sparse:
         """The entries that are marked in ``wanted``, as unit rows."""
         row, weights = self.row_of()[wanted], self.weights[wanted]
         norms = np.sqrt(np.bincount(row, weights**2, minlength=len(self)))
-        offsets = np.searchsorted(row, np.arange(len(self) + 1))
-        return Sparse(offsets, self.terms[wanted], weights / norms[row], self.n_terms)
+        weights /= norms[row]
+        return Sparse(np.searchsorted(row, np.arange(len(self) + 1)), self.terms[wanted], weights, self.n_terms)
 
     def ordered(self, order: np.ndarray) -> "Sparse":
         sizes = np.diff(self.offsets)
@@ -91,10 +93,10 @@ def forms(vocab: pa.Array) -> list[pa.Array]:
     return out
 
 
-def term_numbers(vocab: pa.Array, terms: dict[str, int]) -> np.ndarray:
-    """One row per word: the numbers of its terms, -1 where there is none."""
-    columns = [np.array([terms.get(w, -1) for w in form.to_pylist()], dtype=np.int64) for form in forms(vocab)]
-    return np.stack(columns, axis=1)
+def term_numbers(vocab: pa.Array, terms: pa.Array) -> np.ndarray:
+    """One row per word: the places of its terms in ``terms``, -1 where there is none."""
+    found = pc.index_in(pa.chunked_array(forms(vocab)), value_set=terms).combine_chunks()
+    return found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).reshape(1 + len(PREFIXES), -1).T
 
 
 def summed(document: np.ndarray, own: np.ndarray, counts: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +104,7 @@ def summed(document: np.ndarray, own: np.ndarray, counts: np.ndarray, n_terms: i
     n_terms = max(1, n_terms)
     known = own >= 0
     keys = (document[:, None] * n_terms + own)[known]
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, many = keys[order], np.broadcast_to(counts[:, None], own.shape)[known][order]
     first = np.flatnonzero(np.diff(keys, prepend=-1))
     totals = np.add.reduceat(many, first) if len(first) else many
@@ -112,7 +114,9 @@ def summed(document: np.ndarray, own: np.ndarray, counts: np.ndarray, n_terms: i
 def term_counts(words: arrow_text.Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, word or term, count), sorted; ``numbers`` has a column of numbers for each kind of term."""
     size = len(words.vocab)
-    pairs, counts = np.unique(words.document_of_word().astype(np.int64) * max(1, size) + words.codes, return_counts=True)
+    tokens = np.sort(words.document_of_word().astype(np.int64) * max(1, size) + words.codes)
+    first = np.flatnonzero(np.diff(tokens, prepend=-1))
+    pairs, counts = tokens[first], np.diff(first, append=len(tokens))
     own = numbers[pairs % max(1, size)] if size else np.zeros((0, numbers.shape[1]), np.int64)
     return summed(pairs // max(1, size), own, counts, int(numbers.max(initial=-1)) + 1)
 
@@ -123,7 +127,7 @@ def unit_rows(document: np.ndarray, term: np.ndarray, counts: np.ndarray, n: int
     return raw.only(np.ones(len(term), dtype=bool))
 
 
-def vectors(words: arrow_text.Words, terms: dict[str, int], idf: np.ndarray) -> Sparse:
+def vectors(words: arrow_text.Words, terms: pa.Array, idf: np.ndarray) -> Sparse:
     return unit_rows(*term_counts(words, term_numbers(words.vocab, terms)), len(words), idf)
 
 
@@ -143,43 +147,32 @@ class BlockMaxIndex:
     weights: np.ndarray
 
     @staticmethod
-    def build(keys: np.ndarray, targets: np.ndarray, rows: np.ndarray | Sparse) -> "BlockMaxIndex":
+    def build(
+        keys: np.ndarray, targets: np.ndarray, rows: np.ndarray | Sparse, order: np.ndarray | None = None
+    ) -> "BlockMaxIndex":
+        """The index of examples, laid out in ``order`` if given."""
         rows = Sparse.of(rows)
         n_head = min(HEAD, rows.n_terms)
         head = np.full(rows.n_terms, -1, dtype=np.int64)
         frequency = np.bincount(rows.terms, minlength=rows.n_terms)
         head[np.argsort(-frequency, kind="stable")[:n_head]] = np.arange(n_head)
-        # Neighbours in this order share their heaviest head terms, so the maxima stay close to the members.
-        dense = _dense(rows, head, n_head)
-        heavy = np.argsort(-dense, axis=1, kind="stable")[:, :3]
-        order = np.lexsort((keys, *heavy.T[::-1]))
-        n_blocks = -(-len(order) // BLOCK)
-        padded = np.zeros((n_blocks * BLOCK, n_head))
-        padded[: len(order)] = dense[order]
-        postings = padded.reshape(n_blocks, BLOCK, n_head).transpose(0, 2, 1).copy()
+        if order is None:
+            order = _similar_side_by_side(rows, head, keys)
         moved = rows.ordered(order)
-        tail = np.flatnonzero(head[moved.terms] < 0)
+        row, place = moved.row_of(), head.astype(np.int32)[moved.terms]
+        own = place >= 0
+        postings = np.zeros((-(-len(order) // BLOCK), n_head, BLOCK))
+        postings[row[own] // BLOCK, place[own], row[own] % BLOCK] = moved.weights[own]
+        tail = np.flatnonzero(~own)
         tail = tail[np.argsort(moved.terms[tail], kind="stable")]
         starts = np.searchsorted(moved.terms[tail], np.arange(rows.n_terms + 1))
-        examples, weights = moved.row_of()[tail].astype(np.int32), moved.weights[tail]
+        examples, weights = row[tail].astype(np.int32), moved.weights[tail]
         return BlockMaxIndex(keys[order], targets[order], head, postings, postings.max(axis=2), starts, examples, weights)
 
     @property
     def nbytes(self) -> int:
         return sum(v.nbytes for v in vars(self).values())
 
-    def rows(self) -> Sparse:
-        """The examples' vectors, in the order of ``keys``."""
-        block, place, slot = np.nonzero(self.postings)
-        term_of = np.flatnonzero(self.head >= 0)
-        term_of = term_of[np.argsort(self.head[term_of])]
-        row = np.concatenate([block * BLOCK + slot, self.examples])
-        term = np.concatenate([term_of[place], np.repeat(np.arange(len(self.head)), np.diff(self.starts))])
-        weight = np.concatenate([self.postings[block, place, slot], self.weights])
-        order = np.lexsort((term, row))
-        offsets = np.searchsorted(row[order], np.arange(len(self.keys) + 1))
-        return Sparse(offsets, term[order], weight[order], len(self.head))
-
     def _listed(self, queries: Sparse) -> np.ndarray:
         """What the terms with lists add to the similarity of every query and slot."""
         n = len(self.postings) * BLOCK
@@ -190,7 +183,7 @@ class BlockMaxIndex:
             own = queries.slice(lo, hi)
             at = arrow_text.gathered(self.starts[:-1], sizes, own.terms)
             each = sizes[own.terms]
-            cells = np.repeat(own.row_of() * n, each) + self.examples[at]
+            cells = np.repeat(own.row_of().astype(np.int64) * n, each) + self.examples[at]
             sums = np.bincount(cells, np.repeat(own.weights, each) * self.weights[at], minlength=(hi - lo) * n)
             out[lo:hi] = sums.reshape(hi - lo, n)
         return out
@@ -234,12 +227,11 @@ class BlockMaxIndex:
                 visit(block, rows)
         return best, which
 
-    def nearest_others(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """``nearest`` of the examples themselves, each without itself.
+    def nearest_others(self, rows: Sparse, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` of the examples themselves, in the order of ``keys``, each without itself.
 
         A word that only the example itself has would have no weight in a new text, so it has none here.
         """
-        rows = self.rows()
         shared = np.bincount(rows.terms, minlength=rows.n_terms)[rows.terms] > 1
         similarities, numbers = self.nearest(rows.only(shared), k + 1)
         own = numbers == np.arange(len(self.keys))[:, None]
@@ -247,6 +239,20 @@ class BlockMaxIndex:
         return similarities[~own].reshape(-1, k), numbers[~own].reshape(-1, k)
 
 
+def _similar_side_by_side(rows: Sparse, head: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The rows by their three heaviest head terms, so that a block's maxima stay close to its members."""
+    row, place = rows.row_of(), head.astype(np.int32)[rows.terms]
+    own = np.flatnonzero(place >= 0)
+    row, place = row[own], place[own]
+    by_weight = np.lexsort((place, -rows.weights[own], row))
+    at = np.searchsorted(row[by_weight], np.arange(len(rows) + 1))
+    heavy = np.full((3, len(rows)), -1, dtype=np.int64)
+    for i in range(3):
+        some = at[:-1] + i < at[1:]
+        heavy[i, some] = place[by_weight[at[:-1][some] + i]]
+    return np.lexsort((keys, *heavy[::-1]))
+
+
 def _dense(rows: Sparse, head: np.ndarray, n_head: int) -> np.ndarray:
     """The head terms' weights as a table."""
     out = np.zeros((len(rows), n_head))
@@ -257,7 +263,7 @@ def _dense(rows: Sparse, head: np.ndarray, n_head: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    terms: dict[str, int]
+    terms: pa.Array
     idf: np.ndarray
     index: BlockMaxIndex
     base_rate: float
@@ -265,6 +271,29 @@ class Model:
     shift: float = 0.0
     #: Calibrated scores of the examples, each from the others alone, by the order of ``index.keys``.
     left_out: np.ndarray | None = None
+    #: Term counts of the examples, by the order of ``index.keys``.
+    counts: Sparse | None = None
+
+    def __getstate__(self) -> dict:
+        """What travels to the workers: counts in place of the tables, which each worker lays out itself."""
+        state = {k: v for k, v in vars(self).items() if k not in ("terms", "index", "counts")}
+        state["terms"] = word_exchange.packed_words(self.terms)
+        state["targets"], state["keys"] = self.index.targets, self.index.keys
+        own = self.counts
+        if own is not None:
+            state["counts"] = [word_exchange.packed(v) for v in (own.offsets, own.terms.astype(np.int32), own.weights.astype(np.int32))]
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        keys, targets, counts = state.pop("keys"), state.pop("targets"), state.pop("counts", None)
+        terms = word_exchange.unpacked_words(state.pop("terms"))
+        vars(self).update(state, terms=terms, counts=None)
+        rows: np.ndarray | Sparse = np.zeros((0, 0))
+        if counts is not None:
+            offsets, term, many = map(word_exchange.unpacked, counts)
+            self.counts = Sparse(offsets, term, many, len(terms))
+            rows = unit_rows(self.counts.row_of(), self.counts.terms, many, len(keys), self.idf)
+        self.index = BlockMaxIndex.build(keys, targets, rows, np.arange(len(keys)))
 
     def threshold(self, loss: float) -> float:
         """The score from which rejecting tells the examples apart best, left out one by one.
@@ -341,15 +370,16 @@ def _example_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, target int, words array<string>, counts array<long>")
 
 
-def _document_frequency(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
+def _document_frequency(docs: DataFrame, terms: pa.Array) -> tuple[int, np.ndarray]:
     """Number of documents, and in how many each term is, over all of ``docs``."""
-    shared, n_terms = docs.sparkSession.sparkContext.broadcast(terms), len(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(word_exchange.packed_words(terms))
+    n_terms = len(terms)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, n, sums = shared.value, 0, np.zeros(n_terms, np.int64)
+        known, n, sums = word_exchange.unpacked_words(shared.value), 0, np.zeros(n_terms, np.int64)
         for block in arrow_text.blocks(batches):
             words = arrow_text.alnum_words(arrow_text.plain(block.column("text")))
-            sums += np.bincount(term_counts(words, term_numbers(words.vocab, number))[1], minlength=n_terms)
+            sums += np.bincount(term_counts(words, term_numbers(words.vocab, known))[1], minlength=n_terms)
             n += len(words)
         found = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays(
@@ -405,7 +435,7 @@ def fit(
     targets = made["target"].to_numpy().astype(float)
     n, positive = len(targets), int(targets.sum())
     rate = positive / n if n else 0.0
-    none = Model({}, np.zeros(0), BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0))), rate)
+    none = Model(pa.array([], pa.string()), np.zeros(0), BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0))), rate)
     if not 0 < positive < n:
         return none
     words = pa.chunked_array([c.flatten() for c in made["words"].chunks], pa.string()).combine_chunks().dictionary_encode()
@@ -416,21 +446,30 @@ def fit(
     numbers = numbers.reshape(1 + len(PREFIXES), -1).T
     counts = pa.chunked_array([c.flatten() for c in made["counts"].chunks], pa.int64()).to_numpy()
     sizes = pc.list_value_length(made["words"]).to_numpy()
-    document = np.repeat(np.arange(made.num_rows), sizes)
-    document, term, counts = summed(document, numbers[words.indices.to_numpy()], counts, len(coded.dictionary))
+    ends, parts = np.concatenate(([0], np.cumsum(sizes))), []
+    for lo, hi in arrow_text.slices(ends, _ENTRIES):
+        own = slice(ends[lo], ends[hi])
+        document = np.repeat(np.arange(lo, hi), sizes[lo:hi])
+        part = summed(document, numbers[words.indices.to_numpy()[own]], counts[own], len(coded.dictionary))
+        parts.append([column.astype(np.int32) for column in part])
+    document, term, counts = (np.concatenate(column) for column in zip(*parts))
     # Words first, so their numbers are those below the dictionary's size; a beginning needs two examples.
     shared = np.bincount(term, minlength=len(coded.dictionary)) > 1
     shared[: len(words.dictionary)] = True
     number = np.cumsum(shared) - 1
     own = shared[term]
-    document, term, counts = document[own], number[term[own]], counts[own]
-    terms = {t: i for i, t in enumerate(coded.dictionary.filter(pa.array(shared)).to_pylist())}
+    document, term, counts = document[own], number[term[own]].astype(np.int32), counts[own]
+    terms = coded.dictionary.filter(pa.array(shared))
     total, frequency = _document_frequency(docs, terms)
     idf = np.log((total + 1.0) / (frequency + 1.0)) + 1e-3
+    del words, numbers, coded, parts, own  # the driver keeps counts, rows and the index
     rows = unit_rows(document, term, counts, made.num_rows, idf)
     index = BlockMaxIndex.build(made["doc_id"].to_numpy(), targets, rows)
-    model = Model(terms, idf, index, rate)
-    votes = model.votes(*index.nearest_others(neighbours))
+    raw = Sparse(rows.offsets, term, counts, len(terms)).ordered(np.searchsorted(made["doc_id"].to_numpy(), index.keys))
+    model = Model(terms, idf, index, rate, counts=raw)
+    del rows, made, document, term, counts
+    own = unit_rows(raw.row_of(), raw.terms, raw.weights, len(raw), idf)
+    votes = model.votes(*index.nearest_others(own, neighbours))
     model.slope, model.shift = fit_logistic(votes, index.targets)
     model.left_out = model.calibrated(votes)
     return model
