@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lurescope.llm import bpe_codec, brown, language, licenses, maxscore, minhash, packing, secrets, simhash, toxicity
+from lurescope.llm import bpe_codec, brown, language, licenses, maxscore, minhash, packing, prefix_trie, secrets, simhash
+from lurescope.llm import token_counts, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +80,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.with_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_scores": op1_brown_scores,
     "op2_maxscore_top_k": op2_maxscore_top_k,
@@ -90,5 +103,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_one_permutation_minhash": op9_one_permutation_minhash,
     "op10_language_id": op10_language_id,
+    "op11_token_counts": op11_token_counts,
+    "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES: dict[str, str] = {"op2_maxscore_top_k": maxscore.ORACLE}
+ORACLES: dict[str, str] = {"op2_maxscore_top_k": maxscore.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}

@@ -58,5 +58,5 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 14))
     assert set(ORACLES) <= set(REGISTRY)
