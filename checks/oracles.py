@@ -317,10 +317,16 @@ select round(auc_roc, 6) as auc_roc, round(auc_pr, 6) as auc_pr from {areas('bes
     "sink_parquet_roundtrip": f"with {SPLIT} select url, label, source, split from splitted",
     "sink_csv_roundtrip": "select doc_id, text from documents",
     "char_sequences": f"""with {SEQUENCES},
-pos as (select url, split, unnest(range(1, (select max(length(url)) from splitted) + 1)) as i from splitted),
+pos as (select url, split, unnest(range(1, length(url) + 1)) as i from splitted),
+enc as (select url, split, i, coalesce(idx, 1) as code from pos left join vocab on c = url[i])
+select url, split, string_agg(code::varchar, ',' order by i) as seq from enc group by url, split""",
+    "char_sequences_padded": f"""with {SEQUENCES},
+pos as (select url, split, unnest(range(1, 41)) as i from splitted),
 enc as (select url, split, i, case when i > length(url) then 0 else coalesce(idx, 1) end as code
   from pos left join vocab on c = url[i])
 select url, split, string_agg(code::varchar, ',' order by i) as seq from enc group by url, split""",
+    "char_sequences_cut": f"""with {SPLIT} select count(*) as n_texts, count(*) filter (length(url) > 40) as n_cut,
+ coalesce(sum(length(url) - 40) filter (length(url) > 40), 0)::bigint as characters_cut from splitted""",
     "length_filter": "select doc_id, length(text)::integer as chars from documents where length(text) between 10 and 50000",
     "features_nohttps": f"""with {enriched_cte('(select page_id, url from pages)', 'f')}
 select page_id, {rounded([c for c in FEATURES if c != 'has_https'])} from f""",
@@ -440,8 +446,8 @@ select round(s, 6) as threshold, round(sum(p) over (order by s desc) / (sum(n) o
  round(sum(p) over (order by s desc) / (sum(p) over ())::double, 6) as recall from g""",
     "score_histogram": f"""with {SCORES}, r as (select y, min(score) as lo, (max(score) - min(score)) / 50 as w from scores group by y),
 b as (select y as target, lo, w, least(floor((score - lo) / w), 49)::integer as bin, count(*) as n from scores join r using (y) group by all)
-select target, bin, round(lo + bin * w, 6) as low, round(lo + (bin + 1) * w, 6) as high, n,
- round(n / (sum(n) over (partition by target) * w), 6) as density from b""",
+select target, bin, round(lo + bin * w, 9) as low, round(lo + (bin + 1) * w, 9) as high, n,
+ round(n / (sum(n) over (partition by target) * w), 9) as density from b""",
     "token_length_histogram": f"""with {DOC_LADDER}, c as (select least(tokens, 600.0)::double as v from tok),
 r as (select min(v) as lo, (max(v) - min(v)) / 60 as w from c),
 b as (select lo, w, least(floor((v - lo) / w), 59)::integer as bin, count(*) as n from c, r group by all)
@@ -608,3 +614,27 @@ select url, round(({' + '.join(f'("{c}" - "c_{c}") * ("{c}" - "c_{c}")' for c in
 from scaled, centre"""
 ORACLES["embedding_logreg_check"] = "select count(*) as n_rows, count(*) as n_in_range, true as at_optimum from embeddings"
 ORACLES["text_logreg_check"] = "select count(*) as n_rows, count(*) as n_in_range, true as at_optimum from documents"
+ORACLES["embedding_logreg_gradient"] = """select unnest(range(-1, (select max(len(embedding)) from embeddings))) as term, true as at_optimum"""
+ORACLES["autoencoder_check"] = f"""with {SCALED} select count(*) as n_rows, count(*) as n_scored,
+ round(avg(({' + '.join(f'"{c}" * "{c}"' for c in FEATURES)}) / {len(FEATURES)}) filter (split = 'train' and label = 1), 6) as mean_square, true as improved from scaled"""
+ORACLES["char_context_gain"] = f"with {SPLIT} select split, count(*) as n_rows, true as longer_is_better from splitted group by split"
+# Levels g2, g1, g0 of the context tree: counts, then different characters in front, each with its discount.
+_LEVEL = """t{k} as (select ctx, sum(n) as total, count(*) as kinds from g{k} group by ctx),
+d{k} as (select coalesce(count(*) filter (n = 1) / nullif(count(*) filter (n = 1) + 2 * count(*) filter (n = 2), 0)::double * nullif((count(*) filter (n = 1) > 0)::integer, 0), 0.5) as d from g{k})"""
+_MIXED = "case when t{k}.total is null then {below} else (greatest(coalesce(g{k}.n, 0) - d{k}.d, 0) + d{k}.d * t{k}.kinds * ({below})) / t{k}.total end"
+_P = "1 / v::double"
+for _k in range(3):
+    _P = _MIXED.format(k=_k, below=_P)
+ORACLES["char_context_score"] = f"""with {SPLIT},
+spot as (select url, split, label, case i when 1 then chr(65535) || chr(65535) when 2 then chr(65535) || url[1] else url[i-2:i-1] end as ctx, url[i] as c
+ from (select *, unnest(range(1, length(url) + 1)) as i from splitted)),
+g2 as (select ctx, c, count(*) as n from spot where split = 'train' and label = 1 group by ctx, c),
+g1 as (select substring(ctx, 2) as ctx, c, count(*) as n from g2 group by 1, 2),
+g0 as (select '' as ctx, c, count(*) as n from g1 group by c),
+{', '.join(_LEVEL.format(k=k) for k in range(3))},
+vv as (select count(*) + 1 as v from g0),
+loss as (select url, avg(-ln({_P})) as s from spot
+ left join g2 on g2.ctx = spot.ctx and g2.c = spot.c left join t2 on t2.ctx = spot.ctx
+ left join g1 on g1.ctx = substring(spot.ctx, 2) and g1.c = spot.c left join t1 on t1.ctx = substring(spot.ctx, 2)
+ left join g0 on g0.c = spot.c, t0, d0, d1, d2, vv group by url)
+select splitted.url, split, round(coalesce(s, 0.0), 6) as score from splitted left join loss using (url)"""

@@ -13,7 +13,7 @@ from lurescope.functions.text import MAX_CHARS, MIN_CHARS, REDACTIONS, clean_tex
 from lurescope.functions.url_basic import FEATURES as BASIC, with_basic_features
 from lurescope.functions.url_enriched import FEATURES, feature_names, with_enriched_features
 from lurescope.functions.urls import extract_urls
-from lurescope.models import classifiers, iforest, ngram, reconstruction
+from lurescope.models import autoencoder, classifiers, context, iforest, ngram, reconstruction
 from lurescope.operators import aggregates, dedup, joint, metrics, ranking, scaling, sequences, split
 from lurescope.plans import joint_corpus, message_eval, text_corpus, url_corpus
 from lurescope.session import materialise, scratch_path
@@ -23,6 +23,7 @@ from . import inputs
 from .inputs import emails, labelled_messages, scores, table
 
 SOURCES = ("a", "b", "c")
+SEQUENCE_LENGTH = 40
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -256,6 +257,17 @@ def char_sequences(spark, sf):
     return encoded.select("url", "split", F.array_join(F.col("seq").cast("array<string>"), ",").alias("seq"))
 
 
+def char_sequences_padded(spark, sf):
+    rows = materialise(split_corpus(spark, sf), "split")
+    vocab = sequences.char_vocab(rows.where(F.col("split") == "train"), "url")
+    encoded = sequences.encode_chars(rows, "url", vocab, max_len=SEQUENCE_LENGTH)
+    return encoded.select("url", "split", F.array_join(F.col("seq").cast("array<string>"), ",").alias("seq"))
+
+
+def char_sequences_cut(spark, sf):
+    return sequences.cut_report(split_corpus(spark, sf), "url", SEQUENCE_LENGTH)
+
+
 # --- scaling -----------------------------------------------------------------------------------
 
 def featured(spark, sf):
@@ -478,7 +490,8 @@ def pr_curve(spark, sf):
 
 
 def score_histogram(spark, sf):
-    return rounded(metrics.score_histogram(scores(spark, sf), "score", "y"))
+    # Edges have at most nine decimals, so nine keep them as they are, without ties.
+    return rounded(metrics.score_histogram(scores(spark, sf), "score", "y"), 9)
 
 
 def auc_inversion(spark, sf):
@@ -583,6 +596,49 @@ def pca_recon_bounds(spark, sf):
     return rounded(rows.select("url", "none", "all"))
 
 
+def autoencoder_score(spark, sf):
+    """Reconstruction error of a non-linear autoencoder fitted on the legitimate training rows."""
+    ready = _prepared(spark, sf)
+    rows = materialise(ready.scaled.select("url", "label", "split", *ready.features), "scaled")
+    legit = rows.where((F.col("split") == "train") & (F.col("label") == 1))
+    network = autoencoder.fit_network(legit, ready.features, "url", epochs=40)
+    return autoencoder.score_network(rows, network, "anomaly_score").select("url", "label", "split", "anomaly_score")
+
+
+def autoencoder_check(spark, sf):
+    """Rows and valid scores, the legitimate rows' mean square, and whether their error is less than it."""
+    ready = _prepared(spark, sf)
+    rows = materialise(ready.scaled.select("url", "label", "split", *ready.features), "scaled")
+    own = (F.col("split") == "train") & (F.col("label") == 1)
+    network = autoencoder.fit_network(rows.where(own), ready.features, "url", epochs=8)
+    scored = autoencoder.score_network(rows, network).withColumn("square", scaling.mean_square(ready.features))
+    square = F.avg(F.when(own, F.col("square")))
+    return rounded(scored.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("score") >= 0).alias("n_scored"),
+        square.alias("mean_square"),
+        (F.avg(F.when(own, F.col("score"))) < 0.9 * square).alias("improved"),
+    ))
+
+
+def char_context_score(spark, sf):
+    """Mean loss of a URL under contexts of up to two characters with Kneser-Ney back-off."""
+    rows = split_corpus(spark, sf)
+    tree = context.fit_contexts(rows.where((F.col("split") == "train") & (F.col("label") == 1)), "url", 2)
+    return rounded(context.score_contexts(rows, "url", "url", tree, ["split"]))
+
+
+def char_context_gain(spark, sf):
+    """Per split, rows and whether five characters of context lose less than one does."""
+    rows = materialise(split_corpus(spark, sf), "split")
+    train = rows.where((F.col("split") == "train") & (F.col("label") == 1))
+    both = context.score_contexts(rows, "url", "url", context.fit_contexts(train, "url"), ["split"], "long")
+    short = ngram.score_bigrams(rows, "url", "url", ngram.fit_bigrams(train, "url"), [], "short")
+    return both.join(short, "url").groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), (F.avg("long") < F.avg("short")).alias("longer_is_better")
+    )
+
+
 def _fit_check(scored, target, score):
     """Rows, scores in range, and whether the weighted residuals of the training rows sum to zero.
 
@@ -607,6 +663,16 @@ def text_logreg_check(spark, sf):
     return _fit_check(text_logreg(spark, sf), "label", "semantic_score")
 
 
+def _gradient_check(train, target, score):
+    """Per coefficient (-1 is the intercept) whether the penalised loss has no slope there."""
+    return classifiers.gradient(train, target, score).select("term", (F.abs("gradient") < 1e-4).alias("at_optimum"))
+
+
+def embedding_logreg_gradient(spark, sf):
+    train = split.stratified_split(_vectors(spark, sf), "vec_id", "y").where(F.col("split") == "train")
+    return _gradient_check(train, "y", classifiers.embedding_classifier(train, "embedding", "y"))
+
+
 def char_ngram_score(spark, sf):
     rows = split_corpus(spark, sf)
     train = rows.where((F.col("split") == "train") & (F.col("label") == 1))
@@ -743,6 +809,8 @@ REGISTRY = {
     "sink_parquet_roundtrip": sink_parquet_roundtrip,
     "sink_csv_roundtrip": sink_csv_roundtrip,
     "char_sequences": char_sequences,
+    "char_sequences_padded": char_sequences_padded,
+    "char_sequences_cut": char_sequences_cut,
     "length_filter": length_filter,
     "features_nohttps": features_nohttps,
     "legit_only": legit_only,
@@ -806,6 +874,11 @@ REGISTRY = {
     "iforest_sweep": iforest_sweep,
     "pca_recon_score": pca_recon_score,
     "char_ngram_score": char_ngram_score,
+    "char_context_score": char_context_score,
+    "char_context_gain": char_context_gain,
+    "autoencoder_score": autoencoder_score,
+    "autoencoder_check": autoencoder_check,
+    "embedding_logreg_gradient": embedding_logreg_gradient,
     "embedding_logreg": embedding_logreg,
     "l2_normalise": l2_normalise,
     "class_weights": class_weights,

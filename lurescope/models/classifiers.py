@@ -61,9 +61,33 @@ def embedding_classifier(
         scored = model.transform(prepare(df))
         return scored.withColumn(out, vector_to_array("_p")[1]).select(*df.columns, out)
 
+    score.vectors, score.penalty, score.model = prepare, 1.0 / (c * n), model
     return score
 
 
+def gradient(train: DataFrame, target: str, score: Callable) -> DataFrame:
+    """(term, gradient) of the penalised mean loss by every coefficient, and by the intercept as term -1.
+
+    At the optimum all are zero. ``score`` is what a classifier of this module returned for ``train``.
+    """
+    rows, _ = _weighted(score(train, "_p1"), target)
+    own = score.vectors(rows).select("_x", (F.col("_w") * (F.col("_p1") - F.col(target))).alias("_r"), "_w")
+    total = own.agg(F.sum("_w").alias("_all"))
+
+    vector = F.unwrap_udt("_x")
+    places = F.coalesce(vector["indices"], F.sequence(F.lit(0), F.size(vector["values"]) - 1))
+    entries = own.select("_r", F.explode(F.arrays_zip(places.alias("i"), vector["values"].alias("v"))).alias("e"))
+    by_term = entries.select(F.col("e.i").cast("long").alias("term"), (F.col("_r") * F.col("e.v")).alias("g"))
+    constant = own.select(F.lit(-1).cast("long").alias("term"), F.col("_r").alias("g"))
+    sums = by_term.unionByName(constant).groupBy("term").agg(F.sum("g").alias("g"))
+    # One row per coefficient of the fitted model, which the driver holds already.
+    weights = [(i, float(b)) for i, b in enumerate(score.model.coefficients.toArray())] + [(-1, 0.0)]
+    every = train.sparkSession.createDataFrame(weights, "term long, b double").join(sums, "term", "left")
+    return attach(every, total, ["_all"]).select(
+        "term", (F.coalesce("g", F.lit(0.0)) / F.col("_all") + score.penalty * F.col("b")).alias("gradient")
+    )
+
+
 def text_classifier(
     train: DataFrame, text: str, target: str, buckets: int = 1 << 16, c: float = 1.0, max_iter: int = 50
 ) -> Callable[[DataFrame, str], DataFrame]:
@@ -90,6 +114,7 @@ def text_classifier(
         scored = model.transform(idf.transform(counts(df)))
         return scored.withColumn(out, vector_to_array("_p")[1]).select(*df.columns, out)
 
+    score.vectors, score.penalty, score.model = (lambda df: idf.transform(counts(df))), 1.0 / (c * n), model
     return score
 
 

@@ -2,7 +2,7 @@
 
 Texts are read whole. Pairs are counted per Arrow batch before they are shuffled, so a pair that
 occurs in every URL sends one row per batch; scoring looks pairs up in sorted arrays and needs no
-shuffle at all.
+shuffle, unless there are too many pairs for a task: then texts meet the losses of their pairs in a join.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import local_copy
+from .context import START, mean_losses
 
 FLOOR = 1e-9
-# Scoring holds the count table in every task; an alphabet with more pairs is refused, not cut.
+# Most pairs that scoring holds in every task.
 MAX_PAIRS = 4_000_000
 _SHIFT = 21
 _START = (1 << _SHIFT) - 1  # above every code point: the context of a first character
@@ -54,6 +55,17 @@ def fit_bigrams(train: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("prev", "cur").agg(F.sum("n").alias("n"))
 
 
+def _pair_losses(runs: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """(run, loss) of runs of two characters, the tables joined by context."""
+    symbols = bigrams.select("cur").distinct().count() + 1
+    first = F.substring("run", 1, 1)
+    wanted = runs.select("run", F.when(first == START, "").otherwise(first).alias("prev"), F.substring("run", 2, 1).alias("cur"))
+    contexts = bigrams.groupBy("prev").agg(F.sum("n").alias("n_prev"))
+    found = wanted.join(bigrams, ["prev", "cur"], "left").join(contexts, "prev", "left")
+    p = (F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_prev", F.lit(0)) + symbols)
+    return found.select("run", (-F.log(F.greatest(p, F.lit(FLOOR)))).alias("loss"))
+
+
 def score_bigrams(df: DataFrame, key: str, text: str, bigrams: DataFrame, carry: Sequence[str] = (), out: str = "score") -> DataFrame:
     """(key, carry, out): mean of -ln p over the characters of ``text``; 0 for an empty or null one.
 
@@ -62,7 +74,7 @@ def score_bigrams(df: DataFrame, key: str, text: str, bigrams: DataFrame, carry:
     """
     table = local_copy(bigrams, MAX_PAIRS)
     if table is None:
-        raise ValueError(f"more than {MAX_PAIRS} character pairs")
+        return mean_losses(df, key, text, 2, lambda runs: _pair_losses(runs, bigrams), carry, out, MAX_PAIRS)
     rows = table.toPandas()
     before = np.array([ord(c) if c else _START for c in rows["prev"]], dtype=np.int64)
     current = np.array([ord(c) for c in rows["cur"]], dtype=np.int64)

@@ -30,17 +30,17 @@ def placeholder_zeros(urls: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def max_per_message(
-    urls: DataFrame, key: str, scores: Sequence[str], carry: Sequence[str] = (), neutral: str = "median"
+    urls: DataFrame, key: str, scores: Sequence[str], carry: Sequence[str] = (), neutral: str = "median", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Highest URL score per message from rows that keep URL-less messages (null URL).
+    """Highest URL score per message, and per ``by``, from rows that keep URL-less messages (null URL).
 
     ``neutral`` fills messages without URL: ``median`` takes the median over all URL scores,
     ``zero`` takes 0. One hash aggregation per message key; no join. The median is computed here
     and enters as a constant, so ``urls`` should be stored scores rather than a scoring plan.
     """
     real = {s: F.when(F.col("url").isNotNull(), F.col(s)) for s in scores}
-    best = urls.groupBy(key, *carry).agg(*(F.max(real[s]).alias(s) for s in scores))
-    return _fill(best, urls.where(F.col("url").isNotNull()), scores, neutral)
+    best = urls.groupBy(key, *carry, *by).agg(*(F.max(real[s]).alias(s) for s in scores))
+    return _fill(best, urls.where(F.col("url").isNotNull()), scores, neutral, by)
 
 
 def attach_max(
@@ -51,13 +51,21 @@ def attach_max(
     return _fill(messages.join(best, key, "left"), urls, scores, neutral)
 
 
-def _fill(frame: DataFrame, urls: DataFrame, scores: Sequence[str], neutral: str) -> DataFrame:
+def _fill(frame: DataFrame, urls: DataFrame, scores: Sequence[str], neutral: str, by: Sequence[str] = ()) -> DataFrame:
     if neutral == "zero":
         return frame.fillna(0.0, list(scores))
     if neutral != "median":
         raise ValueError("neutral is 'median' or 'zero'")
-    long = urls.select(*(F.col(s).cast("double").alias(s) for s in scores)).unpivot([], list(scores), "_model", "_score")
-    medians = quantiles(long, "_score", [0.5], ["_model"]).collect()
+    long = urls.select(*by, *(F.col(s).cast("double").alias(s) for s in scores)).unpivot(list(by), list(scores), "_model", "_score")
+    medians = quantiles(long, "_score", [0.5], [*by, "_model"])
+    if by:
+        # One row per value of ``by``, which are settings of one report.
+        wide = medians.groupBy(*by).pivot("_model", list(scores)).agg(F.first("value"))
+        middle = wide.select(*by, *(F.col(f"`{s}`").alias(f"_{s}") for s in scores))
+        return frame.join(F.broadcast(middle), list(by), "left").select(
+            *(F.coalesce(c, f"_{c}").alias(c) if c in scores else F.col(c) for c in frame.columns)
+        )
+    medians = medians.collect()
     return frame.fillna({r["_model"]: r["value"] for r in medians if r["value"] is not None})
 
 

@@ -1,4 +1,4 @@
-"""Character sequences: vocabulary from training URLs and padded index encoding."""
+"""Character sequences: vocabulary from training URLs and index encoding, ragged or padded."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ranking import attach
-
 # Reserved indexes.
 PAD, OOV, FIRST_INDEX = 0, 1, 2
 
@@ -27,10 +25,10 @@ def char_vocab(train: DataFrame, text: str) -> DataFrame:
 
 
 def encode_chars(df: DataFrame, text: str, vocab: DataFrame, out: str = "seq", max_len: int | None = None) -> DataFrame:
-    """Append the index sequence of the characters, padded with 0 to one common length.
+    """Append the index sequence of the characters, as long as the text.
 
-    The length is that of the longest text unless ``max_len`` is given; only then are longer texts
-    cut. The vocabulary has at most one row per Unicode code point; a character is found in it by
+    With ``max_len`` sequences are padded with 0 to that length and longer ones cut; ``cut_report`` tells
+    how many that are. A null text has no characters. The vocabulary has at most one row per Unicode code point; a character is found in it by
     binary search.
     """
     rows = vocab.select("char", "index").toPandas().sort_values("char", key=lambda c: c.map(ord))
@@ -47,12 +45,18 @@ def encode_chars(df: DataFrame, text: str, vocab: DataFrame, out: str = "seq", m
         offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found, pa.int32()))
 
+    whole = df.withColumn(out, encoded(F.col(text)))
     if max_len is None:
-        longest = df.agg(F.coalesce(F.max(F.length(text)), F.lit(0)).alias("_width"))
-        wide = attach(df, longest, ["_width"])
-    else:
-        wide = df.withColumn("_width", F.lit(max_len))
-    head = F.slice(encoded(F.col(text)), F.lit(1), F.col("_width")) if max_len is not None else encoded(F.col(text))
-    padded = wide.withColumn(out, head)
-    padding = F.array_repeat(F.lit(PAD), F.col("_width") - F.size(out))
-    return padded.withColumn(out, F.concat(out, padding)).drop("_width")
+        return whole
+    head = F.slice(out, 1, max_len)
+    return whole.withColumn(out, F.concat(head, F.array_repeat(F.lit(PAD), max_len - F.size(head))))
+
+
+def cut_report(df: DataFrame, text: str, max_len: int) -> DataFrame:
+    """One row: texts, texts longer than ``max_len``, and the characters that padding to it cuts off."""
+    over = F.length(text) - max_len
+    return df.agg(
+        F.count(F.lit(1)).alias("n_texts"),
+        F.count_if(over > 0).alias("n_cut"),
+        F.coalesce(F.sum(F.when(over > 0, over)), F.lit(0)).cast("long").alias("characters_cut"),
+    )

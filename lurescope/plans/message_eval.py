@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..models import iforest, ngram, reconstruction
+from ..models import autoencoder, context, iforest, ngram, reconstruction
 from ..operators import aggregates, metrics
 from ..operators.joint import max_per_message
 from ..session import materialise
@@ -35,6 +35,18 @@ def bigram_scorer(bigrams: DataFrame, url: str = "url") -> Scorer:
     return score
 
 
+def network_scorer(network) -> Scorer:
+    return lambda df, name: autoencoder.score_network(df, network, name)
+
+
+def context_scorer(tree, url: str = "url") -> Scorer:
+    """Scores the text itself; frames keep all their columns."""
+    def score(df: DataFrame, name: str) -> DataFrame:
+        first, *rest = df.columns
+        return context.score_contexts(df, first, url, tree, rest, name)
+    return score
+
+
 def url_scores(urls: DataFrame, scorers: Mapping[str, Scorer], keep: Sequence[str]) -> DataFrame:
     """``keep`` and one column per scorer for every row with a URL; rows without one get nulls."""
     for name, scorer in scorers.items():
@@ -79,14 +91,8 @@ def ablation_report(
     }
     scored = url_scores(copies.withColumns(neutral), scorers, [key, label, "url", "feature_set"])
     scored = materialise(scored, "ablation")
-    wide = [
-        max_per_message(scored.where(F.col("feature_set") == n), key, list(scorers), [label])
-        .unpivot([label], list(scorers), "model", "score").withColumn("feature_set", F.lit(n))
-        for n in feature_sets
-    ]
-    long = wide[0]
-    for part in wide[1:]:
-        long = long.unionByName(part)
+    best = materialise(max_per_message(scored, key, list(scorers), [label], by=["feature_set"]), "ablation-best")
+    long = best.unpivot(["feature_set", label], list(scorers), "model", "score")
     return metrics.areas(long, "score", label, ["feature_set", "model"])
 
 
@@ -97,7 +103,11 @@ def held_out_check(rows: DataFrame, scorers: Mapping[str, Scorer], target: str)
 
 
 def semantic_report(scores: DataFrame, models: Sequence[str], target: str = "label", threshold: float = 0.5) -> DataFrame:
-    """One row per text model: summary of its scores, then F1, AUC, AP and FPR at ``threshold``."""
+    """One row per text model: summary of its scores, then F1, AUC, AP and FPR at ``threshold``.
+
+    The scores are stored first, as each part of the report reads them.
+    """
+    scores = materialise(scores.select(target, *models), "semantic-scores")
     long = scores.unpivot([target], list(models), "model", "score")
     cells = metrics.with_rates(metrics.confusion(long, "score", target, threshold, ["model"]))
     areas = metrics.areas(long, "score", target, ["model"])

@@ -92,8 +92,8 @@ def test_bigram_score(spark, monkeypatch):
     for r in ngram.score_bigrams(frame, "id", "url", fit).collect():
         assert r["score"] == pytest.approx(brute_ngram(train, texts[r["id"]]), abs=1e-12)
     monkeypatch.setattr(ngram, "MAX_PAIRS", 3)
-    with pytest.raises(ValueError):
-        ngram.score_bigrams(frame, "id", "url", fit)
+    for r in ngram.score_bigrams(frame, "id", "url", fit).collect():
+        assert r["score"] == pytest.approx(brute_ngram(train, texts[r["id"]]), abs=1e-12)
 
 
 def test_char_sequences(spark):
@@ -102,9 +102,38 @@ def test_char_sequences(spark):
     assert [(r["char"], r["index"]) for r in vocab.orderBy("index").collect()] == [("a", 2), ("b", 3), ("é", 4), ("\U0001F600", 5)]
     frame = spark.createDataFrame([("ab\U0001F600zé",), ("",), ("a" * 200,)], "url string")
     got = [r["seq"] for r in sequences.encode_chars(frame, "url", vocab).collect()]
-    assert got == [[2, 3, 5, 1, 4] + [0] * 195, [0] * 200, [2] * 200]
+    assert got == [[2, 3, 5, 1, 4], [], [2] * 200]
     cut = [r["seq"] for r in sequences.encode_chars(frame, "url", vocab, max_len=4).collect()]
     assert cut == [[2, 3, 5, 1], [0] * 4, [2] * 4]
+    assert tuple(sequences.cut_report(frame, "url", 4).first()) == (3, 2, 197)
+
+
+def test_gradient_of_every_coefficient(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 3))
+    y = (x[:, 0] > 0.4).astype(int)
+    frame = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y))], "id int, v array<double>, y int")
+    fitted = classifiers.embedding_classifier(frame, "v", "y")
+    rows = {r["term"]: r["gradient"] for r in classifiers.gradient(frame, "y", fitted).collect()}
+    assert set(rows) == {-1, 0, 1, 2} and all(abs(g) < 1e-6 for g in rows.values())
+    # After one step the fit is away from its optimum, and the gradient is that of the loss by its definition.
+    early = classifiers.embedding_classifier(frame, "v", "y", max_iter=1)
+    rows = {r["term"]: r["gradient"] for r in classifiers.gradient(frame, "y", early).collect()}
+    unit, w = x / np.linalg.norm(x, axis=1, keepdims=True), np.where(y == 1, 60 / y.sum(), 60 / (1 - y).sum())
+    b, b0 = early.model.coefficients.toArray(), early.model.intercept
+    away = w * (1 / (1 + np.exp(-(unit @ b + b0))) - y)
+    want = {-1: away.sum() / w.sum(), **{i: away @ unit[:, i] / w.sum() + b[i] / 120 for i in range(3)}}
+    assert rows == pytest.approx(want) and max(map(abs, rows.values())) > 1e-3
+
+
+def test_text_gradient_of_every_coefficient(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(words, 6)) + (" bad" if i % 3 == 0 and i % 7 else ""), int(i % 3 == 0)) for i in range(90)]
+    frame = spark.createDataFrame([*rows, (91, None, 0), (92, "", 1)], "id int, t string, y int")
+    fitted = classifiers.text_classifier(frame, "t", "y", buckets=64, max_iter=500)
+    found = {r["term"]: r["gradient"] for r in classifiers.gradient(frame, "y", fitted).collect()}
+    assert set(found) == set(range(-1, 64)) and all(abs(g) < 1e-4 for g in found.values())
 
 
 def test_embedding_classifier_reaches_the_optimum(spark):
