@@ -638,3 +638,11 @@ loss as (select url, avg(-ln({_P})) as s from spot
  left join g1 on g1.ctx = substring(spot.ctx, 2) and g1.c = spot.c left join t1 on t1.ctx = substring(spot.ctx, 2)
  left join g0 on g0.c = spot.c, t0, d0, d1, d2, vv group by url)
 select splitted.url, split, round(coalesce(s, 0.0), 6) as score from splitted left join loss using (url)"""
+ORACLES["recognised_names"] = """with m as (select doc_id, coalesce(text, '') || ' for ' || c_name || ' of ' || lower(n_name) || '.' as t
+ from documents join customer on c_custkey = doc_id % (select count(*) from customer) join nation on n_nationkey = c_nationkey),
+names as (select lower(c_name) as name, 'person' as kind, 0.9::double as score from customer union all select lower(n_name), 'place', 0.6::double from nation),
+pairs as (select doc_id, t, name, kind, score, string_split(lower(t), name) as parts from m join names on contains(lower(t), name)),
+spans as (select doc_id, t, kind, score, length(name) as n,
+ (list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(name))::bigint as start from (select *, unnest(range(1, len(parts))) as k from pairs))
+select doc_id, kind, start::integer as start, (start + n)::integer as "end", score from spans
+where not regexp_matches(case when start > 0 then t[start] else '' end, '[\\p{L}\\p{N}]') and not regexp_matches(t[start + n + 1], '[\\p{L}\\p{N}]')"""

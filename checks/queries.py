@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
+from lurescope.functions import recognise
 from lurescope.functions.text import MAX_CHARS, MIN_CHARS, REDACTIONS, clean_text, redact_columns, redact_text, token_count, with_redaction, within_length
 from lurescope.functions.url_basic import FEATURES as BASIC, with_basic_features
 from lurescope.functions.url_enriched import FEATURES, feature_names, with_enriched_features
@@ -208,6 +209,33 @@ def redact_table_plugin(spark, sf):
     return redact_columns(rows, ["text"], python_redactor)
 
 
+def _named_texts(spark, sf):
+    """Documents that end with a customer's name and, in lower case, a nation's; and the table of both."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    # The tables of customers and nations are numbered from 0.
+    who = F.pmod(F.col("doc_id"), F.lit(customers.count())).alias("c_custkey")
+    docs = table(spark, sf, "documents").select("doc_id", "text", who)
+    joined = docs.join(customers, "c_custkey").join(nations, "c_nationkey")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" for "), "c_name", F.lit(" of "), F.lower("n_name"), F.lit("."))
+    names = customers.select(F.col("c_name").alias("name"), F.lit("person").alias("kind"), F.lit(0.9).alias("score")).unionByName(
+        nations.select(F.col("n_name").alias("name"), F.lit("place").alias("kind"), F.lit(0.6).alias("score"))
+    )
+    return joined.select("doc_id", text.alias("text")), names
+
+
+def recognised_names(spark, sf):
+    texts, names = _named_texts(spark, sf)
+    found = recognise.recognise(texts, "text", recognise.name_parts(names, score="score"), with_numbers=False)
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.kind", "s.start", "s.end", "s.score")
+
+
+def redact_recognised(spark, sf):
+    """Names and checksummed numbers of the documents' texts replaced, behind the redaction hook."""
+    texts, names = _named_texts(spark, sf)
+    return redact_columns(texts, ["text"], recognise.redactor(recognise.name_parts(names, score="score")))
+
+
 def url_extract(spark, sf):
     return joint.message_urls(emails(spark, sf), "email_id", "body")
 
@@ -837,6 +865,8 @@ REGISTRY = {
     "casing_stats": casing_stats,
     "token_length_profile": token_length_profile,
     "redact_table": redact_table,
+    "recognised_names": recognised_names,
+    "redact_recognised": redact_recognised,
     "char_vocab": char_vocab,
     "url_features_enriched": url_features_enriched,
     "url_features_basic": url_features_basic,
