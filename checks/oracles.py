@@ -646,3 +646,4 @@ spans as (select doc_id, t, kind, score, length(name) as n,
  (list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(name))::bigint as start from (select *, unnest(range(1, len(parts))) as k from pairs))
 select doc_id, kind, start::integer as start, (start + n)::integer as "end", score from spans
 where not regexp_matches(case when start > 0 then t[start] else '' end, '[\\p{L}\\p{N}]') and not regexp_matches(t[start + n + 1], '[\\p{L}\\p{N}]')"""
+ORACLES["url_corpus_arriving"] = ORACLES["url_corpus"]

@@ -18,7 +18,7 @@ from lurescope.models import autoencoder, classifiers, context, iforest, ngram,
 from lurescope.operators import aggregates, dedup, joint, metrics, ranking, scaling, sequences, split
 from lurescope.plans import joint_corpus, message_eval, text_corpus, url_corpus
 from lurescope.session import materialise, scratch_path
-from lurescope.sources import labels, tables
+from lurescope.sources import labels, tables, url_state
 
 from . import inputs
 from .inputs import emails, labelled_messages, scores, table
@@ -106,6 +106,14 @@ def corpus(spark, sf):
     return dedup.url_corpus(union(spark, sf), SOURCES)
 
 
+def url_corpus_arriving(spark, sf):
+    """The same corpus from sources that arrive one after the other, the last one first."""
+    rows, path = union(spark, sf), scratch_path(spark, "url-state")
+    for batch, source in enumerate(SOURCES[::-1]):
+        url_state.merge_batch(path, rows.where(F.col("source") == source), batch, buckets=16)
+    return url_state.corpus(spark, path, SOURCES)
+
+
 def split_corpus(spark, sf):
     return split.stratified_split(corpus(spark, sf), "url", "label")
 
@@ -867,6 +875,7 @@ REGISTRY = {
     "redact_table": redact_table,
     "recognised_names": recognised_names,
     "redact_recognised": redact_recognised,
+    "url_corpus_arriving": url_corpus_arriving,
     "char_vocab": char_vocab,
     "url_features_enriched": url_features_enriched,
     "url_features_basic": url_features_basic,
