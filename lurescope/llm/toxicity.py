@@ -39,6 +39,8 @@ THRESHOLD = 0.3
 #: Texts that are compared at once, and postings that are summed at once.
 _TOGETHER = 256
 _POSTINGS = 1 << 20
+#: Bytes of texts that are scored at once.
+_SCORED_BYTES = 1 << 20
 #: Words of examples whose terms are listed at once.
 _ENTRIES = 1 << 16
 
@@ -148,26 +150,29 @@ class BlockMaxIndex:
 
     @staticmethod
     def build(
-        keys: np.ndarray, targets: np.ndarray, rows: np.ndarray | Sparse, order: np.ndarray | None = None
+        keys: np.ndarray, targets: np.ndarray, rows: np.ndarray | Sparse, laid_out: bool = False
     ) -> "BlockMaxIndex":
-        """The index of examples, laid out in ``order`` if given."""
+        """The index of examples, similar ones side by side, or as they come if they are ``laid_out`` already."""
         rows = Sparse.of(rows)
         n_head = min(HEAD, rows.n_terms)
         head = np.full(rows.n_terms, -1, dtype=np.int64)
         frequency = np.bincount(rows.terms, minlength=rows.n_terms)
         head[np.argsort(-frequency, kind="stable")[:n_head]] = np.arange(n_head)
-        if order is None:
+        if not laid_out:
             order = _similar_side_by_side(rows, head, keys)
-        moved = rows.ordered(order)
-        row, place = moved.row_of(), head.astype(np.int32)[moved.terms]
-        own = place >= 0
-        postings = np.zeros((-(-len(order) // BLOCK), n_head, BLOCK))
-        postings[row[own] // BLOCK, place[own], row[own] % BLOCK] = moved.weights[own]
-        tail = np.flatnonzero(~own)
-        tail = tail[np.argsort(moved.terms[tail], kind="stable")]
-        starts = np.searchsorted(moved.terms[tail], np.arange(rows.n_terms + 1))
-        examples, weights = row[tail].astype(np.int32), moved.weights[tail]
-        return BlockMaxIndex(keys[order], targets[order], head, postings, postings.max(axis=2), starts, examples, weights)
+            keys, targets, rows = keys[order], targets[order], rows.ordered(order)
+        postings, tail = np.zeros((-(-len(rows) // BLOCK), n_head, BLOCK)), []
+        # Slice by slice, as a worker that lays out its index has little room beside it.
+        for lo, hi in arrow_text.slices(rows.offsets, _ENTRIES):
+            own = rows.slice(lo, hi)
+            row, place = own.row_of() + lo, head[own.terms]
+            common = place >= 0
+            postings[row[common] // BLOCK, place[common], row[common] % BLOCK] = own.weights[common]
+            tail.append((own.terms[~common].astype(np.int32), row[~common].astype(np.int32), own.weights[~common]))
+        term, examples, weights = (np.concatenate(c) for c in zip(*tail)) if tail else (np.zeros(0, np.int32),) * 3
+        by_term = np.argsort(term, kind="stable")
+        starts = np.searchsorted(term[by_term], np.arange(rows.n_terms + 1, dtype=np.int32))
+        return BlockMaxIndex(keys, targets, head, postings, postings.max(axis=2), starts, examples[by_term], weights[by_term])
 
     @property
     def nbytes(self) -> int:
@@ -291,9 +296,12 @@ class Model:
         rows: np.ndarray | Sparse = np.zeros((0, 0))
         if counts is not None:
             offsets, term, many = map(word_exchange.unpacked, counts)
-            self.counts = Sparse(offsets, term, many, len(terms))
-            rows = unit_rows(self.counts.row_of(), self.counts.terms, many, len(keys), self.idf)
-        self.index = BlockMaxIndex.build(keys, targets, rows, np.arange(len(keys)))
+            weights = np.empty(len(term))
+            for lo, hi in arrow_text.slices(offsets, _ENTRIES):
+                own = Sparse(offsets, term, many, len(terms)).slice(lo, hi)
+                weights[offsets[lo] : offsets[hi]] = unit_rows(own.row_of(), own.terms, own.weights, hi - lo, self.idf).weights
+            rows = Sparse(offsets, term, weights, len(terms))
+        self.index = BlockMaxIndex.build(keys, targets, rows, laid_out=True)
 
     def threshold(self, loss: float) -> float:
         """The score from which rejecting tells the examples apart best, left out one by one.
@@ -326,7 +334,7 @@ class Model:
 
     def evaluate(self, texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = []
-        for block in arrow_text.blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
+        for block in arrow_text.blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), most=_SCORED_BYTES):
             rows = vectors(arrow_text.alnum_words(arrow_text.plain(block.column("text"))), self.terms, self.idf)
             parts.append(self.index.nearest(rows, k))
         similarities, numbers = (np.concatenate(p) for p in zip(*parts))
