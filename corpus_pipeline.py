@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lurescope.llm import arrow_text, language, packing, secrets, simhash, toxicity
-from lurescope.session import materialise
+from lurescope.session import broadcast_if_small, materialise
 
 #: Documents whose predicted language is less likely than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
 #: Most of the examples without the mark that the toxicity stage may reject.
 TOXIC_LOSS = 0.05
+#: Most digests of rejected texts that are broadcast; with more the documents are shuffled by digest.
+MOST_BROADCAST = 1 << 16
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,10 +36,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay; repeated rows share their fate. Without labels of both kinds all rows stay.
     """
     model = toxicity.fit_on_labels(docs, _table(spark, sf_dir, "labels"))
-    rate, why = (arrow_text.free_name(docs, name) for name in ("toxicity", "evidence"))
-    scored = toxicity.score(docs, model, evidence=1, into=(rate, why))
-    kept = (F.col(rate) < model.threshold(TOXIC_LOSS)) | (F.size(why) == 0)
-    return scored.where(kept).select(*docs.columns)
+    # A score depends on the text alone, so texts are judged by themselves and only digests come back.
+    scored = toxicity.score(docs.select("text"), model, evidence=1)
+    bad = (F.col("toxicity") >= model.threshold(TOXIC_LOSS)) & (F.size("evidence") > 0)
+    digest = arrow_text.free_name(docs, "digest")
+    rejected = materialise(scored.where(bad).select(F.sha2("text", 256).alias(digest)).distinct(), "rejected")
+    named = docs.withColumn(digest, F.sha2("text", 256))
+    return named.join(broadcast_if_small(rejected, MOST_BROADCAST), digest, "left_anti").select(*docs.columns)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
