@@ -4,7 +4,9 @@ Every run of ``K`` words of every text is hashed with a rolling hash and joined
 runs in the templates. A template that stands in a text puts all its votes on one diagonal (place in the
 text less place in the template); inserted or missing words move the rest to a diagonal close by. Votes
 are counted by diagonal, neighbouring diagonals are merged to spans, and a span counts as found if its
-votes cover enough of the template without being thinly spread in the text. A short phrase must be
+votes cover enough of the template without being thinly spread in the text. Where many words stand inserted,
+a notice leaves several spans, each with a part of it; those that follow each other in the order of the
+template within a share of its length are chained and judged together. A short phrase must be
 covered wholly on a single diagonal, so it is found exactly where its words stand consecutively.
 
 Templates are a parameter of fixed size, so their side of the join is broadcast; the votes, not the
@@ -30,6 +32,9 @@ NEAR = 4
 #: Least share of a notice's words that a span covers, and of the span's words that votes cover.
 COVER = 0.7
 DENSE = 0.5
+#: Spans with at least the share PART of a notice are chained over gaps of at most the share GAP of its words.
+PART = 0.1
+GAP = 0.5
 
 
 def _hash_rows(texts: list[str]) -> list[np.ndarray]:
@@ -95,7 +100,8 @@ def diagonals(docs: DataFrame, templates: DataFrame) -> DataFrame:
 def spans(votes: DataFrame, near: int = NEAR, cover: float = COVER, dense: float = DENSE) -> DataFrame:
     """Verified spans (doc_id, version, label, exact, start, end, cover) in words, end exclusive.
 
-    Phrases are judged by the diagonal alone; for notices neighbouring diagonals are merged first.
+    Phrases are judged by the diagonal alone; for notices neighbouring diagonals are merged first, and what then
+    has only a part of a notice is chained.
     """
     by = ["doc_id", "version", "template"]
     order = Window.partitionBy(*by, "exact").orderBy("diagonal")
@@ -116,7 +122,25 @@ def spans(votes: DataFrame, near: int = NEAR, cover: float = COVER, dense: float
     found = F.when(F.col("exact"), share == 1).otherwise(
         (share >= cover) & (F.size("covered") + K - 1 >= dense * length)
     )
-    return merged.where(found).select("doc_id", "version", "label", "exact", "start", "end", share.alias("cover"))
+    judged = merged.withColumn("found", found)
+    parts = judged.where(~F.col("found") & ~F.col("exact") & (share >= PART))
+    # Rows of this frame are spans, few for each document and template.
+    following = Window.partitionBy(*by).orderBy("start", "end", "span")
+    last = F.lag(F.struct("end", F.array_max("covered").alias("at"))).over(following)
+    follows = (F.col("start") - last["end"] <= GAP * F.col("size")) & (F.array_max("covered") > last["at"])
+    chained = (
+        parts.withColumn("opens", (~F.coalesce(follows, F.lit(False))).cast("int"))
+        .withColumn("chain", F.sum("opens").over(following))
+        .groupBy(*by, "label", "exact", "size", "chain")
+        .agg(
+            F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"),
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+        )
+        .where(found)
+    )
+    columns = ["doc_id", "version", "label", "exact", "start", "end", share.alias("cover")]
+    return judged.where("found").select(*columns).unionByName(chained.select(*columns))
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:

@@ -168,6 +168,27 @@ def test_notices_with_edits(documents):
     assert (span["start"], span["end"]) == (1, 1 + len(WORD.findall(edited.lower())))
 
 
+def test_notices_with_many_words_between(documents):
+    words = dict(licenses.NOTICES)["isc"].split()
+    n = len(words)
+    other = lambda k: [f"line{i}" for i in range(k)]
+    cut = n // 2
+    third = n // 3
+    texts = {
+        1: words[:cut] + other(5) + words[cut:],
+        2: words[:cut] + other(n // 3) + words[cut:],
+        3: words[:third] + other(12) + words[third : 2 * third] + other(9) + words[2 * third :],
+        4: words[cut:] + other(5) + words[:cut],  # the wrong way round
+        5: words[:cut] + other(4 * n) + words[cut:],  # too far apart
+        6: words[:third] + other(6) + words[:third],  # a part twice
+    }
+    found = by_key(licenses.scan(documents([(k, "x y " + " ".join(t) + " z") for k, t in texts.items()])))
+    assert [found[k]["labels"] for k in range(1, 7)] == ["isc", "isc", "isc", "", "", ""]
+    for k in (1, 2, 3):
+        (span,) = found[k]["spans"]
+        assert (span["start"], span["end"]) == (2, 2 + len(WORD.findall(" ".join(texts[k]).lower()))) and span["cover"] >= 0.7
+
+
 def test_licences_of_an_empty_table(documents):
     assert licenses.scan(documents([])).count() == 0
 
