@@ -315,23 +315,21 @@ def trie(turns: DataFrame, few: int | None = None, queue: int = QUEUE_MESSAGES)
     known = alone.select(*plain, F.col("goes_on").cast("long").alias("n_children"), one.alias("n_leaves"), (one - 1).alias("saved_tokens"))
     outside = materialise(_summed(alone, one, one, one - 1), "single_children")
     zero = F.lit(0).cast("long")
-    several = nodes.where("n_convs > 1").select(*plain).join(outside, ["a", "b"], "left")
+    several = nodes.where("n_convs > 1").select(*plain).unionByName(root).join(outside, ["a", "b"], "left")
     several = several.select(*plain, *(F.coalesce(c, zero).alias(c) for c in ("kids", "leaves", "saved")))
     # The shard of a node is the first node on the way to it, from the root, with few members.
     many = nodes.where(F.col("n_convs") > few).select("a", "b", "conv_id")
     marked = paths.join(broadcast_if_small(many.select("a", "b", F.lit(True).alias("many")), SMALL), ["a", "b"], "left")
     tops = marked.where("many is null").groupBy("conv_id").agg(F.min(F.struct("depth", "a", "b")).alias("top"))
     tops = tops.select("conv_id", F.col("top.a").alias("sa"), F.col("top.b").alias("sb"))
-    sharded = several.where(F.col("n_convs") <= few).join(tops, "conv_id")
+    sharded = several.where((F.col("n_convs") <= few) & (F.col("depth") > 0)).join(tops, "conv_id")
     within = materialise(_with_totals(sharded.repartition("sa", "sb"), queue), "shards")
     # A shard's root is the node whose parent has many members or is the root.
     ways = many.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent_conv_id"))
     top = root.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent_conv_id"))
     upper = broadcast_if_small(ways.unionByName(top), SMALL)
     sent = _summed(within.join(upper.drop("parent_conv_id"), ["pa", "pb"], "left_semi"), one, F.col("n_leaves"), F.col("saved_tokens"))
-    above = several.where(F.col("n_convs") > few).unionByName(
-        root.join(outside, ["a", "b"], "left").select(*plain, *(F.coalesce(c, zero).alias(c) for c in ("kids", "leaves", "saved")))
-    )
+    above = several.where((F.col("n_convs") > few) | (F.col("depth") == 0))
     both = above.join(sent.toDF("a", "b", "k2", "l2", "s2"), ["a", "b"], "left").select(
         *plain, zero.alias("sa"), zero.alias("sb"),
         *((F.col(x) + F.coalesce(y, zero)).alias(x) for x, y in (("kids", "k2"), ("leaves", "l2"), ("saved", "s2"))),
