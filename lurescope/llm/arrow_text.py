@@ -7,6 +7,7 @@ done once per block and per-token work is numpy gathering.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +32,17 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+#: The C library's way to return freed memory, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that lives on stays as small as what it holds."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One contiguous string array, null texts read as empty."""
     if isinstance(column, pa.ChunkedArray):

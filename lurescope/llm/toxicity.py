@@ -302,6 +302,8 @@ class Model:
                 weights[offsets[lo] : offsets[hi]] = unit_rows(own.row_of(), own.terms, own.weights, hi - lo, self.idf).weights
             rows = Sparse(offsets, term, weights, len(terms))
         self.index = BlockMaxIndex.build(keys, targets, rows, laid_out=True)
+        del rows, counts
+        arrow_text.give_back()
 
     def threshold(self, loss: float) -> float:
         """The score from which rejecting tells the examples apart best, left out one by one.
@@ -337,6 +339,8 @@ class Model:
         for block in arrow_text.blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), most=_SCORED_BYTES):
             rows = vectors(arrow_text.alnum_words(arrow_text.plain(block.column("text"))), self.terms, self.idf)
             parts.append(self.index.nearest(rows, k))
+            del rows
+            arrow_text.give_back()
         similarities, numbers = (np.concatenate(p) for p in zip(*parts))
         return self.votes(similarities, numbers), similarities, numbers
 
