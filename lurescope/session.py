@@ -42,6 +42,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove_stage(spark: SparkSession, path: str) -> None:
+    """Delete a stage that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
 @contextmanager
 def stage_scope(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the stages written within it; read the results inside the scope."""
@@ -49,11 +57,8 @@ def stage_scope(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for path in _written[before:]:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(hadoop).delete(where, True)
-        del _written[before:]
+            remove_stage(spark, path)
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
