@@ -1,21 +1,27 @@
-"""Brown class-based bigram model: exchange clustering, smoothed scores and perplexity.
+"""Brown class-based bigram model: exchange clustering of all words, smoothed scores and perplexity.
 
-A text is its words and one end. Frequent words (a share of ``FLOOR`` of all training tokens, so at most
-1 / FLOOR of them) are clustered one by one; any other word belongs to the unit of its ending, one of
-``ENDINGS``, and units are clustered like words. Unit bigrams are counted over all training texts by
-Spark; their table is bounded by the square of the number of units, whatever the corpus, and exchange
-moves one unit after the other to the class that raises the likelihood most until nothing moves.
+A text is its words and one end, and every distinct word of the training texts belongs to a class of its
+own choosing; the end keeps a class to itself. Clustering is distributed exchange (Uszkoreit and Brants,
+2008): Spark counts, for every word, the classes of the words before and after it; every word then goes
+to the class that raises the class bigram likelihood most, in parallel tasks that each hold a part of the
+words and the table of classes, whose own moves change their copy of it. The counts are renewed and the
+next sweep begins, until one raises the likelihood by less than ``RISE`` a token; the best sweep's classes
+are kept. Only the table of classes and one of word endings by class reach the driver, whatever the corpus.
 
 A word's probability is P(class | class before) * P(word | class). Class transitions are Witten-Bell
 smoothed towards class shares; emissions add ``ADD`` to every count and keep a place for unseen words,
-one in each class, so the probabilities of all words and of the unseen ones of each class sum to one.
+one in each class, so the probabilities of all words and of the unseen ones of each class sum to one. A
+word that the training texts lack has the class of most training words with its last three characters
+(of one of ``ENDINGS`` hashes of them).
 
-Word counts cover all training texts. Every distinct word is counted in one place and its count goes
-back to the blocks that asked, see ``word_exchange``.
+The texts are read once and stored as word numbers. Every distinct word meets in one bucket, see
+``word_exchange``: a bucket holds the words' counts and classes, answers every block of texts with the
+classes of its words, and gets the block's counts by class back.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,16 +34,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from lurescope.llm import arrow_text, word_exchange
 from lurescope.llm.arrow_text import Words
-from lurescope.session import materialise
+from lurescope.llm.word_exchange import packed, unpacked
+from lurescope.session import materialise, remove_stage, scratch_path
 
 CLASSES = 64
-FLOOR = 2e-4
 ENDINGS = 1024
-SWEEPS = 6
+#: Natural log likelihood a training token that a sweep must bring for another one to follow.
+RISE = 0.01
 ADD = 0.1
 FOLDS = 10
 #: The end of a text has a class of its own and is the word before a text's first.
-END_UNIT = END_CLASS = 0
+END_CLASS = 0
+#: Counts by class looked at together in a sweep.
+_TOGETHER = 1 << 12
 
 
 def held_out(key: int | None) -> bool:
@@ -49,279 +58,403 @@ def _training(keys: np.ndarray) -> np.ndarray:
     return np.array([not held_out(None if k == word_exchange.NO_KEY else k) for k in keys.tolist()], dtype=bool)
 
 
-def _training_counts(block: pa.RecordBatch, words: Words) -> np.ndarray:
-    """How often the block's training documents have each word."""
-    own = _training(word_exchange.keys_of(block))[words.document_of_word()]
-    return np.bincount(words.codes[own], minlength=len(words.vocab)).astype(np.int64)
+CODED = "block long, bucket int, words binary, weights binary, doc_id binary, offsets binary, codes binary"
+#: A bucket: its blocks with the places of their words, and by word the training count, ending and class.
+STATE = "bucket int, blocks array<long>, places array<binary>, counts binary, endings binary, classes binary"
+ANSWERS = "block long, bucket int, classes binary, counts binary"
+SENT = "block long, bucket int, keys binary, n binary"
 
 
-COUNTED = "answered boolean, block long, bucket int, answer binary, words binary, counts binary, tokens long, types long"
+def _coded(docs: DataFrame, n: int) -> DataFrame:
+    """Blocks of texts as word numbers (bucket null), and each block's distinct words by bucket."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in word_exchange.exchange_blocks(batches):
+            name, words, begins = word_exchange.numbered(block, arrow_text.lower_words, n)
+            keys = word_exchange.keys_of(block)
+            own = _training(keys)[words.document_of_word()]
+            weights = np.bincount(words.codes[own], minlength=len(words.vocab)).astype(np.int64)
+            full = np.flatnonzero(np.diff(begins))
+            asked = [slice(begins[b], begins[b + 1]) for b in full]
+            none, kind = [None] * len(full), pa.binary()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(full) + 1, name, np.int64)),
+                    pa.array([*full.tolist(), None], pa.int32()),
+                    pa.array([*(word_exchange.packed_words(words.vocab.slice(s.start, s.stop - s.start)) for s in asked), None], kind),
+                    pa.array([*(packed(weights[s]) for s in asked), None], kind),
+                    *(pa.array([*none, packed(part)], kind) for part in (keys, words.offsets, words.codes)),
+                ],
+                names=[c.split()[0] for c in CODED.split(", ")],
+            )
 
-def _count(table: pa.Table) -> pa.Table:
-    """A bucket's words summed over all blocks: an answer for each block, and the bucket's own table."""
-    vocab, codes = word_exchange.distinct_words(table)
-    weights = [word_exchange.unpacked(w.as_py()) for w in table.column("weights")]
-    totals = np.zeros(len(vocab), dtype=np.int64)
-    for own, n in zip(codes, weights):
-        totals[own] += n
-    seen = np.flatnonzero(totals)
-    n, bucket = table.num_rows, table.column("bucket")[0].as_py()
-    rows = {
-        "answered": [True] * n + [False],
-        "block": table.column("block").to_pylist() + [None],
-        "bucket": [bucket] * (n + 1),
-        "answer": [word_exchange.packed(totals[own]) for own in codes] + [None],
-        "words": [None] * n + [word_exchange.packed_words(vocab.take(pa.array(seen)))],
-        "counts": [None] * n + [word_exchange.packed(totals[seen])],
-        "tokens": [None] * n + [int(totals.sum())],
-        "types": [None] * n + [len(seen)],
-    }
-    kinds = (pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(rows.items(), kinds)})
+    return docs.select("doc_id", "text").mapInArrow(rows, CODED)
 
 
-@dataclass
-class Units:
-    """Frequent words by number; all other words by the hash of their last three characters."""
+def endings_of(words: pa.Array) -> np.ndarray:
+    """The hash, below ``ENDINGS``, of each word's last three characters."""
+    coded = pc.utf8_slice_codeunits(words, -3).dictionary_encode()
+    hashed = [xxhash.xxh64_intdigest(e) % ENDINGS for e in coded.dictionary.to_pylist()]
+    return np.array(hashed, dtype=np.int16)[coded.indices.to_numpy(zero_copy_only=False)]
 
-    frequent: dict[str, int]
 
-    def __len__(self) -> int:
-        return 1 + len(self.frequent) + ENDINGS
+def _opened(classes: int):
+    """A bucket's first state: training words by ending, others ``classes`` + ending."""
 
-    def of(self, vocab: pa.Array) -> np.ndarray:
-        if not len(vocab):
-            return np.zeros(0, np.int64)
-        endings = pc.utf8_slice_codeunits(vocab, -3).dictionary_encode()
-        hashed = [xxhash.xxh64_intdigest(e) % ENDINGS for e in endings.dictionary.to_pylist()]
-        unit = 1 + len(self.frequent) + np.array(hashed, dtype=np.int64)[endings.indices.to_numpy()]
-        own = np.array([self.frequent.get(w, -1) for w in vocab.to_pylist()], dtype=np.int64)
-        return np.where(own >= 0, own, unit)
+    def opened(table: pa.Table) -> pa.Table:
+        vocab, places = word_exchange.distinct_words(table)
+        counts = np.zeros(len(vocab), dtype=np.int64)
+        for own, weights in zip(places, table.column("weights")):
+            counts[own] += unpacked(weights.as_py())
+        endings = endings_of(vocab)
+        first = np.where(counts > 0, 1 + endings % (classes - 1), classes + endings).astype(np.int16)
+        # Copies of a block ask alike, once is enough.
+        own = dict(zip(table.column("block").to_pylist(), places))
+        return _state(table.column("bucket")[0].as_py(), list(own), [packed(p) for p in own.values()], counts, endings, first)
 
+    return opened
 
-@dataclass
-class Model:
-    """Everything but the word counts: units, their classes, and the smoothed class tables."""
 
-    units: Units
-    tokens: int
-    types: int
-    ends: int
-    class_of_unit: np.ndarray
-    transitions: np.ndarray
-    class_tokens: np.ndarray
-    class_types: np.ndarray
+def _state(bucket: int, blocks: list[int], places: list[bytes], counts: np.ndarray, endings: np.ndarray, classes: np.ndarray) -> pa.Table:
+    return pa.table(
+        {
+            "bucket": pa.array([bucket], pa.int32()),
+            "blocks": pa.array([blocks], pa.list_(pa.int64())),
+            "places": pa.array([places], pa.list_(pa.binary())),
+            **{n: pa.array([packed(v)], pa.binary()) for n, v in (("counts", counts), ("endings", endings), ("classes", classes))},
+        }
+    )
 
-    def emission(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        return (counts + ADD) / (self.class_tokens[classes] + ADD * (self.class_types[classes] + 1))
 
+def _answers(state: DataFrame) -> DataFrame:
+    """For each block and bucket the classes and counts of the block's words, in the order it asked."""
 
-def _with_ends(words: Words, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units of all tokens, ends included; where the words are among them; the document of each token."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                classes, counts = unpacked(row["classes"]), unpacked(row["counts"])
+                own = [unpacked(p) for p in row["places"]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row["blocks"], pa.int64()),
+                        pa.array([row["bucket"]] * len(own), pa.int32()),
+                        pa.array([packed(classes[p]) for p in own], pa.binary()),
+                        pa.array([packed(counts[p]) for p in own], pa.binary()),
+                    ],
+                    names=["block", "bucket", "classes", "counts"],
+                )
+
+    return state.select("bucket", "blocks", "places", "counts", "classes").mapInArrow(rows, ANSWERS)
+
+
+def _with_ends(words: Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all tokens, ends included; where the words are among them; the document of each token."""
     document = words.document_of_word().astype(np.int64)
-    tokens = np.full(len(words.codes) + len(words), END_UNIT, dtype=np.int64)
+    tokens = np.full(len(words.codes) + len(words), END_CLASS, dtype=np.int64)
     places = np.arange(len(words.codes)) + document
-    tokens[places] = units[words.codes] if len(words.codes) else 0
+    tokens[places] = classes[words.codes] if len(words.codes) else 0
     return tokens, places, np.repeat(np.arange(len(words)), words.lengths + 1)
 
 
-def _before(values: np.ndarray, first: int) -> np.ndarray:
+def _before(values: np.ndarray) -> np.ndarray:
     """Each token's predecessor; a text follows an end, and every text ends with one."""
-    return np.concatenate((np.array([first], dtype=values.dtype), values[:-1]))
+    return np.concatenate((np.array([END_CLASS], dtype=values.dtype), values[:-1]))
 
 
-def unit_bigrams(docs: DataFrame, units: Units) -> DataFrame:
-    """(before, after, n) over the training documents."""
+def _in_order(answers: pa.Table) -> dict[int, dict]:
+    return {row["bucket"]: row for row in sorted(answers.to_pylist(), key=lambda r: r["bucket"])}
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in word_exchange.exchange_blocks(batches):
-            words = arrow_text.lower_words(arrow_text.plain(block.column("text")))
-            tokens, _, document = _with_ends(words, units.of(words.vocab))
-            own = _training(word_exchange.keys_of(block))[document]
-            pairs = (_before(tokens, END_UNIT) * len(units) + tokens)[own]
-            seen, n = np.unique(pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((seen // len(units)).astype(np.int32)), pa.array((seen % len(units)).astype(np.int32)), pa.array(n)],
-                names=["before", "after", "n"],
-            )
 
-    counted = docs.select("doc_id", "text").mapInArrow(rows, "before int, after int, n long")
-    return counted.groupBy("before", "after").agg(F.sum("n").alias("n"))
+def _sent(classes: int):
+    """A block's counts of each training word with the class before (even side) and after it, by bucket.
+
+    A key is (place of the word in the bucket's answer * 2 + side) * classes + class.
+    """
+
+    def sent(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple[int, int, bytes, bytes]] = []
+        asked = _in_order(right)
+        parts = [unpacked(a["classes"]) for a in asked.values()]
+        begins = np.cumsum([0, *map(len, parts)]) * 2 * classes
+        own_classes = np.concatenate([np.zeros(0, np.int64), *parts])
+        for row in left.to_pylist():
+            words = Words(unpacked(row["offsets"]), unpacked(row["codes"]), None)
+            if not len(words.codes):
+                continue
+            tokens, places, _ = _with_ends(words, own_classes)
+            learned = _training(unpacked(row["doc_id"]))[words.document_of_word()]
+            at, codes = places[learned], words.codes[learned].astype(np.int64) * 2 * classes
+            keys, n = np.unique(np.concatenate((codes + _before(tokens)[at], codes + classes + tokens[at + 1])), return_counts=True)
+            cuts = np.searchsorted(keys, begins)
+            for i, bucket in enumerate(asked):
+                some = slice(cuts[i], cuts[i + 1])
+                if some.start < some.stop:
+                    # As steps, which are small numbers.
+                    steps = np.diff(keys[some], prepend=begins[i]).astype(np.int32)
+                    rows.append((row["block"], bucket, packed(steps), packed(n[some].astype(np.int32))))
+        columns = list(zip(*rows)) or [()] * 4
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(list(v), k) for c, v, k in zip(("block", "bucket", "keys", "n"), columns, kinds)})
+
+    return sent
+
+
+def _gathered(classes: int):
+    """A bucket's counts by word and class, summed over the blocks, beside its state and class table."""
+
+    def gathered(left: pa.Table, right: pa.Table) -> pa.Table:
+        state = left.to_pylist()[0]
+        places = dict(zip(state["blocks"], state["places"]))
+        keys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(right.num_rows):
+            own = unpacked(places[right.column("block")[i].as_py()]).astype(np.int64)
+            word, rest = np.divmod(np.cumsum(unpacked(right.column("keys")[i].as_py()).astype(np.int64)), 2 * classes)
+            keys.append(own[word] * 2 * classes + rest)
+            n.append(unpacked(right.column("n")[i].as_py()).astype(np.int64))
+        every, number = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(number, np.concatenate(n), minlength=len(every)).astype(np.int64)
+        word, side, other = every // (2 * classes), every // classes % 2, every % classes
+        mine = unpacked(state["classes"])[word].astype(np.int64)
+        # Pairs are counted with the word that comes first, or with the second after an end.
+        used = (side == 1) | (other == END_CLASS)
+        cell = np.where(side == 1, mine * classes + other, other * classes + mine)[used]
+        table = np.bincount(cell, total[used], minlength=classes * classes).astype(np.int64)
+        more = {"keys": packed(np.diff(every, prepend=0)), "n": packed(total), "pairs": packed(table)}
+        return pa.table({**{c: left.column(c) for c in left.column_names}, **{c: pa.array([v], pa.binary()) for c, v in more.items()}})
+
+    return gathered
 
 
 def _weigh(n: np.ndarray) -> np.ndarray:
     return n * np.log(np.maximum(n, 1e-300))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of every unit, from a table of unit bigram counts.
+def likelihood(table: np.ndarray) -> float:
+    """Log likelihood of class bigrams up to a part that no class changes, in natural logarithms a token."""
+    whole = _weigh(table).sum() - _weigh(table.sum(axis=0)).sum() - _weigh(table.sum(axis=1)).sum()
+    return float(whole / max(1.0, table.sum()))
 
-    Units are visited from the most frequent to the least, ties by number, and each goes to the class
-    with the largest likelihood if that beats its own; the end keeps its class to itself.
+
+def exchanged(own: np.ndarray, keys: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Classes of words after each moved to its best one, from their counts by class and side.
+
+    ``keys`` rise and are (word * 2 + side) * classes + class, ``table`` are the pairs of classes of the
+    whole corpus. The most frequent words go first, ties by number; words looked at together see the same
+    table, and the classes of the words beside them (a word itself among them) stay as they were counted.
     """
-    counts = bigrams.sum(axis=0) + bigrams.sum(axis=1)
-    order = [int(u) for u in np.argsort(-counts, kind="stable") if u != END_UNIT]
-    own = np.zeros(len(bigrams), dtype=np.int64)
-    own[order] = 1 + np.arange(len(order)) % (classes - 1)
-    member = np.eye(classes)[own]
-    after, before = bigrams @ member, bigrams.T @ member  # by unit: what follows it, what it follows
-    table = member.T @ after
-    each = np.arange(classes)
-    for _ in range(sweeps):
-        moved = 0
-        for unit in order:
-            if not counts[unit]:
-                continue
-            here, itself = own[unit], bigrams[unit, unit]
-            right, left = after[unit].astype(float), before[unit].astype(float)
-            right[here] -= itself
-            left[here] -= itself
-            table[here] -= right
-            table[:, here] -= left
-            table[here, here] -= itself
-            old = _weigh(table)
-            rows, columns = _weigh(table + right) - old, _weigh(table + left[:, None]) - old
-            corner = table[each, each]
-            gain = rows.sum(axis=1) - rows[each, each] + columns.sum(axis=0) - columns[each, each]
-            gain += _weigh(corner + right + left + itself) - old[each, each]
-            for margin, n in ((table.sum(axis=1), right.sum() + itself), (table.sum(axis=0), left.sum() + itself)):
-                gain -= _weigh(margin + n) - _weigh(margin)
-            gain[END_CLASS] = -np.inf
-            there = int(np.argmax(gain))
-            if gain[there] <= gain[here] + 1e-9 * max(1.0, abs(gain[here])):
-                there = here
-            table[there] += right
-            table[:, there] += left
-            table[there, there] += itself
-            if there != here:
-                own[unit], moved = there, moved + 1
-                after[:, here] -= bigrams[:, unit]
-                after[:, there] += bigrams[:, unit]
-                before[:, here] -= bigrams[unit]
-                before[:, there] += bigrams[unit]
-        if not moved:
-            break
-    return own
+    classes = len(table)
+    own, table = own.astype(np.int64), table.astype(float)
+    word = keys // (2 * classes)
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    sizes = np.diff(np.append(starts, len(word)))
+    seen = word[starts]
+    tokens = np.add.reduceat(np.where(keys // classes % 2 == 1, n, 0), starts) if len(starts) else starts
+    order = np.argsort(-tokens, kind="stable")
+    ends = np.cumsum(sizes[order])
+    at = 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TOGETHER, side="right")))
+        some = order[at:to]
+        at = to
+        rows = arrow_text.gathered(starts, sizes, some)
+        of = np.repeat(np.arange(len(some)), sizes[some])
+        here = own[seen[some]]
+        after, other, count = keys[rows] // classes % 2, keys[rows] % classes, n[rows].astype(float)
+        # Pairs with each class in the word's place, without the word's own.
+        old = np.where(after[:, None] == 1, table.T[other], table[other])
+        each = np.arange(len(rows))
+        old[each, here[of]] -= count
+        sides = np.bincount((of * 2 + after) * classes + other, count, minlength=2 * len(some) * classes).reshape(len(some), 2, classes)
+        own_class = np.flatnonzero(other == here[of])
+        old[own_class] -= sides[of[own_class], 1 - after[own_class]]
+        np.maximum(old, 0.0, out=old)
+        change = _weigh(old + count[:, None]) - _weigh(old)
+        change[each, other] = 0.0
+        gain = np.add.reduceat(change, np.append(0, np.cumsum(sizes[some])[:-1]), axis=0)
+        total = tokens[some].astype(float)[:, None]
+        # A class followed by itself takes the pairs of both sides; the margins take the word's tokens.
+        beside = sides.sum(axis=1)
+        lines = np.arange(len(some))
+        for line, add, sign in ((table.diagonal(), beside, 1.0), (table.sum(axis=1), total, -1.0), (table.sum(axis=0), total, -1.0)):
+            add = np.broadcast_to(add, gain.shape)
+            old = np.repeat(line[None], len(some), axis=0)
+            old[lines, here] = np.maximum(old[lines, here] - add[lines, here], 0.0)
+            gain += sign * (_weigh(old + add) - _weigh(old))
+        gain[:, END_CLASS] = -np.inf
+        stay = gain[lines, here]
+        there = np.where(gain.max(axis=1) > stay + 1e-9 * np.maximum(1.0, np.abs(stay)), gain.argmax(axis=1), here)
+        own[seen[some]] = there
+        moved = (there != here)[of]
+        for classes_of, sign in ((here, -1.0), (there, 1.0)):
+            mine, next_to = classes_of[of[moved]], other[moved]
+            cell = np.where(after[moved] == 1, mine * classes + next_to, next_to * classes + mine)
+            table += sign * np.bincount(cell, count[moved], minlength=classes * classes).reshape(classes, classes)
+        np.maximum(table, 0.0, out=table)
+    return own.astype(np.int16)
+
+
+def _moved(gathered: DataFrame, table: np.ndarray) -> DataFrame:
+    """The buckets' states after a sweep."""
+    shared = gathered.sparkSession.sparkContext.broadcast(table)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = exchanged(unpacked(row["classes"]), np.cumsum(unpacked(row["keys"])), unpacked(row["n"]), shared.value)
+                state = _state(row["bucket"], row["blocks"], row["places"], unpacked(row["counts"]), unpacked(row["endings"]), own)
+                yield from state.to_batches()
+
+    return gathered.mapInArrow(rows, STATE)
 
 
-def _transitions(bigrams: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
+def _sums(rows: DataFrame, make, cells: int) -> np.ndarray:
+    """Arrays of ``cells`` numbers, one of each row, added up by Spark."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                values = make(row)
+                full = np.flatnonzero(values)
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(values[full].astype(np.int64))], names=["cell", "n"])
+
+    out = np.zeros(cells)
+    found = rows.mapInArrow(parts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+@dataclass
+class Model:
+    """Everything but the words' counts and classes: class of each ending, and the smoothed class tables."""
+
+    tokens: int
+    types: int
+    ends: int
+    class_of_ending: np.ndarray
+    transitions: np.ndarray
+    class_tokens: np.ndarray
+    class_types: np.ndarray
+    #: Likelihood before the first sweep and after each.
+    likelihoods: list[float]
+
+    def emission(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        return (counts + ADD) / (self.class_tokens[classes] + ADD * (self.class_types[classes] + 1))
+
+
+def _transitions(table: np.ndarray) -> np.ndarray:
     """P(class | class before), Witten-Bell smoothed towards the classes' shares."""
-    member = np.eye(classes)[own]
-    table = member.T @ bigrams @ member
-    share = (table.sum(axis=0) + ADD) / (table.sum() + ADD * classes)
+    share = (table.sum(axis=0) + ADD) / (table.sum() + ADD * len(table))
     kinds = np.maximum((table > 0).sum(axis=1), 1)
     return (table + kinds[:, None] * share) / (table.sum(axis=1) + kinds)[:, None]
 
 
-def fit(docs: DataFrame, classes: int = CLASSES, floor: float = FLOOR) -> tuple[Model, DataFrame]:
-    """The model of the training documents, and the blocks' word counts for ``score``.
+@dataclass
+class Fitted:
+    model: Model
+    texts: DataFrame
+    state: DataFrame
+
+
+def fit(docs: DataFrame, classes: int = CLASSES, rise: float = RISE) -> Fitted:
+    """The model of the training documents, with the stored texts and words for ``score``.
 
     ``docs`` has doc_id and text; null texts are empty ones; a null doc_id is a training document. The
-    driver holds the units, their classes and their bigram table, all bounded by the parameters.
+    driver holds tables of classes by classes and of endings by classes.
     """
+    spark = docs.sparkSession
     n = word_exchange.buckets_for(docs)
-    asked = word_exchange.asked(docs, arrow_text.lower_words, n, _training_counts)
-    counted = materialise(asked.groupBy("bucket").applyInArrow(_count, COUNTED), "word-counts")
-    own = counted.where("not answered")
-    sums = own.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    # A bucketed table, so that no sweep shuffles the texts; the name is needed only while the plans are made.
+    name = f"brown_{uuid.uuid4().hex}"
+    _coded(docs, n).write.option("path", scratch_path(spark, "coded")).bucketBy(n, "block").saveAsTable(name)
+    coded = spark.table(name)
+    texts = coded.where("bucket is null").select("block", "doc_id", "offsets", "codes")
+    asked = coded.where("bucket is not null").select("block", "bucket", "words", "weights")
+    state = materialise(asked.groupBy("bucket").applyInArrow(_opened(classes), STATE), "words")
     trains = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0, F.lit(True))
     ends = docs.where(trains).count()
-    tokens, types = sums[0] + ends, sums[1] + (ends > 0)
-    least = max(2.0, floor * tokens)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
-                chosen = word_exchange.unpacked_words(words).filter(pa.array(word_exchange.unpacked(counts) >= least))
-                yield pa.RecordBatch.from_arrays([chosen], names=["word"])
-
-    # At most 1 / floor words.
-    names = sorted(r["word"] for r in own.select("words", "counts").mapInArrow(frequent, "word string").collect())
-    units = Units({w: i + 1 for i, w in enumerate(names)})
-
-    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words in batch.column("words").to_pylist():
-                per_unit = np.bincount(units.of(word_exchange.unpacked_words(words)), minlength=len(units))
-                full = np.flatnonzero(per_unit)
-                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(per_unit[full])], names=["unit", "types"])
-
-    # One row per unit.
-    found = own.select("words").mapInArrow(kinds, "unit long, types long").groupBy("unit").agg(F.sum("types").alias("types")).collect()
-    unit_types = np.zeros(len(units))
-    for row in found:
-        unit_types[row["unit"]] = row["types"]
-    unit_types[END_UNIT] = float(ends > 0)
-    # At most one number for each pair of units.
-    pairs = unit_bigrams(docs, units).toArrow()
-    bigrams = np.zeros((len(units), len(units)), dtype=np.float32 if tokens < 1 << 24 else np.float64)
-    bigrams[pairs["before"].to_numpy(), pairs["after"].to_numpy()] = pairs["n"].to_numpy()
-    class_of = exchange(bigrams, classes)
-    per_class = lambda values: np.bincount(class_of, values, minlength=classes)
+    best: tuple[float, DataFrame, np.ndarray] | None = None
+    likelihoods: list[float] = []
+    while True:
+        sent = texts.groupBy("block").cogroup(_answers(state).groupBy("block")).applyInArrow(_sent(classes), SENT)
+        # As many tasks as buckets: the packed rows are small, the work in them is not.
+        both = state.repartition(n, "bucket").groupBy("bucket").cogroup(sent.repartition(n, "bucket").groupBy("bucket"))
+        path = scratch_path(spark, "class-counts")
+        schema = f"{STATE}, keys binary, n binary, pairs binary"
+        both.applyInArrow(_gathered(classes), schema).write.parquet(path)
+        gathered = spark.read.schema(schema).parquet(path)
+        table = _sums(gathered.select("pairs"), lambda row: unpacked(row["pairs"]), classes * classes).reshape(classes, classes)
+        table[END_CLASS, END_CLASS] = ends - table[:, END_CLASS].sum()
+        likelihoods.append(likelihood(table))
+        before = best
+        if best is None or likelihoods[-1] > best[0]:
+            best = likelihoods[-1], state, table
+        if before is not None and likelihoods[-1] < before[0] + rise:
+            break
+        state = materialise(_moved(gathered, table), "words")
+        remove_stage(spark, path)
+    remove_stage(spark, path)
+    spark.sql(f"DROP TABLE {name}")
+    _, state, table = best
+
+    def types(row: dict) -> np.ndarray:
+        own = unpacked(row["classes"]).astype(np.int64)
+        some = own < classes
+        return np.bincount(unpacked(row["endings"])[some].astype(np.int64) * classes + own[some], minlength=ENDINGS * classes)
+
+    by_ending = _sums(state.select("endings", "classes"), types, ENDINGS * classes).reshape(ENDINGS, classes)
+    of_all = by_ending.sum(axis=0)
+    common = np.where(by_ending.sum(axis=1) > 0, by_ending.argmax(axis=1), of_all.argmax() if of_all.any() else 1)
+    class_types = of_all.copy()
+    class_types[END_CLASS] = float(ends > 0)
     model = Model(
-        units,
-        int(tokens),
-        int(types),
-        ends,
-        class_of,
-        _transitions(bigrams, class_of, classes),
-        per_class(bigrams.sum(axis=0, dtype=np.float64)),
-        per_class(unit_types),
+        int(table.sum()), int(class_types.sum()), ends, common, _transitions(table), table.sum(axis=0), class_types, likelihoods
     )
-    return model, counted.where("answered").select("block", "bucket", "answer")
+    return Fitted(model, texts, state)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def score(docs: DataFrame, model: Model, answers: DataFrame) -> DataFrame:
+def score(fitted: Fitted) -> DataFrame:
     """Per document: tokens, known tokens, unigram base and model log10 probability, and perplexity.
 
     A null or empty text is an end alone. Repeated rows score alike and stay; an empty table gives no rows.
     """
-    n = word_exchange.buckets_for(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def with_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in word_exchange.exchange_blocks(batches):
-            name, words, _ = word_exchange.numbered(block, arrow_text.lower_words, n)
-            classes = shared.value.class_of_unit[shared.value.units.of(words.vocab)]
-            parts = [word_exchange.keys_of(block), words.offsets, words.codes, classes.astype(np.int16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name], pa.int64()), *(pa.array([word_exchange.packed(p)], pa.binary()) for p in parts)],
-                names=["block", "doc_id", "offsets", "codes", "extra"],
-            )
+    shared = fitted.state.sparkSession.sparkContext.broadcast(fitted.model)
 
-    def finish(keys: np.ndarray, words: Words, answers: list[bytes], extra: bytes) -> pa.Table:
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         own = shared.value
-        counts = np.concatenate([np.zeros(0, np.int64), *(word_exchange.unpacked(a) for a in answers)])
-        classes = word_exchange.unpacked(extra).astype(np.int64)
-        tokens, places, document = _with_ends(words, classes)
-        seen = np.full(len(tokens), own.ends, dtype=np.int64)
-        seen[places] = counts[words.codes] if len(words.codes) else 0
-        base = np.log10((seen + ADD) / (own.tokens + ADD * (own.types + 1)))
-        logs = np.log10(own.transitions[_before(tokens, END_CLASS), tokens] * own.emission(seen, tokens))
-        add = lambda v: np.bincount(document, v, minlength=len(words))
-        sizes, total = words.lengths + 1, add(logs)
-        columns = [
-            word_exchange.key_column(keys),
-            pa.array(~_training(keys)),
-            pa.array(sizes, pa.int64()),
-            pa.array(add(seen > 0).astype(np.int64)),
-            pa.array(np.full(len(words), own.tokens, np.int64)),
-            pa.array(add(base)),
-            pa.array(total),
-            pa.array(np.power(10.0, -total / sizes)),
-        ]
-        return pa.table(dict(zip([c.split()[0] for c in SCORES.split(", ")], columns)))
-
-    documents = docs.select("doc_id", "text").mapInArrow(with_units, f"{word_exchange.DOCUMENTS}, extra binary")
-    return word_exchange.joined(documents, answers, finish, SCORES, extra=True)
+        answers = _in_order(right).values()
+        counts = np.concatenate([np.zeros(0, np.int64), *(unpacked(a["counts"]) for a in answers)])
+        classes = np.concatenate([np.zeros(0, np.int64), *(unpacked(a["classes"]) for a in answers)]).astype(np.int64)
+        unseen = classes >= len(own.transitions)
+        classes[unseen] = own.class_of_ending[classes[unseen] - len(own.transitions)]
+        out = []
+        for row in left.to_pylist():
+            keys, words = unpacked(row["doc_id"]), Words(unpacked(row["offsets"]), unpacked(row["codes"]), None)
+            tokens, places, document = _with_ends(words, classes)
+            seen = np.full(len(tokens), own.ends, dtype=np.int64)
+            seen[places] = counts[words.codes] if len(words.codes) else 0
+            base = np.log10((seen + ADD) / (own.tokens + ADD * (own.types + 1)))
+            logs = np.log10(own.transitions[_before(tokens), tokens] * own.emission(seen, tokens))
+            add = lambda v: np.bincount(document, v, minlength=len(words))
+            sizes, total = words.lengths + 1, add(logs)
+            columns = [
+                word_exchange.key_column(keys),
+                pa.array(~_training(keys)),
+                pa.array(sizes, pa.int64()),
+                pa.array(add(seen > 0).astype(np.int64)),
+                pa.array(np.full(len(words), own.tokens, np.int64)),
+                pa.array(add(base)),
+                pa.array(total),
+                pa.array(np.power(10.0, -total / sizes)),
+            ]
+            out.append(pa.table(dict(zip([c.split()[0] for c in SCORES.split(", ")], columns))))
+        return pa.concat_tables(out)
+
+    return fitted.texts.groupBy("block").cogroup(_answers(fitted.state).groupBy("block")).applyInArrow(scored, SCORES)
 
 
 def fit_and_score(docs: DataFrame, **options) -> DataFrame:
     """Fit on the training documents of ``docs`` and score all of them."""
-    model, answers = fit(docs, **options)
-    return score(docs, model, answers)
-
+    return score(fit(docs, **options))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lurescope.llm import brown, language, licenses, maxscore, toxicity
+from lurescope.llm import brown, language, licenses, maxscore, toxicity, word_exchange
 
 
 def by_key(frame):
@@ -41,35 +41,94 @@ def test_brown_base_counts(documents, odd):
             assert r["score"] < 0 and r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(own)))
 
 
+def brown_classes(fitted):
+    """Class and training count of every word, from the stored texts and the buckets' answers."""
+    unpacked, out = word_exchange.unpacked, {}
+    for row in fitted.state.collect():
+        out[row["bucket"]] = list(zip(unpacked(row["classes"]).tolist(), unpacked(row["counts"]).tolist()))
+    return out
+
+
 def test_brown_probabilities_sum_to_one(documents):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 9, 12))) for i in range(80)]
-    model, _ = brown.fit(documents(rows), classes=8)
+    fitted = brown.fit(documents(rows), classes=8)
+    model = fitted.model
     counts = Counter(t for key, text in rows if not brown.held_out(key) for t in tokens(text))
-    import pyarrow as pa
-
-    words = [w.decode() for w in counts if w is not None]
-    classes = model.class_of_unit[model.units.of(pa.array(words))]
-    seen = np.array([counts[w.encode()] for w in words] + [counts[None]])
-    classes = np.append(classes, brown.END_CLASS)
+    pairs = [p for own in brown_classes(fitted).values() for p in own if p[1]]
+    assert sorted(n for _, n in pairs) == sorted(n for t, n in counts.items() if t is not None)
+    assert all(0 < c < 8 for c, _ in pairs)
+    classes = np.array([c for c, _ in pairs] + [brown.END_CLASS])
+    seen = np.array([n for _, n in pairs] + [counts[None]])
     unseen = model.emission(np.zeros(8), np.arange(8))
     for before in range(8):
         total = (model.transitions[before, classes] * model.emission(seen, classes)).sum()
         assert total + (model.transitions[before] * unseen).sum() == pytest.approx(1.0)
 
 
-def test_exchange_finds_planted_classes():
+def class_pairs(texts, own, classes):
+    table = np.zeros((classes, classes))
+    for text in texts:
+        line = [0, *(own[w] for w in text), 0]
+        np.add.at(table, (line[:-1], line[1:]), 1)
+    return table
+
+
+def test_brown_statistics_are_those_of_the_texts(documents, odd):
+    rows = [r for r in odd if r[0] is not None] + [(i, f"the cat sat on mat {i % 7} dog the the") for i in range(100, 160)]
+    for partitions in (1, 5):
+        fitted = brown.fit(documents(rows, partitions), classes=6)
+        # What the model says of its own classes: the transitions' table is that of the texts.
+        per_class = np.zeros(6)
+        for own in brown_classes(fitted).values():
+            for c, n in own:
+                if n:
+                    per_class[c] += n
+        assert per_class[1:] == pytest.approx(fitted.model.class_tokens[1:])
+        assert fitted.model.class_tokens[0] == fitted.model.ends == sum(not brown.held_out(k) for k, _ in rows)
+        assert max(fitted.model.likelihoods) >= fitted.model.likelihoods[0]
+
+
+def test_a_move_is_to_the_class_of_the_largest_likelihood():
+    """One word at a time against the likelihood of the whole table, other words as they stand."""
+    rng = np.random.default_rng(2)
+    classes, n_words = 5, 12
+    texts = [rng.integers(0, n_words, 9).tolist() for _ in range(60)]
+    # No word follows itself, as a sweep takes the neighbours' classes as they were counted.
+    texts = [[w for w, x in zip(t, [None, *t]) if w != x] for t in texts]
+    own = 1 + rng.integers(0, classes - 1, n_words)
+    table = class_pairs(texts, own, classes)
+    for word in range(n_words):
+        keys = Counter()
+        for text in texts:
+            for i, w in enumerate(text):
+                if w == word:
+                    keys[0 * classes + (own[text[i - 1]] if i else 0)] += 1
+                    keys[1 * classes + (own[text[i + 1]] if i + 1 < len(text) else 0)] += 1
+        every = np.array(sorted(keys))
+        alone = np.array([own[word]], dtype=np.int16)
+        moved = brown.exchanged(alone, every, np.array([keys[k] for k in every]), table)
+        gains = []
+        for c in range(1, classes):
+            other = own.copy()
+            other[word] = c
+            gains.append(brown.likelihood(class_pairs(texts, other, classes)))
+        assert gains[moved[0] - 1] == pytest.approx(max(gains), abs=1e-9)
+
+
+def test_exchange_finds_planted_classes(documents):
     rng = np.random.default_rng(4)
-    kinds = np.arange(1, 31) % 3
-    text = [0]
-    for _ in range(20000):
-        before = text[-1]
-        want = 0 if before == 0 else (kinds[before - 1] + 1) % 3
-        text.append(0 if rng.random() < 0.02 else int(rng.choice(np.flatnonzero(kinds == want)) + 1))
-    table = np.zeros((31, 31))
-    np.add.at(table, (text[:-1], text[1:]), 1)
-    own = brown.exchange(table, classes=4)
-    assert own[0] == 0 and len({(k, c) for k, c in zip(kinds, own[1:])}) == 3
+    rows = []
+    for key in range(600):
+        kind = rng.integers(0, 3)
+        text = []
+        for _ in range(30):
+            text.append(f"{'abc'[rng.integers(0, 3)]}{kind + 3 * rng.integers(0, 10)}")
+            kind = (kind + 1) % 3
+        rows.append((key, " ".join(text)))
+    found = brown.fit(documents(rows), classes=16).model.likelihoods
+    # Three kinds in a fixed cycle: the kind of the next word is certain, log 3 more than nothing known.
+    assert max(found) - found[0] > 0.5 * math.log(3)
 
 
 def test_brown_model_beats_the_base(spark):
