@@ -46,7 +46,9 @@ FOLDS = 10
 #: The end of a text has a class of its own and is the word before a text's first.
 END_CLASS = 0
 #: Counts by class looked at together in a sweep.
-_TOGETHER = 1 << 12
+_TOGETHER = 1 << 14
+#: Counts up to this look up what they change.
+_SMALL = 8
 
 
 def held_out(key: int | None) -> bool:
@@ -260,15 +262,19 @@ def exchanged(own: np.ndarray, keys: np.ndarray, n: np.ndarray, table: np.ndarra
         of = np.repeat(np.arange(len(some)), sizes[some])
         here = own[seen[some]]
         after, other, count = keys[rows] // classes % 2, keys[rows] % classes, n[rows].astype(float)
-        # Pairs with each class in the word's place, without the word's own.
-        old = np.where(after[:, None] == 1, table.T[other], table[other])
-        each = np.arange(len(rows))
-        old[each, here[of]] -= count
+        # Pairs with each class in the word's place, without the word's own. Small counts, nearly all, share
+        # what they change; only the word's own class and words beside it of that class are worked out alone.
+        pairs = np.stack((table, table.T))
+        few = count <= _SMALL
+        shared = _weigh(pairs + np.arange(1.0, _SMALL + 1)[:, None, None, None]) - _weigh(pairs)
+        change = shared[np.minimum(count, _SMALL).astype(np.int64) - 1, after, other]
+        each, many, own_class = np.arange(len(rows)), np.flatnonzero(~few), np.flatnonzero(other == here[of])
         sides = np.bincount((of * 2 + after) * classes + other, count, minlength=2 * len(some) * classes).reshape(len(some), 2, classes)
-        own_class = np.flatnonzero(other == here[of])
-        old[own_class] -= sides[of[own_class], 1 - after[own_class]]
-        np.maximum(old, 0.0, out=old)
-        change = _weigh(old + count[:, None]) - _weigh(old)
+        for lines, less in ((many, 0.0), (own_class, sides[of[own_class], 1 - after[own_class]])):
+            old = np.maximum(pairs[after[lines], other[lines]] - less, 0.0)
+            change[lines] = _weigh(old + count[lines, None]) - _weigh(old)
+        old = np.maximum(pairs[after, other, here[of]] - count, 0.0)
+        change[each, here[of]] = _weigh(old + count) - _weigh(old)
         change[each, other] = 0.0
         gain = np.add.reduceat(change, np.append(0, np.cumsum(sizes[some])[:-1]), axis=0)
         total = tokens[some].astype(float)[:, None]
