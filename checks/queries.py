@@ -289,7 +289,7 @@ def char_vocab(spark, sf):
 def char_sequences(spark, sf):
     rows = materialise(split_corpus(spark, sf), "split")
     vocab = sequences.char_vocab(rows.where(F.col("split") == "train"), "url")
-    encoded = sequences.encode_chars(rows, "url", vocab)
+    encoded = sequences.pad_to_longest(sequences.encode_chars(rows, "url", vocab), "url")
     return encoded.select("url", "split", F.array_join(F.col("seq").cast("array<string>"), ",").alias("seq"))
 
 

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .ranking import attach
+
 # Reserved indexes.
 PAD, OOV, FIRST_INDEX = 0, 1, 2
 
@@ -52,6 +54,13 @@ def encode_chars(df: DataFrame, text: str, vocab: DataFrame, out: str = "seq", m
     return whole.withColumn(out, F.concat(head, F.array_repeat(F.lit(PAD), max_len - F.size(head))))
 
 
+def pad_to_longest(df: DataFrame, text: str, seq: str = "seq") -> DataFrame:
+    """Pad the sequences ``seq`` of the texts with 0 to the length of the longest text of ``df``; none is cut."""
+    longest = df.agg(F.coalesce(F.max(F.length(text)), F.lit(0)).alias("_width"))
+    padding = F.array_repeat(F.lit(PAD), F.col("_width") - F.coalesce(F.length(text), F.lit(0)))
+    return attach(df, longest, ["_width"]).withColumn(seq, F.concat(seq, padding)).drop("_width")
+
+
 def cut_report(df: DataFrame, text: str, max_len: int) -> DataFrame:
     """One row: texts, texts longer than ``max_len``, and the characters that padding to it cuts off."""
     over = F.length(text) - max_len

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from lurescope.models import classifiers, iforest, ngram, reconstruction
 from lurescope.operators import joint, scaling, sequences
 
@@ -108,6 +109,15 @@ def test_char_sequences(spark):
     assert tuple(sequences.cut_report(frame, "url", 4).first()) == (3, 2, 197)
 
 
+def test_char_sequences_reach_the_longest(spark, tmp_path):
+    urls = ["http://a.example/", "http://b.example/longer/path", "https://\U0001F600.example/é"] * 2 + [f"http://h{i}.example/{'x' * i}" for i in range(40)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["url"]: r["seq"].split(",") for r in queries.char_sequences(spark, str(tmp_path)).collect()}
+    longest = max(len(u) for u in got)
+    assert len(got) > 20 and all(len(s) == longest for s in got.values())
+    assert all("0" not in s[: len(u)] and set(s[len(u) :]) <= {"0"} for u, s in got.items())
+
+
 def test_gradient_of_every_coefficient(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(120, 3))
