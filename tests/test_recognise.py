@@ -1,3 +1,4 @@
+import pickle
 import random
 
 from pyspark.sql import functions as F
@@ -66,3 +67,32 @@ def test_a_hundred_thousand_names(spark):
     found = recognise.recognise(frame, "t", recognise.name_parts(names)).collect()
     for r in found:
         assert [r["t"][s["start"] : s["end"]] for s in r["spans"]] == ([f"name {211 * r['id']:X} jr."] if 211 * r["id"] < 100_000 else [])
+
+
+ODD = NAMES + [("***", "stars", 0.7), ("-x-", "letter", 0.4), (" ann", "spaced", 0.3), ("Lee Ann.", "person", 0.9), ("ann lee ann lee", "group", 0.8), ("a\0b", "zero", 0.3)]
+
+
+def odd_texts(n):
+    rng = random.Random(9)
+    parts = ["Ann", " ", " ", "Lee", "lee.", "*", "***", "-", "-x-", "x", "\u0130", "\U0001F600", "a\0b", "élan co.", "\0"]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(n)]
+    return rows + rows[:20] + [None, "", "a", "b"]
+
+
+def test_a_large_table_is_joined_and_never_sent(spark):
+    rows = list(enumerate(odd_texts(400)))
+    # The frame has columns named like the ones the join needs.
+    frame = spark.createDataFrame(rows, "id int, t string").repartition(3).select("id", "t", F.lit(1).alias("_key"), F.lit(2).alias("_found"))
+    names = spark.createDataFrame(ODD, "name string, kind string, score double")
+    parts = recognise.name_parts(names, score="score", part=3)
+    for least, with_numbers in ((0.0, False), (0.5, True)):
+        got = recognise.recognise(frame, "t", parts, with_numbers=with_numbers, least=least)
+        assert got.columns == ["id", "t", "_key", "_found", "spans"]
+        want = {i: brute(t or "", ODD, least, with_numbers) for i, t in rows}
+        assert {r["id"]: [tuple(s) for s in r["spans"]] for r in got.collect()} == want
+    assert sum(map(len, want.values())) > 100
+    # What is sent has one size for any table.
+    bytes_sent = (1 << recognise.FILTER_BITS - 3) + 4096
+    many = spark.range(300_000).select(F.concat(F.lit("Name "), F.col("id")).alias("name"), F.lit("person").alias("kind"))
+    for p in (parts, recognise.name_parts(many)):
+        assert p.table is None and len(pickle.dumps(p.pieces.value)) < bytes_sent
