@@ -123,13 +123,18 @@ def token_count(text: Column) -> Column:
 def redact_columns(df: DataFrame, columns: Sequence[str], redactor=None) -> DataFrame:
     """Redact chosen string columns of a table and leave every other column as it is.
 
-    ``redactor`` maps a pandas Series of text to a Series of the same length and runs on Arrow
-    batches of the chosen columns (the place for a named-entity pass). Without one the built-in
-    patterns are used and the plan stays inside the JVM.
+    ``redactor`` maps a pandas Series of text to a Series of the same length and runs on slices of
+    Arrow batches of the chosen columns (the place for a named-entity pass). One with a method
+    ``redact_column(df, column)`` redacts the frame itself. Without one the built-in patterns are
+    used and the plan stays inside the JVM.
     """
     columns = list(columns)
     if redactor is None:
         return df.withColumns({c: redact_text(F.col(c)) for c in columns})
+    if hasattr(redactor, "redact_column"):
+        for c in columns:
+            df = redactor.redact_column(df, c)
+        return df
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

@@ -96,3 +96,15 @@ def test_a_large_table_is_joined_and_never_sent(spark):
     many = spark.range(300_000).select(F.concat(F.lit("Name "), F.col("id")).alias("name"), F.lit("person").alias("kind"))
     for p in (parts, recognise.name_parts(many)):
         assert p.table is None and len(pickle.dumps(p.pieces.value)) < bytes_sent
+
+
+def test_redactor_with_a_large_table(spark):
+    names = spark.createDataFrame(NAMES, "name string, kind string, score double")
+    rows = [(1, "Dear ANN LEE, card 4111 1111 1111 1111.", "Ann"), (2, None, "élan co."), (3, "Anna", None), (1, "Dear ANN LEE, card 4111 1111 1111 1111.", "")]
+    frame = spark.createDataFrame(rows, "id int, t string, u string").repartition(2)
+    parts = recognise.name_parts(names, score="score", part=2)
+    assert parts.table is None
+    got = redact_columns(frame, ["t", "u"], recognise.redactor(parts))
+    assert got.columns == ["id", "t", "u"]
+    dear = "Dear <PERSON>, card <CARD>."
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, dear, "<PERSON>"), (2, None, "<COMPANY>"), (3, "Anna", None), (1, dear, "")], key=str)
