@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Tuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .batches import bounds
 from .charclass import SPACE
 
 # Redaction tokens and patterns, in the order they are applied.
@@ -136,8 +138,23 @@ def redact_columns(df: DataFrame, columns: Sequence[str], redactor=None) -> Data
             df = redactor.redact_column(df, c)
         return df
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return redactor(texts)
-
-    return df.withColumns({c: run(F.col(c)) for c in columns})
+    if not columns:
+        return df
+    kind = pa.struct([(str(i), pa.string()) for i in range(len(columns))])
+
+    def redacted(texts: pa.Array) -> pa.Array:
+        return pa.Array.from_pandas(redactor(texts.to_pandas()), type=pa.string())
+
+    @F.arrow_udf(", ".join(f"`{i}` string" for i in range(len(columns))))
+    def run(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            # A single column comes without a tuple.
+            own = [batch] if isinstance(batch, pa.Array) else list(batch)
+            for at, many in bounds(own):
+                yield pa.StructArray.from_arrays([redacted(c.slice(at, many)) for c in own], fields=list(kind))
+
+    name = "_redacted"
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    wide = df.withColumn(name, run(*(F.col(c) for c in columns)))
+    return wide.withColumns({c: F.col(name)[str(i)] for i, c in enumerate(columns)}).drop(name)

@@ -69,6 +69,25 @@ def test_redact_columns_keeps_other_types(spark):
     assert native.first()["text"] == "<EMAIL>" and custom.first() == (7, "***", 1.5)
 
 
+def test_redactor_sees_slices_of_bounded_size(spark):
+    rows = [(i, chr(97 + i % 26) * 20_000 if i % 5 else None, "é" * (i % 7)) for i in range(300)] + [(300, "z" * 3_000_000, "")]
+    frame = spark.createDataFrame(rows, "id int, text string, other string").coalesce(1)
+
+    def sizes(texts):
+        return texts.map(lambda t: f"{t[:1]}{len(t)}", na_action="ignore") + f" {sum(len(t) for t in texts if t)}"
+
+    got = T.redact_columns(frame, ["other", "text"], sizes)
+    assert got.columns == ["id", "text", "other"] and T.redact_columns(frame, [], sizes).columns == got.columns
+    for (i, text, other), r in zip(rows, got.orderBy("id").collect()):
+        if text is None:
+            assert r["text"] is None
+        else:
+            what, seen = r["text"].split(" ")
+            assert what == f"{text[0]}{len(text)}" and int(seen) <= max(len(text), 1 << 20)
+        assert r["other"].split(" ")[0] == f"{other[:1]}{len(other)}"
+
+
+
 def test_redaction_runs_each_pattern_once(spark):
     frame = spark.range(3).select(F.lit("x").alias("raw"))
     plan = T.with_redaction(frame.select(F.concat("raw", F.rand().cast("string")).alias("raw")), "raw")
