@@ -49,6 +49,8 @@ END_CLASS = 0
 _TOGETHER = 1 << 14
 #: Counts up to this look up what they change.
 _SMALL = 8
+#: Cells of a table of sums that travel together.
+_SLICE = 2048
 
 
 def held_out(key: int | None) -> bool:
@@ -313,19 +315,37 @@ def _moved(gathered: DataFrame, table: np.ndarray) -> DataFrame:
     return gathered.mapInArrow(rows, STATE)
 
 
-def _sums(rows: DataFrame, make, cells: int) -> np.ndarray:
-    """Arrays of ``cells`` numbers, one of each row, added up by Spark."""
+_SLICED = "slice int, n binary"
+
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _task_sums(rows: DataFrame, make, cells: int) -> DataFrame:
+    """The sums of each task's arrays in slices; the rows made follow the tasks, not the cells that are filled."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
             for row in batch.to_pylist():
-                values = make(row)
-                full = np.flatnonzero(values)
-                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(values[full].astype(np.int64))], names=["cell", "n"])
+                values = make(row).astype(np.int64)
+                total = values if total is None else total + values
+        if total is not None:
+            slices = [total[at : at + _SLICE].tobytes() for at in range(0, cells, _SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(slices)), pa.int32()), pa.array(slices, pa.binary())], names=["slice", "n"])
+
+    return rows.mapInArrow(added, _SLICED)
+
+
+def _sums(rows: DataFrame, make, cells: int) -> np.ndarray:
+    """Arrays of ``cells`` numbers, one of each row, added up by Spark."""
+
+    def added(own: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(n, dtype=np.int64) for n in own["n"].to_pylist())
+        return pa.table({"slice": own["slice"].slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(cells)
-    found = rows.mapInArrow(parts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    found = _task_sums(rows, make, cells).groupBy("slice").applyInArrow(added, _SLICED).toArrow()
+    for row in found.to_pylist():
+        own = np.frombuffer(row["n"], dtype=np.int64)
+        out[row["slice"] * _SLICE :][: len(own)] = own
     return out
 
 

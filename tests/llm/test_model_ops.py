@@ -49,6 +49,16 @@ def brown_classes(fitted):
     return out
 
 
+def test_brown_sums_make_few_rows(spark):
+    cells, rng = 5000, np.random.default_rng(1)
+    arrays = [rng.integers(0, 9, cells) for _ in range(40)]
+    rows = spark.createDataFrame([(i, a.astype("<i8").tobytes()) for i, a in enumerate(arrays)], "i int, a binary").repartition(5)
+    make = lambda row: np.frombuffer(row["a"], dtype="<i8")
+    assert (brown._sums(rows, make, cells) == sum(arrays)).all()
+    assert not brown._sums(rows.where("i < 0"), make, cells).any()
+    assert brown._task_sums(rows, make, cells).count() <= 5 * 3
+
+
 def test_brown_probabilities_sum_to_one(documents):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 9, 12))) for i in range(80)]
