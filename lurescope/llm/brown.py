@@ -114,18 +114,19 @@ def _opened(classes: int):
         first = np.where(counts > 0, 1 + endings % (classes - 1), classes + endings).astype(np.int16)
         # Copies of a block ask alike, once is enough.
         own = dict(zip(table.column("block").to_pylist(), places))
-        return _state(table.column("bucket")[0].as_py(), list(own), [packed(p) for p in own.values()], counts, endings, first)
+        parts = (packed(v) for v in (counts, endings, first))
+        return _state(table.column("bucket")[0].as_py(), list(own), [packed(p) for p in own.values()], *parts)
 
     return opened
 
 
-def _state(bucket: int, blocks: list[int], places: list[bytes], counts: np.ndarray, endings: np.ndarray, classes: np.ndarray) -> pa.Table:
+def _state(bucket: int, blocks: list[int], places: list[bytes], counts: bytes, endings: bytes, classes: bytes) -> pa.Table:
     return pa.table(
         {
             "bucket": pa.array([bucket], pa.int32()),
             "blocks": pa.array([blocks], pa.list_(pa.int64())),
             "places": pa.array([places], pa.list_(pa.binary())),
-            **{n: pa.array([packed(v)], pa.binary()) for n, v in (("counts", counts), ("endings", endings), ("classes", classes))},
+            **{n: pa.array([v], pa.binary()) for n, v in (("counts", counts), ("endings", endings), ("classes", classes))},
         }
     )
 
@@ -152,12 +153,12 @@ def _answers(state: DataFrame) -> DataFrame:
 
 
 def _with_ends(words: Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all tokens, ends included; where the words are among them; the document of each token."""
-    document = words.document_of_word().astype(np.int64)
-    tokens = np.full(len(words.codes) + len(words), END_CLASS, dtype=np.int64)
+    """Classes of all tokens, ends included; where the words are among them; the document of each word."""
+    document = words.document_of_word()
+    tokens = np.full(len(words.codes) + len(words), END_CLASS, dtype=classes.dtype)
     places = np.arange(len(words.codes)) + document
     tokens[places] = classes[words.codes] if len(words.codes) else 0
-    return tokens, places, np.repeat(np.arange(len(words)), words.lengths + 1)
+    return tokens, places, document
 
 
 def _before(values: np.ndarray) -> np.ndarray:
@@ -180,16 +181,18 @@ def _sent(classes: int):
         asked = _in_order(right)
         parts = [unpacked(a["classes"]) for a in asked.values()]
         begins = np.cumsum([0, *map(len, parts)]) * 2 * classes
-        own_classes = np.concatenate([np.zeros(0, np.int64), *parts])
+        # Four bytes a key, if they fit, sort in half the time.
+        kind = np.int32 if begins[-1] < 1 << 31 else np.int64
+        own_classes = np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
         for row in left.to_pylist():
             words = Words(unpacked(row["offsets"]), unpacked(row["codes"]), None)
             if not len(words.codes):
                 continue
-            tokens, places, _ = _with_ends(words, own_classes)
-            learned = _training(unpacked(row["doc_id"]))[words.document_of_word()]
-            at, codes = places[learned], words.codes[learned].astype(np.int64) * 2 * classes
+            tokens, places, document = _with_ends(words, own_classes)
+            learned = _training(unpacked(row["doc_id"]))[document]
+            at, codes = places[learned], words.codes[learned].astype(kind) * (2 * classes)
             keys, n = np.unique(np.concatenate((codes + _before(tokens)[at], codes + classes + tokens[at + 1])), return_counts=True)
-            cuts = np.searchsorted(keys, begins)
+            cuts = np.searchsorted(keys, begins.astype(kind))
             for i, bucket in enumerate(asked):
                 some = slice(cuts[i], cuts[i + 1])
                 if some.start < some.stop:
@@ -203,6 +206,11 @@ def _sent(classes: int):
     return sent
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from zero on in four bytes, if they fit."""
+    return values.astype(np.int32) if not len(values) or values.max() < 1 << 31 else values
+
+
 def _gathered(classes: int):
     """A bucket's counts by word and class, summed over the blocks, beside its state and class table."""
 
@@ -223,7 +231,7 @@ def _gathered(classes: int):
         used = (side == 1) | (other == END_CLASS)
         cell = np.where(side == 1, mine * classes + other, other * classes + mine)[used]
         table = np.bincount(cell, total[used], minlength=classes * classes).astype(np.int64)
-        more = {"keys": packed(np.diff(every, prepend=0)), "n": packed(total), "pairs": packed(table)}
+        more = {"keys": packed(_narrow(np.diff(every, prepend=0))), "n": packed(_narrow(total)), "pairs": packed(table)}
         return pa.table({**{c: left.column(c) for c in left.column_names}, **{c: pa.array([v], pa.binary()) for c, v in more.items()}})
 
     return gathered
@@ -239,6 +247,47 @@ def likelihood(table: np.ndarray) -> float:
     return float(whole / max(1.0, table.sum()))
 
 
+def _filled(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the cells other than zero; quicker than ``nonzero`` on two dimensions."""
+    return np.divmod(np.flatnonzero(table.ravel() != 0), table.shape[1])
+
+
+def _own_change(whole: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """What ``part`` changes where it is a part of ``whole`` already."""
+    old = np.maximum(whole - part, 0.0)
+    return _weigh(old + part) - _weigh(old)
+
+
+def _changes(
+    pairs: np.ndarray, after: np.ndarray, other: np.ndarray, count: np.ndarray, of: np.ndarray, here: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """What each count changes in the pairs with each class, as rows of a table and the row of each count.
+
+    Small counts, nearly all, share rows. A count with a word's own class does without the pairs of the
+    word's other side. The class itself is left out, its pairs lie on the diagonal.
+    """
+    classes, each = pairs.shape[1], np.arange(pairs.shape[1])
+    weighed, small = _weigh(pairs), int(min(_SMALL, count.max()))
+    shared = _weigh(pairs + np.arange(1.0, small + 1)[:, None, None, None]) - weighed
+    shared[:, :, each, each] = 0.0
+    line = (np.minimum(count, small).astype(np.int64) - 1) * 2 * classes + after * classes + other
+    many = np.flatnonzero(count > small)
+    large = _weigh(pairs[after[many], other[many]] + count[many, None]) - weighed[after[many], other[many]]
+    large[np.arange(len(many)), other[many]] = 0.0
+    line[many] = shared.size // classes + np.arange(len(many))
+    changes = np.concatenate((shared.reshape(-1, classes), large))
+    mine = np.flatnonzero(other == here[of])
+    sides = np.bincount((of * 2 + after) * classes + other, count, minlength=2 * len(here) * classes).reshape(len(here), 2, classes)
+    less = sides[of[mine], 1 - after[mine]]
+    less[np.arange(len(mine)), other[mine]] = 0.0
+    own, (row, column) = changes[line[mine]], _filled(less)
+    of_row = mine[row]
+    old = np.maximum(pairs[after[of_row], other[of_row], column] - less[row, column], 0.0)
+    own[row, column] = _weigh(old + count[of_row]) - _weigh(old)
+    line[mine] = len(changes) + np.arange(len(mine))
+    return np.concatenate((changes, own)), line
+
+
 def exchanged(own: np.ndarray, keys: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Classes of words after each moved to its best one, from their counts by class and side.
 
@@ -259,37 +308,36 @@ def exchanged(own: np.ndarray, keys: np.ndarray, n: np.ndarray, table: np.ndarra
     while at < len(order):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TOGETHER, side="right")))
         some = order[at:to]
+        # Longest first, so that the words which have a further count stand in front.
+        some = some[np.argsort(-sizes[some], kind="stable")]
         at = to
         rows = arrow_text.gathered(starts, sizes, some)
         of = np.repeat(np.arange(len(some)), sizes[some])
         here = own[seen[some]]
         after, other, count = keys[rows] // classes % 2, keys[rows] % classes, n[rows].astype(float)
-        # Pairs with each class in the word's place, without the word's own. Small counts, nearly all, share
-        # what they change; only the word's own class and words beside it of that class are worked out alone.
+        # Pairs with each class in the word's place, without the word's own.
         pairs = np.stack((table, table.T))
-        few = count <= _SMALL
-        shared = _weigh(pairs + np.arange(1.0, _SMALL + 1)[:, None, None, None]) - _weigh(pairs)
-        change = shared[np.minimum(count, _SMALL).astype(np.int64) - 1, after, other]
-        each, many, own_class = np.arange(len(rows)), np.flatnonzero(~few), np.flatnonzero(other == here[of])
-        sides = np.bincount((of * 2 + after) * classes + other, count, minlength=2 * len(some) * classes).reshape(len(some), 2, classes)
-        for lines, less in ((many, 0.0), (own_class, sides[of[own_class], 1 - after[own_class]])):
-            old = np.maximum(pairs[after[lines], other[lines]] - less, 0.0)
-            change[lines] = _weigh(old + count[lines, None]) - _weigh(old)
-        old = np.maximum(pairs[after, other, here[of]] - count, 0.0)
-        change[each, here[of]] = _weigh(old + count) - _weigh(old)
-        change[each, other] = 0.0
-        gain = np.add.reduceat(change, np.append(0, np.cumsum(sizes[some])[:-1]), axis=0)
-        total = tokens[some].astype(float)[:, None]
+        changes, line = _changes(pairs, after, other, count, of, here)
+        gain = np.zeros((len(some), classes))
+        begins, longest = np.append(0, np.cumsum(sizes[some])[:-1]), -sizes[some]
+        for i in range(-longest[0]):
+            having = int(np.searchsorted(longest, -i))
+            gain[:having] += changes[line[begins[:having] + i]]
+        # A word's own class is without the word, beside it too.
+        alone = np.where(other == here[of], 0.0, _own_change(pairs[after, other, here[of]], count))
+        stay = np.bincount(of, alone, minlength=len(some))
         # A class followed by itself takes the pairs of both sides; the margins take the word's tokens.
-        beside = sides.sum(axis=1)
-        lines = np.arange(len(some))
-        for line, add, sign in ((table.diagonal(), beside, 1.0), (table.sum(axis=1), total, -1.0), (table.sum(axis=0), total, -1.0)):
-            add = np.broadcast_to(add, gain.shape)
-            old = np.repeat(line[None], len(some), axis=0)
-            old[lines, here] = np.maximum(old[lines, here] - add[lines, here], 0.0)
-            gain += sign * (_weigh(old + add) - _weigh(old))
+        total, lines = tokens[some].astype(float), np.arange(len(some))
+        beside = np.bincount(of * classes + other, count, minlength=gain.size).reshape(gain.shape)
+        cells, loops = _filled(beside), table.diagonal()
+        gain[cells] += _weigh(loops[cells[1]] + beside[cells]) - _weigh(loops[cells[1]])
+        stay += _own_change(loops[here], beside[lines, here])
+        different, number = np.unique(total, return_inverse=True)
+        for line in (table.sum(axis=1), table.sum(axis=0)):
+            gain -= (_weigh(line + different[:, None]) - _weigh(line))[number]
+            stay -= _own_change(line[here], total)
+        gain[lines, here] = stay
         gain[:, END_CLASS] = -np.inf
-        stay = gain[lines, here]
         there = np.where(gain.max(axis=1) > stay + 1e-9 * np.maximum(1.0, np.abs(stay)), gain.argmax(axis=1), here)
         own[seen[some]] = there
         moved = (there != here)[of]
@@ -308,9 +356,9 @@ def _moved(gathered: DataFrame, table: np.ndarray) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = exchanged(unpacked(row["classes"]), np.cumsum(unpacked(row["keys"])), unpacked(row["n"]), shared.value)
-                state = _state(row["bucket"], row["blocks"], row["places"], unpacked(row["counts"]), unpacked(row["endings"]), own)
-                yield from state.to_batches()
+                keys, n = (unpacked(row[c]).astype(np.int64) for c in ("keys", "n"))
+                own = exchanged(unpacked(row["classes"]), np.cumsum(keys), n, shared.value)
+                yield from _state(row["bucket"], row["blocks"], row["places"], row["counts"], row["endings"], packed(own)).to_batches()
 
     return gathered.mapInArrow(rows, STATE)
 
@@ -458,7 +506,8 @@ def score(fitted: Fitted) -> DataFrame:
         out = []
         for row in left.to_pylist():
             keys, words = unpacked(row["doc_id"]), Words(unpacked(row["offsets"]), unpacked(row["codes"]), None)
-            tokens, places, document = _with_ends(words, classes)
+            tokens, places, _ = _with_ends(words, classes)
+            document = np.repeat(np.arange(len(words)), words.lengths + 1)
             seen = np.full(len(tokens), own.ends, dtype=np.int64)
             seen[places] = counts[words.codes] if len(words.codes) else 0
             base = np.log10((seen + ADD) / (own.tokens + ADD * (own.types + 1)))

@@ -62,8 +62,13 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def packed_words(words: pa.Array) -> bytes:
-    body = "".join(words.to_pylist()).encode()
-    sizes = packed(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int32))
+    words = words.cast(pa.string())
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int32)
+    body = b""
+    if lengths.any():
+        ends = np.frombuffer(words.buffers()[1], np.int32)[[words.offset, words.offset + len(words)]]
+        body = words.buffers()[2][ends[0] : ends[1]]
+    sizes = packed(lengths)
     return len(sizes).to_bytes(4, "little") + sizes + zstandard.compress(body)
 
 
@@ -77,7 +82,7 @@ def unpacked_words(data: bytes) -> pa.Array:
 
 def word_hashes(words: pa.Array) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(digest, words.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(words))
 
 
 def keys_of(block: pa.RecordBatch) -> np.ndarray:

@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lurescope.llm import brown, language, licenses, maxscore, toxicity, word_exchange
@@ -126,6 +128,70 @@ def test_a_move_is_to_the_class_of_the_largest_likelihood():
         assert gains[moved[0] - 1] == pytest.approx(max(gains), abs=1e-9)
 
 
+def crowd(n_words, classes, most, seed=3):
+    """Words in random classes, their counts by class (up to ``most`` each), and a table of pairs of classes."""
+    rng = np.random.default_rng(seed)
+    keys = np.unique(np.concatenate([w * 2 * classes + rng.integers(0, 2 * classes, 3) for w in range(n_words)]))
+    n = rng.integers(1, most + 1, len(keys))
+    own = rng.integers(1, classes, n_words).astype(np.int16)
+    table = rng.integers(0, 4, (classes, classes)).astype(float)
+    word, after, other = keys // (2 * classes), keys // classes % 2, keys % classes
+    mine = own[word].astype(np.int64)
+    np.add.at(table, (np.where(after, mine, other), np.where(after, other, mine)), n)
+    return own, keys, n, table
+
+
+def plainly_best(own, keys, n, table):
+    """The class each word would choose with all others as they stand, by a loop over its counts."""
+    classes, f = len(table), lambda x: x * math.log(x) if x > 0 else 0.0
+    out = own.copy()
+    for word in np.unique(keys // (2 * classes)):
+        here = int(own[word])
+        some = [(k // classes % 2, k % classes, int(c)) for k, c in zip(keys.tolist(), n) if k // (2 * classes) == word]
+        total = sum(c for after, _, c in some if after)
+        gains, without = np.full(classes, -math.inf), table.copy()
+        for after, other, c in some:
+            without[(here, other) if after else (other, here)] -= c
+        for to in range(1, classes):
+            gain = 0.0
+            for after, other, c in some:
+                if other != to:
+                    old = without[(to, other) if after else (other, to)]
+                    gain += f(old + c) - f(old)
+            loops = sum(c for _, other, c in some if other == to)
+            gain += f(without[to, to] + loops) - f(without[to, to])
+            for margin in (table.sum(axis=1)[to], table.sum(axis=0)[to]):
+                old = max(margin - (total if to == here else 0), 0.0)
+                gain -= f(old + total) - f(old)
+            gains[to] = gain
+        if gains.max() > gains[here] + 1e-9 * max(1.0, abs(gains[here])):
+            out[word] = gains.argmax()
+    return out
+
+
+@pytest.mark.parametrize("most", [2, 40])
+def test_words_looked_at_together_choose_as_alone(most):
+    own, keys, n, table = crowd(60, 9, most)
+    moved = brown.exchanged(own, keys, n, table)
+    assert (moved == plainly_best(own, keys, n, table)).all() and (moved != own).any()
+
+
+def test_a_sweep_works_out_what_words_share_once(monkeypatch):
+    own, keys, n, table = crowd(4000, 64, 2)
+    weighed, plain = [], brown._weigh
+    monkeypatch.setattr(brown, "_weigh", lambda n: weighed.append(np.size(n)) or plain(n))
+    brown.exchanged(own, keys, n, table)
+    # Fewer logarithms than one for each word and class; margins alone took four.
+    assert sum(weighed) < 64 * 4000
+
+
+def test_packed_words_are_those_of_the_slice():
+    words = pa.array(["a", "", "é€", "bc", "𝄞"], pa.string())
+    for some in (words, words.slice(2, 2), words.slice(1, 1), words.slice(5), words.cast(pa.large_string()).slice(1), pa.array([], pa.string())):
+        assert word_exchange.unpacked_words(word_exchange.packed_words(some)).to_pylist() == some.to_pylist()
+    assert word_exchange.word_hashes(words.slice(2)).tolist() == [xxhash.xxh64_intdigest(w) for w in words.slice(2).to_pylist()]
+
+
 def test_exchange_finds_planted_classes(documents):
     rng = np.random.default_rng(4)
     rows = []
